@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from antecede.operators.pit import Prior
+from antecede.operators.ranks import exact_quantiles
 from antecede.operators.skew import lookup
 
 
@@ -137,12 +138,12 @@ def null_rates(df: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -
 def distribution(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """count, mean, std, min, quartiles with linear interpolation, max."""
     v = F.col(value).cast("double")
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(*by).agg(
-        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
-        q.alias("__q"), F.max(v).alias("max"),
-    ).select(*by, "count", "mean", "std", "min", F.col("__q")[0].alias("q25"), F.col("__q")[1].alias("q50"),
-             F.col("__q")[2].alias("q75"), "max")
+    basics = df.groupBy(*by).agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+                                 F.min(v).alias("min"), F.max(v).alias("max"))
+    quartiles = exact_quantiles(df, by, value, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    if not by:
+        return basics.crossJoin(quartiles)
+    return lookup(basics, quartiles, by, ["q25", "q50", "q75"], null_safe=True)
 
 
 def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:

@@ -67,8 +67,14 @@ def split_hot(
             lookup(df, hot, keys, how="left_semi", null_safe=True))
 
 
-def maybe_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Broadcast hint only after counting: larger sides keep the shuffle join."""
+def checked_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Broadcast hint behind a row count; a larger side keeps the shuffle join.
+
+    The side is persisted for the count, so it is computed once; a lost block is recomputed.
+    """
     limit = rows or setting(df.sparkSession, BROADCAST_ROWS, BROADCAST_ROWS_DEFAULT)
-    small = df.limit(limit + 1).count() <= limit
-    return F.broadcast(df) if small else df
+    kept = df.persist()
+    if kept.limit(limit + 1).count() <= limit:
+        return F.broadcast(kept)
+    kept.unpersist()
+    return df
