@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["features", "evaluation"]
+MODULES = ["features", "evaluation", "ensembles"]
 
 
 def load() -> None:

@@ -204,11 +204,11 @@ def _crossing(cells: DataFrame, position: str, before: str | None) -> DataFrame:
     upto = W.partitionBy("k").orderBy(position).rowsBetween(W.unboundedPreceding, 0)
     if before is None:
         cells = cells.withColumns({"before": F.lit(0.0), "half": F.sum("wt").over(W.partitionBy("k")) / 2})
-    cells = cells.withColumn("upto", F.col("before") + F.sum("wt").over(upto))
-    # the last cell always qualifies: summation order must not leave a fold without one
-    last = F.lead(position).over(W.partitionBy("k").orderBy(position)).isNull()
-    hit = (F.col("half") > 0) & ((F.col("upto") >= F.col("half")) | last)
-    picked = cells.where(hit) if before is None else cells.withColumn("__hit", hit).where("__hit")
+    ordered = W.partitionBy("k").orderBy(position)
+    # the last position always qualifies: summation order must not leave a fold without one
+    cells = cells.withColumns({"upto": F.col("before") + F.sum("wt").over(upto),
+                               "__last": F.lead(position).over(ordered).isNull()})
+    picked = cells.where((F.col("half") > 0) & ((F.col("upto") >= F.col("half")) | F.col("__last")))
     return picked.groupBy("k").agg(F.min_by(F.struct(position, (F.col("upto") - F.col("wt")).alias("before"), "half"),
                                             position).alias("s")).select("k", "s.*")
 
