@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["features", "evaluation", "ensembles"]
+MODULES = ["features", "evaluation", "ensembles", "matches", "lines"]
 
 
 def load() -> None:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from antecede.operators.quality import duplicate_keys, require_empty
 from antecede.operators.skew import lookup
+from antecede.session import ensure_checkpoint_dir
 
 KEYS = ("player_id", "match_id")
 RENORMALIZE, EMIT_NONE = "renormalize", "emit_none"
@@ -172,6 +173,8 @@ def absolute_weights(rows: DataFrame, folds: DataFrame, members: Sequence[str],
     pts = rows.where(a != b).select("fold_number", F.abs(a - b).alias("wt"), r.alias("r"))
     cell = F.floor(F.col("r") * _CELLS)
     pts = pts.withColumns({"cell": cell, "sub": F.floor((F.col("r") * _CELLS - cell) * _CELLS)})
+    ensure_checkpoint_dir(rows.sparkSession)
+    pts = pts.checkpoint()  # read three times: one narrow copy instead of three runs of the models
     ks = folds.select(F.col("fold_number").alias("k"))
 
     hist = pts.groupBy("fold_number", "cell").agg(F.sum("wt").alias("wt"))
@@ -179,13 +182,13 @@ def absolute_weights(rows: DataFrame, folds: DataFrame, members: Sequence[str],
     grid = lookup(grid, hist, ["fold_number", "cell"], ["wt"])
     earlier = W.partitionBy("cell").orderBy("fold_number").rowsBetween(W.unboundedPreceding, -1)
     level1 = grid.select(F.col("fold_number").alias("k"), "cell", F.coalesce(F.sum("wt").over(earlier), F.lit(0.0)).alias("wt"))
-    first = _crossing(level1, "cell", None)
+    first = _crossing(level1, "cell", None).checkpoint()  # one row per fold
 
     inner = pts.join(F.broadcast(first.withColumnRenamed("cell", "__cell")),
                      (F.col("cell") == F.col("__cell")) & (F.col("fold_number") < F.col("k")))
     level2 = inner.groupBy("k", "cell", "sub", "before", "half").agg(F.sum("wt").alias("wt"))
     second = _crossing(level2.drop("cell"), "sub", "before").select("k", "sub", "before", "half")
-    second = lookup(second, first, ["k"], ["cell"])
+    second = lookup(second, first, ["k"], ["cell"]).checkpoint()
 
     renamed = second.toDF("k", "__sub", "before", "half", "__cell")
     inner = pts.join(F.broadcast(renamed), (F.col("cell") == F.col("__cell")) & (F.col("sub") == F.col("__sub"))
