@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["features", "evaluation", "ensembles", "matches", "lines"]
+MODULES = ["features", "evaluation", "ensembles", "matches", "lines", "reports"]
 
 
 def load() -> None:
