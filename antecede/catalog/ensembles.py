@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from antecede.catalog.evaluation import BASELINE_SQL, FOLDS, FORM_SQL, baseline_oof, form_oof, r3, s3
 from antecede.catalog.registry import query, r6, s6
-from antecede.catalog.views import TARGET
+from antecede.catalog.views import TARGET, panel
 from antecede.plans import ensemble, scoring, walkforward
 
 MEMBERS = ["baseline", "form"]
@@ -22,8 +22,9 @@ mb AS (SELECT player_id, match_id, fold_number, target_value, 'baseline' AS memb
 
 
 def stacked(spark, sf):
-    form = form_oof(spark, sf).where("priority <> '2-HIGH'")
-    return ensemble.stack_members({"baseline": baseline_oof(spark, sf), "form": form}, CARRIED)
+    rows = panel(spark, sf)
+    form = form_oof(spark, sf, rows).where("priority <> '2-HIGH'")
+    return ensemble.stack_members({"baseline": baseline_oof(spark, sf, rows), "form": form}, CARRIED)
 
 
 def _combine_sql(policy: str) -> str:

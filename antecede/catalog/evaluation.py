@@ -101,13 +101,14 @@ SHOWN = f"""row_count, interval_rows, {s3('mae')} AS mae, {s3('rmse')} AS rmse,
   {s6('mae_improvement_over_baseline')} AS mae_improvement_over_baseline"""
 
 
-def baseline_oof(spark, sf):
-    return baseline.fold_predictions(panel(spark, sf), FOLDS, SETTINGS)
+def baseline_oof(spark, sf, rows=None):
+    rows = rows if rows is not None else panel(spark, sf)
+    return baseline.fold_predictions(rows, FOLDS, SETTINGS)
 
 
-def form_oof(spark, sf):
+def form_oof(spark, sf, rows=None):
     """A pluggable model: anything that returns prediction and bounds for the test rows."""
-    rows = walkforward.test_rows(panel(spark, sf), FOLDS)
+    rows = walkforward.test_rows(rows if rows is not None else panel(spark, sf), FOLDS)
     mean, std = F.col("rolling_mean_3"), F.col("rolling_std_3")
     return rows.withColumns({
         "prediction": mean, "lowerci": mean - 1.5 * std,
@@ -120,7 +121,8 @@ KEPT = ["modelversion", "player_id", "match_id", "event_date", "fold_number", "c
 
 
 def scored_rows(spark, sf):
-    both = baseline_oof(spark, sf).select(*KEPT).unionByName(form_oof(spark, sf).select(*KEPT))
+    rows = panel(spark, sf)  # one frame: both models share its exchange
+    both = baseline_oof(spark, sf, rows).select(*KEPT).unionByName(form_oof(spark, sf, rows).select(*KEPT))
     return both.withColumn("stat_target", F.lit(TARGET))
 
 

@@ -76,16 +76,24 @@ def _decompositions() -> tuple[str, str, dict[str, str], str]:
     return "".join(sources), "".join(targets), longer, f"[{ranges}]"
 
 
+def _ascii(text: Column) -> Column:
+    return F.length(text) == F.octet_length(text)
+
+
 def strip_accents(col: str | Column) -> Column:
-    """Compatibility decomposition without combining marks, as far as ASCII letters and digits go."""
+    """Compatibility decomposition without combining marks, as far as ASCII letters and digits go.
+
+    ASCII text is returned as it is; accented Latin text needs one translation; only what is still not
+    ASCII after that meets the expansion table and the class of combining marks.
+    """
     sources, targets, longer, marks = _decompositions()
-    text = F.translate(_c(col), sources, targets)
+    plain = _c(col)
+    text = F.translate(plain, sources, targets)
     wide = "[" + "".join(longer) + "]"
     table = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
     letters = F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c))
-    # evaluated only for the rare text holding such a letter
-    text = F.when(text.rlike(wide), F.array_join(letters, "")).otherwise(text)
-    return F.regexp_replace(text, marks, "")
+    expanded = F.when(text.rlike(wide), F.array_join(letters, "")).otherwise(text)
+    return F.when(_ascii(plain), plain).when(_ascii(text), text).otherwise(F.regexp_replace(expanded, marks, ""))
 
 
 def normalise_name(col: str | Column) -> Column:
@@ -146,11 +154,15 @@ PROP_NAMES = {
 def prop_key(col: str | Column, names: dict[str, str] | None = None) -> Column:
     """Whole name, then name without spaces, then first alias found as whole words; else NULL."""
     names = names or PROP_NAMES
-    text = normalise_name(col)
     table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    inside = F.coalesce(*[F.when(text.rlike(rf"\b{alias}\b"), F.lit(key)) for alias, key in names.items()])
-    return F.coalesce(F.try_element_at(table, text),
-                      F.try_element_at(table, F.replace(text, F.lit(" "), F.lit(""))), inside)
+
+    def key(text: Column) -> Column:
+        inside = [F.when(text.rlike(rf"\b{alias}\b"), F.lit(k)) for alias, k in names.items()]
+        return F.coalesce(F.try_element_at(table, text),
+                          F.try_element_at(table, F.replace(text, F.lit(" "), F.lit(""))), *inside)
+
+    # the one-element array makes the text be normalised once, not once per alias
+    return F.get(F.transform(F.array(normalise_name(col)), key), F.lit(0))
 
 
 def title_label(col: str | Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from antecede.functions.text import name_key, utc_timestamp
 from antecede.operators.quality import duplicate_keys, require_empty
 from antecede.operators.skew import lookup
+from antecede.session import ensure_checkpoint_dir
 
 
 @dataclass(frozen=True)
@@ -153,8 +154,10 @@ def _property(name: str) -> Column:
 
 def result_rows(verified: DataFrame, prefix: str = "wta-2026", code: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(players, two match rows per result, one provenance row); two fixtures on one match is an error."""
+    ensure_checkpoint_dir(verified.sparkSession)
     code = code if code is not None else F.col("tournament")
-    good = verified.where("reason IS NULL").withColumn("match_id", F.concat_ws("-", F.lit(prefix), code, "match_number"))
+    # checked once and read three times: verification runs once
+    good = verified.checkpoint().where("reason IS NULL").withColumn("match_id", F.concat_ws("-", F.lit(prefix), code, "match_number"))
     require_empty(duplicate_keys(good, ["match_id"]), "several fixtures map to one match")
     both = good.select("match_id", F.col("scheduled_date").alias("event_date"), "tournament", "round", "players",
                        F.posexplode("players").alias("i", "p"))

@@ -209,12 +209,15 @@ def strict_prior(
     eligible: str | None = None,
     rest: Mapping[str, tuple[str, ...]] | None = None,
     hot_rows: int | None = None,
+    hot_by: Sequence[str] | None = None,
+    probe: DataFrame | None = None,
 ) -> DataFrame:
     """Append every output of ``priors`` to ``df``.
 
     ``anchor`` is contained in every key set; the one exchange is on it.  ``order`` breaks ties within
     a date when the last N rows are chosen.  ``rest`` maps an output column to keys and yields the
     days since the previous distinct date.  A NULL date would see its own row, so it is an error.
+    Keys are counted on ``probe`` (default: the frame itself) by ``hot_by`` (default: the anchor).
     """
     rest = dict(rest or {})
     for keys in [p.keys for p in priors] + list(rest.values()):
@@ -229,7 +232,10 @@ def strict_prior(
         F.col(date).isNull(), F.raise_error(F.lit(f"{date} must not be NULL"))
     ).otherwise(day_number(date))
     work = df.withColumn(DAY, required)
-    cold, hot = split_hot(work, anchor, hot_rows)
+    hot_by = list(hot_by or anchor)
+    if not set(hot_by) <= set(anchor):
+        raise ValueError("hot_by must be part of the anchor")
+    cold, hot = split_hot(work, hot_by, hot_rows, probe)
     result = _windowed(cold.repartition(*anchor), priors, order, eligible, rest)
     if hot is not None:
         by_day = hot

@@ -114,6 +114,8 @@ PREDICTION_KEY = ["player_id", "match_id", "prop_type", "modelversion"]
 
 def append_backtest(df: DataFrame, path: str) -> None:
     """Append run-specific predictions; a live version, partial provenance or a stored key is refused."""
+    ensure_checkpoint_dir(df.sparkSession)
+    df = df.checkpoint()  # the checks and the write read one stored copy
     require_empty(df.where(~F.col("modelversion").contains("_backtest_")), "not a backtest version")
     require_empty(df.where("fold_number IS NULL OR fold_cutoff_date IS NULL OR fold_test_end_date IS NULL"),
                   "incomplete fold provenance")
@@ -126,6 +128,8 @@ def append_backtest(df: DataFrame, path: str) -> None:
 
 def write_predictions(df: DataFrame, path: str) -> None:
     """Live predictions: rerunning a version replaces that version and no other."""
+    ensure_checkpoint_dir(df.sparkSession)
+    df = df.checkpoint()
     require_empty(df.where(F.col("modelversion").contains("_backtest_")), "backtest versions are append-only")
     require_empty(quality.duplicate_keys(df, PREDICTION_KEY), "duplicate prediction keys")
     replace_partitions(df, path, ["sport", "prop_type", "modelversion"])

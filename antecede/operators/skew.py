@@ -56,10 +56,13 @@ def hot_keys(df: DataFrame, keys: Sequence[str], rows: int | None = None) -> Dat
 
 
 def split_hot(
-    df: DataFrame, keys: Sequence[str], rows: int | None = None
+    df: DataFrame, keys: Sequence[str], rows: int | None = None, probe: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of ordinary keys, rows of hot keys or None when no key is hot)."""
-    hot = hot_keys(df, keys, rows)
+    """(rows of ordinary keys, rows of hot keys or None when no key is hot).
+
+    ``probe`` is a cheaper frame with the same keys to count on, such as the table before joins.
+    """
+    hot = hot_keys(df if probe is None else probe, keys, rows)
     if hot.isEmpty():
         return df, None
     hot = F.broadcast(hot)

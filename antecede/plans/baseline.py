@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from antecede.operators.skew import checked_broadcast, lookup
-from antecede.plans.walkforward import Fold, calendar_frame, test_rows, training_rows
+from antecede.plans.walkforward import Fold, test_rows, training_rows
 
 
 @dataclass(frozen=True)
@@ -50,8 +50,9 @@ def context_ratios(df: DataFrame, settings: BaselineSettings) -> DataFrame:
 
 def _multiplied(rows: DataFrame, ratios: DataFrame, contexts: Sequence[str], fold: str | None) -> DataFrame:
     """Left lookup per context with default 1.0: NULL, unseen and undersized values keep 1.0."""
+    ratios = checked_broadcast(ratios)
     for c in contexts:
-        side = checked_broadcast(ratios.where(F.col("context") == c))
+        side = ratios.where(F.col("context") == c)
         keys = {f"__v_{c}": "value", **({fold: fold} if fold else {})}
         rows = lookup(rows.withColumn(f"__v_{c}", F.col(c).cast("string")), side, keys, {f"__m_{c}": "multiplier"})
     adjust = reduce(lambda a, b: a * b, [F.coalesce(f"__m_{c}", F.lit(1.0)) for c in contexts], F.lit(1.0))
@@ -88,38 +89,46 @@ def prediction_census(df: DataFrame, settings: BaselineSettings) -> DataFrame:
         F.count_if(history & F.col(settings.base_column).isNull()).alias("missing_base_rows"))
 
 
-def fold_ratios(df: DataFrame, folds: Sequence[Fold], settings: BaselineSettings) -> DataFrame:
-    """Multipliers of every fold from one pass.
+_ALL = ""  # the pseudo context whose groups are all training rows
+
 
-    Each training row is counted once, at the first fold that may see it; a running sum over folds then
-    gives every fold's training statistics.  The dense grid is (context values x folds): the group
-    table, not the rows.
+def fold_statistics(df: DataFrame, folds: Sequence[Fold], settings: BaselineSettings) -> DataFrame:
+    """(first_fold, context, value, s, n): the one pass over the training rows, persisted.
+
+    Its rows are at most (context values + 1) x folds.
     """
-    spark = df.sparkSession
     train = training_rows(df, folds).where(F.col("target_value").isNotNull())
-    part = _by_context(train, settings.context_columns).groupBy(
-        "first_fold", F.col("__c.context").alias("context"), F.col("__c.value").alias("value")).agg(
-        F.sum("target_value").alias("s"), F.count(F.lit(1)).alias("n"))
-    overall = train.groupBy("first_fold").agg(F.sum("target_value").alias("os"), F.count(F.lit(1)).alias("on"))
-    cal = calendar_frame(spark, folds).select("fold_number")
+    pairs = F.array(F.struct(F.lit(_ALL).alias("context"), F.lit("").alias("value")), *[
+        F.struct(F.lit(c).alias("context"), F.col(c).cast("string").alias("value")) for c in settings.context_columns])
+    rows = train.select("first_fold", "target_value", F.explode(pairs).alias("c")).where("c.value IS NOT NULL")
+    return rows.groupBy("first_fold", F.col("c.context").alias("context"), F.col("c.value").alias("value")).agg(
+        F.sum("target_value").alias("s"), F.count(F.lit(1)).alias("n")).persist()
+
 
-    grid = part.select("context", "value").distinct().withColumn(
+def ratios_from_statistics(stats: DataFrame, folds: Sequence[Fold], settings: BaselineSettings) -> DataFrame:
+    """Multipliers of every fold: a row counts from the first fold that may see it, so a running sum over
+    folds gives each fold's training statistics. The dense grid is context values x folds, not rows."""
+    grid = stats.select("context", "value").distinct().withColumn(
         "fold_number", F.explode(F.sequence(F.lit(1), F.lit(len(folds)))))
-    grid = lookup(grid, part, {"fold_number": "first_fold", "context": "context", "value": "value"}, ["s", "n"])
+    grid = lookup(grid, stats, {"fold_number": "first_fold", "context": "context", "value": "value"}, ["s", "n"])
     run = W.partitionBy("context", "value").orderBy("fold_number").rowsBetween(W.unboundedPreceding, 0)
     grid = grid.withColumns({"s": F.sum("s").over(run), "n": F.sum("n").over(run)})
-    totals = lookup(cal, overall, {"fold_number": "first_fold"}, ["os", "on"])
-    all_run = W.orderBy("fold_number").rowsBetween(W.unboundedPreceding, 0)  # one row per fold
-    totals = totals.select("fold_number", (F.sum("os").over(all_run) / F.sum("on").over(all_run)).alias("overall"))
-    grid = lookup(grid, F.broadcast(totals), ["fold_number"], ["overall"], how="inner")
+    fold = W.partitionBy("fold_number")  # one row per context value
+    overall = F.max(F.when(F.col("context") == _ALL, F.col("s") / F.col("n"))).over(fold)
+    grid = grid.withColumn("overall", overall).where(F.col("context") != _ALL)
     big = F.col("n") >= settings.minimum_group_size
     return grid.where(big).select("fold_number", "context", "value", F.col("n").alias("rows"),
                                   (F.col("s") / F.col("n") / F.col("overall")).alias("multiplier"))
 
 
+def fold_ratios(df: DataFrame, folds: Sequence[Fold], settings: BaselineSettings) -> DataFrame:
+    return ratios_from_statistics(fold_statistics(df, folds, settings), folds, settings)
+
+
 def fold_predictions(df: DataFrame, folds: Sequence[Fold], settings: BaselineSettings) -> DataFrame:
     """Out-of-fold baseline for every fold in one job; folds without training rows are skipped."""
-    first = training_rows(df, folds).agg(F.min("first_fold").alias("__first"))
+    stats = fold_statistics(df, folds, settings)
+    first = stats.agg(F.min("first_fold").alias("__first"))
     rows = test_rows(df, folds).crossJoin(F.broadcast(first)).where("fold_number >= __first").drop("__first")
-    rows = _multiplied(rows, fold_ratios(df, folds, settings), settings.context_columns, "fold_number")
-    return _predicted(rows, settings)
+    ratios = ratios_from_statistics(stats, folds, settings)
+    return _predicted(_multiplied(rows, ratios, settings.context_columns, "fold_number"), settings)

@@ -91,10 +91,16 @@ def build_features(matches: DataFrame, config: FeatureConfig, *, match: str = "m
                    player: str = "player_id", opponent: str = "opponent_id", date: str = "event_date",
                    order: Sequence[str] = ("match_id",), completed: str = "completed",
                    result: str = "is_winner", hot_rows: int | None = None) -> DataFrame:
-    """Long by stat_target, one column per feature; eligibility flags last."""
-    long = by_target(matches, config)
-    long = opponent_value(long, match, player, opponent, {"__conceded": "target_value"}, ["stat_target"])
-    long = long.withColumn("__won", F.col(result).cast("int"))
+    """Long by stat_target, one column per feature; eligibility flags last.
+
+    What the opponent concedes is what others scored against it, so the opponent's form is the history
+    of rows naming it as opponent: an exchange on the opponent instead of computing every player's
+    history a second time for a join. The only thing read off the opponent's own row is whether it
+    exists and counts; both rows of a match carry the same date.
+    """
+    marked = matches.withColumns({"__counts": F.coalesce(F.col(completed), F.lit(False)), "__won": F.col(result).cast("int")})
+    marked = opponent_value(marked, match, player, opponent, {"__opponent_counts": "__counts"})
+    long = by_target(marked, config)
 
     own = (player, "stat_target")
     rolling = {f"rolling_{a}_{n}": (a, n) for a in config.aggregations for n in config.rolling_windows}
@@ -110,11 +116,14 @@ def build_features(matches: DataFrame, config: FeatureConfig, *, match: str = "m
         Prior((*own, opponent), "target_value", {"head_to_head_average": ("mean", None)}),
         Prior((*own, opponent), "__won", {"head_to_head_win_rate": ("mean", None)},
               {"head_to_head_matches": None}),
-        Prior(own, "__conceded", {"__form": ("mean", n)}),
     ]
     built = strict_prior(long, priors, anchor=own, date=date, order=order, eligible=completed,
-                         rest={"rest_days": own}, hot_rows=hot_rows)
-    built = opponent_value(built, match, player, opponent, {"__opponent_form": "__form"}, ["stat_target"])
+                         rest={"rest_days": own}, hot_rows=hot_rows, hot_by=[player], probe=matches.select(player))
+    against = (opponent, "stat_target")
+    built = strict_prior(
+        built, [Prior(against, "target_value", {"__form": ("mean", n)})], anchor=against, date=date, order=order,
+        eligible="__opponent_counts", hot_rows=hot_rows, hot_by=[opponent], probe=matches.select(opponent))
+    built = built.withColumn("__opponent_form", F.when(F.col("__opponent_counts").isNotNull(), F.col("__form")))
 
     def pick(source: str, attr: str) -> dict[str, Column]:
         names = dict.fromkeys(getattr(t, attr) for t in config.targets)

@@ -169,8 +169,8 @@ def accuracy_by_run(predictions: DataFrame, matches: DataFrame, metric_log: Data
         (F.sum("ae") / total).alias("mae"), F.sqrt(F.sum("se") / total).alias("rmse"),
         (F.sum("e") / total).alias("mean_bias"), F.try_divide(F.sum("c"), F.sum("i")).alias("interval_coverage"))
     out = out.withColumn("model_family", model_family("modelversion"))
-    base = out.where(F.col("model_family") == "baseline")
-    out = lookup(out, F.broadcast(base), ["sport", "prop_type"], {"baseline_mae": "mae"})
+    peers = W.partitionBy("sport", "prop_type")  # one row per version
+    out = out.withColumn("baseline_mae", F.max(F.when(F.col("model_family") == "baseline", F.col("mae"))).over(peers))
     gain = F.try_divide(F.col("baseline_mae") - F.col("mae"), F.col("baseline_mae")) * 100.0
     out = out.withColumns({
         "mae_improvement_over_baseline": F.when(F.col("model_family") == "baseline", 0.0).otherwise(gain),

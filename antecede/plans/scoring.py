@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from antecede.operators.ranks import global_rank
 from antecede.operators.skew import lookup
@@ -39,29 +39,35 @@ def repair_intervals(df: DataFrame) -> DataFrame:
 
 
 def score(df: DataFrame, by: Sequence[str] = ("modelversion", "stat_target"), fold: str = "fold_number") -> DataFrame:
-    """Errors per fold and pooled (fold 0) from the same rows, as one grouping-sets aggregate."""
+    """Errors per fold and pooled (fold 0) over all rows.
+
+    Rows are reduced to sums per fold first; the pooled scores are sums of sums, so no row is
+    multiplied for the second grouping set.
+    """
     error = F.col("prediction") - F.col("target_value")
     inside = F.col("target_value").between(F.col("lowerci"), F.col("upperci"))
-    aggs = [
-        F.count(F.lit(1)).alias("row_count"), F.count_if(both_bounds()).alias("interval_rows"),
-        F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"),
-        F.avg(error).alias("mean_bias"),
-        F.avg(F.when(both_bounds(), inside.cast("double"))).alias("interval_coverage"),
-        F.count_if("was_crossing").alias("interval_crossing_count"),
-        F.count_if("was_repaired").alias("interval_repair_count"),
-        F.grouping(fold).alias("__pooled"),
-    ]
-    repaired = repair_intervals(df)
+    sums = repair_intervals(df).groupBy(*by, fold).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(both_bounds()).alias("i"), F.sum(F.abs(error)).alias("ae"),
+        F.sum(error * error).alias("se"), F.sum(error).alias("e"), F.count_if(both_bounds() & inside).alias("c"),
+        F.count_if("was_crossing").alias("x"), F.count_if("was_repaired").alias("r"))
     sets = [[F.col(c) for c in [*by, fold]], [F.col(c) for c in by]]
-    out = repaired.groupingSets(sets, *by, fold).agg(*aggs)
+    n = F.sum("n")
+    out = sums.groupingSets(sets, *by, fold).agg(
+        n.alias("row_count"), F.sum("i").alias("interval_rows"), (F.sum("ae") / n).alias("mae"),
+        F.sqrt(F.sum("se") / n).alias("rmse"), (F.sum("e") / n).alias("mean_bias"),
+        F.try_divide(F.sum("c"), F.sum("i")).alias("interval_coverage"), F.sum("x").alias("interval_crossing_count"),
+        F.sum("r").alias("interval_repair_count"), F.grouping(fold).alias("__pooled"))
     return out.withColumn(fold, F.when(F.col("__pooled") == 1, F.lit(POOLED)).otherwise(F.col(fold))).drop("__pooled")
 
 
 def with_improvement(scores: DataFrame, family: str = "model_family", baseline: str = "baseline",
                      by: Sequence[str] = ("stat_target", "fold_number")) -> DataFrame:
-    """Percent MAE below the baseline's; 0 when both are 0, NULL when only the baseline is 0."""
-    base = scores.where(F.col(family) == baseline)
-    out = lookup(scores, F.broadcast(base), by, {"baseline_mae": "mae"})
+    """Percent MAE below the baseline's; 0 when both are 0, NULL when only the baseline is 0.
+
+    The window runs over score rows (one per model); a self-join would score everything twice.
+    """
+    peers = W.partitionBy(*by)
+    out = scores.withColumn("baseline_mae", F.max(F.when(F.col(family) == baseline, F.col("mae"))).over(peers))
     b, m = F.col("baseline_mae"), F.col("mae")
     gain = F.when(b == 0, F.when(m == 0, 0.0)).otherwise((b - m) / b * 100)
     return out.withColumn("mae_improvement_over_baseline", gain)
