@@ -96,12 +96,15 @@ def strip_accents(col: str | Column) -> Column:
     return F.when(_ascii(plain), plain).when(_ascii(text), text).otherwise(F.regexp_replace(expanded, marks, ""))
 
 
+def fold_case(col: str | Column) -> Column:
+    return F.regexp_replace(F.lower(_c(col)), "[ßẞ]", "ss")
+
+
 def normalise_name(col: str | Column) -> Column:
     """Accents off, camel case split, case folded, every other character one space; never NULL."""
     text = strip_accents(F.trim(F.coalesce(_c(col), F.lit(""))))
     text = F.regexp_replace(text, "(?<=[a-z])(?=[A-Z])", " ")
-    text = F.regexp_replace(F.lower(text), "[ßẞ]", "ss")
-    return F.trim(F.regexp_replace(text, "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(fold_case(text), "[^a-z0-9]+", " "))
 
 
 def name_key(col: str | Column) -> Column:

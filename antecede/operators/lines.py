@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from antecede.functions.text import (
-    clean, decimal_or_null, name_aliases, normalise_name, prop_key, side_of, tour_label, utc_timestamp)
+    clean, decimal_or_null, fold_case, name_aliases, normalise_name, prop_key, side_of, tour_label, utc_timestamp)
 from antecede.operators.skew import lookup
 
 # fixed values: the two accepted layouts
@@ -174,10 +174,10 @@ def resolve_names(names: DataFrame, players: DataFrame, name: str = "name", tour
     both stages to players of that tour, an unknown one searches all.
     """
     wanted = names.select(name, tour).distinct().withColumns({
-        "__tour": F.coalesce(tour, F.lit("*")), "__raw": F.lower(F.trim(F.coalesce(name, F.lit("")))),
+        "__tour": F.coalesce(tour, F.lit("*")), "__raw": fold_case(F.trim(F.coalesce(name, F.lit("")))),
         "__norm": normalise_name(name)})
     named = players.where(clean("player_id").isNotNull() & clean("full_name").isNotNull())
-    raw = named.select(tour_label("tour").alias("tour"), F.lower(F.trim("full_name")).alias("alias"),
+    raw = named.select(tour_label("tour").alias("tour"), fold_case(F.trim("full_name")).alias("alias"),
                        F.trim("player_id").alias("player_id"))
     norm = alias_table(players)
 

@@ -37,14 +37,18 @@ def _checked(overall: Column) -> Column:
     return F.when(F.coalesce(overall, F.lit(0.0)) > 0, overall).otherwise(problem)
 
 
+def _overall(df: DataFrame) -> DataFrame:
+    """One row: the training mean, an error unless positive."""
+    return F.broadcast(_training(df).agg(_checked(F.avg("target_value")).alias("__overall")))
+
+
 def context_ratios(df: DataFrame, settings: BaselineSettings) -> DataFrame:
     """(context, value, rows, multiplier) for groups of at least the minimum size."""
     train = _training(df)
     groups = _by_context(train, settings.context_columns).groupBy(
         F.col("__c.context").alias("context"), F.col("__c.value").alias("value")).agg(
         F.count(F.lit(1)).alias("rows"), F.avg("target_value").alias("__mean"))
-    overall = train.agg(_checked(F.avg("target_value")).alias("__overall"))
-    found = groups.where(F.col("rows") >= settings.minimum_group_size).crossJoin(F.broadcast(overall))
+    found = groups.where(F.col("rows") >= settings.minimum_group_size).crossJoin(_overall(df))
     return found.select("context", "value", "rows", (F.col("__mean") / F.col("__overall")).alias("multiplier"))
 
 
@@ -76,6 +80,7 @@ def _predicted(rows: DataFrame, settings: BaselineSettings) -> DataFrame:
 def predict(df: DataFrame, settings: BaselineSettings) -> DataFrame:
     """Live predictions: ratios from all training rows, one row per row with history and a base value."""
     rows = df.where(F.coalesce("has_sufficient_history", F.lit(False)))
+    rows = rows.crossJoin(_overall(df)).where("__overall IS NOT NULL").drop("__overall")  # the check must run
     rows = _multiplied(rows, context_ratios(df, settings), settings.context_columns, None)
     return _predicted(rows, settings)
 
