@@ -124,7 +124,9 @@ def correlation_guard(df: DataFrame, features: Sequence[str], target: str, by: S
         ok = x.isNotNull() & t.isNotNull()
         xs, ts = F.when(ok, x), F.when(ok, t)
         usable = (F.count(xs) >= 3) & (F.min(xs) < F.max(xs)) & (F.min(ts) < F.max(ts))
-        aggs.append(F.when(usable, F.abs(F.corr(xs, ts))).alias(f))
+        # corr() itself fails on a constant column under ANSI rules
+        r = F.try_divide(F.covar_samp(xs, ts), F.stddev_samp(xs) * F.stddev_samp(ts))
+        aggs.append(F.when(usable, F.abs(r)).alias(f))
     wide = df.groupBy(*by).agg(*aggs)
     long = wide.unpivot(list(by), list(features), "feature", "abs_correlation")
     return long.withColumn("suspicious", F.coalesce(F.col("abs_correlation") > threshold, F.lit(False)))
