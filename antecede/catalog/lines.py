@@ -8,7 +8,7 @@ from antecede.catalog.registry import query, r6, s6, table
 from antecede.catalog.views import LINES_SQL, lines
 from antecede.functions.text import name_aliases, normalise_name, prop_key, side_of, tour_label
 from antecede.operators import lines as ops
-from antecede.operators.skew import lookup
+from antecede.operators.skew import checked_broadcast, lookup
 
 ORDER = ["captured_at", "l_linenumber", "l_suppkey", "odds_id"]
 GROUP = ["fixture_id", "book", "provider_player_id", "line"]
@@ -158,7 +158,7 @@ rs AS (SELECT ct.*, coalesce(rw.id, nr.id) AS player_id, CASE WHEN rw.id IS NOT
 
 def resolved(spark, sf):
     rows = captures(spark, sf).withColumn("tour", tour_label("league"))
-    found = ops.resolve_names(rows, people(spark, sf))
+    found = checked_broadcast(ops.resolve_names(rows, people(spark, sf)))
     return ops.with_player(rows, found, "name", "tour", "player_id", "stage")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from antecede.functions.text import (
     clean, decimal_or_null, fold_case, name_aliases, normalise_name, prop_key, side_of, tour_label, utc_timestamp)
-from antecede.operators.skew import lookup
+from antecede.operators.skew import checked_broadcast, lookup
 
 # fixed values: the two accepted layouts
 RAW_COLUMNS = ["captured_at", "fixture_id", "league", "tournament", "start_date", "home_player", "away_player",
@@ -239,7 +239,7 @@ def prepare_snapshot(raw: DataFrame, players: DataFrame, matches: DataFrame, pro
     lines = pivot_sides(usable, [*order, "side"], metadata=meta).withColumn("__tour", tour_label("league"))
     names = lines.select(F.explode(F.array("provider_player_name", "home_player", "away_player")).alias("name"),
                          F.col("__tour").alias("tour"))
-    resolved = resolve_names(names, players)
+    resolved = checked_broadcast(resolve_names(names, players))  # distinct names: three lookups without moving the lines
     rows = with_player(lines, resolved, "provider_player_name", "__tour", "selected_id", "stage")
     rows = with_player(rows, resolved, "home_player", "__tour", "home_id")
     rows = with_player(rows, resolved, "away_player", "__tour", "away_id")

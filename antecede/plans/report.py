@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from antecede.functions.text import model_family, title_label, version_stem
 from antecede.operators.latest import latest_by
-from antecede.operators.skew import lookup
+from antecede.operators.skew import checked_broadcast, lookup
 
 REAL, DEMO = "real", "demo"
 
@@ -65,7 +65,8 @@ def fact_report(predictions: DataFrame, players: DataFrame, props: DataFrame, ma
     facts = lookup(facts, latest_injuries(injuries), ["player_id", "event_date"], ["status"])
     facts = lookup(facts, players, ["player_id"], {"player": "full_name", "tour": "tour"}, how="inner")
     facts = lookup(facts, players, {"opponent_id": "player_id"}, {"opponent": "full_name"})
-    facts = lookup(facts, props, {"prop_type": "prop_key"}, {"__label": "display_label"}, how="inner")
+    # a handful of keys: without the checked broadcast all facts would shuffle onto them
+    facts = lookup(facts, checked_broadcast(props), {"prop_type": "prop_key"}, {"__label": "display_label"}, how="inner")
     facts = facts.withColumns({
         **edge_columns(),
         "prop_label": F.coalesce("__label", title_label("prop_type")),
@@ -181,7 +182,7 @@ def accuracy_by_run(predictions: DataFrame, matches: DataFrame, metric_log: Data
         for m in ("interval_crossing_count", "interval_repair_count")])
     out = lookup(out, pooled, {"stem": "modelversion", "sport": "sport", "prop_type": "stat_target"},
                  ["interval_crossing_count", "interval_repair_count"])
-    out = lookup(out, props, {"prop_type": "prop_key"}, {"__label": "display_label"})
+    out = lookup(out, checked_broadcast(props), {"prop_type": "prop_key"}, {"__label": "display_label"})
     out = out.withColumn("prop_label", F.coalesce("__label", title_label("prop_type")))
     return out.drop("baseline_mae", "stem", "__label")
 
