@@ -246,20 +246,27 @@ def feature_backfill(spark, sf):
 
 # --- audits ---------------------------------------------------------------------------------------
 
-@query("leakage_recompute", _prior_sql(
-    "avg(units) FILTER (k <= 5) AS m, count(*) FILTER (k <= 5) AS n", "x.units IS NOT NULL",
-    f"{s6('m')} AS rolling_mean_5, coalesce(n, 0) AS n_5, true AS agrees"))
+@query("leakage_recompute", f"""WITH {H_SQL},
+r AS (SELECT * FROM h ORDER BY md5(match_id || '-' || player_id), match_id, player_id LIMIT 50),
+p AS (SELECT r.match_id, r.player_id, x.units,
+             row_number() OVER (PARTITION BY r.match_id, r.player_id ORDER BY x.event_date DESC, x.match_id DESC) AS k
+      FROM r JOIN h x ON x.player_id = r.player_id AND x.event_date < r.event_date AND x.completed AND x.units IS NOT NULL),
+a AS (SELECT match_id, player_id, avg(units) FILTER (k <= 5) AS m, stddev_samp(units) AS s, count(*) AS n FROM p GROUP BY ALL)
+SELECT r.match_id, r.player_id, {s6('m')} AS rolling_mean_5, {s6('s')} AS career_std, coalesce(n, 0) AS n, true AS agrees
+FROM r LEFT JOIN a USING (match_id, player_id)""")
 def leakage_recompute(spark, sf):
-    """Independent self-join recomputation next to the window result, for every row."""
-    prior = pit.Prior(("player_id",), "units", {"rolling_mean_5": ("mean", 5)}, {"n_5": 5})
+    """Fifty sampled rows recomputed by a join, next to the window result over the whole table."""
+    prior = pit.Prior(("player_id",), "units", {"rolling_mean_5": ("mean", 5), "career_std": ("std", None)}, {"n": None})
     h = history(spark, sf)
-    rows = pit.strict_prior(h, [prior], anchor=["player_id"], date="event_date", **PIT)
+    built_rows = pit.strict_prior(h, [prior], anchor=["player_id"], date="event_date", **PIT)
+    rows = quality.ordered_sample(built_rows, ["match_id", "player_id"], 50)
     again = quality.recompute(rows, h, prior, row_id=["match_id", "player_id"], date="event_date", **PIT)
-    again = again.select("match_id", "player_id", F.col("rolling_mean_5").alias("m"), F.col("n_5").alias("n"))
+    again = again.toDF("match_id", "player_id", *[f"x_{c}" for c in again.columns[2:]])
     both = rows.join(again, ["match_id", "player_id"])
-    agrees = quality.close(F.col("rolling_mean_5"), F.col("m")) & (F.col("n_5") == F.col("n"))
-    return both.select("match_id", "player_id", r6("m").alias("rolling_mean_5"), F.col("n").alias("n_5"),
-                       agrees.alias("agrees"))
+    agrees = (quality.close(F.col("rolling_mean_5"), F.col("x_rolling_mean_5"))
+              & quality.close(F.col("career_std"), F.col("x_career_std")) & (F.col("n") == F.col("x_n")))
+    return both.select("match_id", "player_id", r6("x_rolling_mean_5").alias("rolling_mean_5"),
+                       r6("x_career_std").alias("career_std"), F.col("x_n").alias("n"), agrees.alias("agrees"))
 
 
 @query("first_event_null", f"""WITH {H_SQL},

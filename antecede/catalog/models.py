@@ -60,17 +60,5 @@ def time_tail_split(spark, sf):
 def shuffled_target(spark, sf):
     """Baseline error of one fold with the real and with permuted training targets."""
     rows = panel(spark, sf)
-    fold = FOLDS[-1]
-    train = rows.where(F.col("is_training_eligible") & (F.col("event_date") < F.lit(fold.cutoff)))
-    test = walkforward.test_rows(rows, [fold]).drop("fold_number", "cutoff_date", "test_end_date")
-    test = test.withColumn("is_training_eligible", F.lit(False))
-    keys = ["match_id"]
-    moved = walkforward.shuffle_targets(train, keys)
-
-    def error(training, name):
-        out = baseline.predict(training.withColumn("has_sufficient_history", F.lit(False)).unionByName(test), SETTINGS)
-        return out.agg(F.lit(name).alias("training_target"), F.count(F.lit(1)).alias("rows"),
-                       F.avg(F.abs(F.col("prediction") - F.col("target_value"))).alias("mae"))
-
-    out = error(train, "ordinary").unionByName(error(moved, "shuffled"))
+    out = walkforward.sabotage(rows, FOLDS[-1], baseline.fitter(SETTINGS), ["match_id"])
     return out.select("training_target", "rows", r3("mae").alias("mae"))

@@ -12,6 +12,7 @@ from antecede.catalog.views import PANEL_SQL, panel
 from antecede.operators import quality
 from antecede.operators.latest import latest_run
 from antecede.plans import report, scoring, walkforward
+from antecede.sources import tables as scans
 
 AS_OF = dt.date(2000, 6, 30)
 OUTCOMES = {"spend": "spend", "half_spend": "half_spend"}
@@ -327,6 +328,33 @@ def key_relabel(spark, sf):
             "modelversion")).agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query("match_history_scan", f"""WITH {R_SQL} SELECT match_id, ma.player_id, opponent_id, event_date, full_name FROM ma
+JOIN pl ON pl.player_id = ma.player_id WHERE tour = 'NATION_3' AND left(ma.player_id, 5) <> 'demo_'""")
+def match_history_scan(spark, sf):
+    out = scans.match_history(matches(spark, sf), players(spark, sf), "NATION_3", {"full_name": "full_name"})
+    return out.select("match_id", "player_id", "opponent_id", "event_date", "full_name")
+
+
+@query("feature_scan", f"""WITH {R_SQL} SELECT match_id, player_id, {s3('rolling_average')} AS rolling_average FROM fe
+WHERE stat_target = 'spend' AND feature_version = 'v2' AND left(player_id, 5) <> 'demo_'""")
+def feature_scan(spark, sf):
+    """Features stored by version, one version read back by partition."""
+    from antecede.operators import sinks
+    path = sinks.scratch_path(spark, "feature-table")
+    rows = features(spark, sf).withColumn("sport", F.lit("orders"))
+    sinks.replace_partitions(rows, path, ["sport", "feature_version", "stat_target"])
+    out = scans.read_features(spark, path, "orders", "v2", "spend")
+    return out.select("match_id", "player_id", r3("rolling_average").alias("rolling_average"))
+
+
+@query("member_scan", f"""WITH {R_SQL} SELECT modelversion AS member, count(*) AS rows, {s3('sum(prediction) / count(*)')} AS mean_prediction
+FROM pd WHERE modelversion IN ('baseline_v1_spend', 'gbm_v1_spend', 'absent') AND left(player_id, 5) <> 'demo_' GROUP BY 1""")
+def member_scan(spark, sf):
+    rows = scans.member_predictions(predictions(spark, sf), ["baseline_v1_spend", "gbm_v1_spend", "absent"])
+    return rows.groupBy("member").agg(F.count(F.lit(1)).alias("rows"), (F.sum("prediction") / F.count(F.lit(1))).alias("mean_prediction")
+                                      ).withColumn("mean_prediction", r3("mean_prediction"))
+
+
 # --- accuracy of the newest backtest run ------------------------------------------------------------
 
 STAMP = "20260103T120000000000Z"

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from antecede.operators.pit import Prior
 from antecede.operators.ranks import exact_quantiles
-from antecede.operators.skew import lookup
+from antecede.operators.skew import checked_broadcast, lookup
 
 
 class AuditFailure(AssertionError):
@@ -51,9 +51,10 @@ def close(actual: Column, expected: Column, rtol: float = 1e-9, atol: float = 5e
 
 def recompute(rows: DataFrame, history: DataFrame, prior: Prior, *, row_id: Sequence[str], date: str,
               order: Sequence[str], eligible: str | None = None) -> DataFrame:
-    """Outputs of ``prior`` for ``rows`` by self-join on an earlier date: no windows over history.
+    """Outputs of ``prior`` for sampled ``rows`` by a join on an earlier date: no windows over history.
 
-    Used on samples, so the join is bounded by sample size times history length.
+    The sample is the small side. One sampled row of a hot key may still meet very much history, so
+    last-N outputs keep N rows per sampled row before the shuffle and totals are mergeable.
     """
     src = history.where(F.col(prior.value).isNotNull())
     if eligible:
@@ -62,19 +63,26 @@ def recompute(rows: DataFrame, history: DataFrame, prior: Prior, *, row_id: Sequ
                      *[F.col(o).alias(f"__h_{o}") for o in order], F.col(prior.value).cast("double").alias("__h_v"))
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__h_{k}")) for k in prior.keys])
     base = rows.select(*dict.fromkeys([*row_id, *prior.keys, date]))
-    pairs = base.join(src, same & (F.col("__h_date") < F.col(date)), "left")
-    newest = W.partitionBy(*row_id).orderBy(
-        F.col("__h_date").desc_nulls_last(), *[F.col(f"__h_{o}").desc_nulls_last() for o in order])
-    pairs = pairs.withColumn("__k", F.row_number().over(newest))
-    aggs = []
-    table = {"mean": F.avg, "std": F.stddev_samp, "median": F.median}
-    for name, (agg, window) in prior.outputs.items():
-        value = F.col("__h_v") if window is None else F.when(F.col("__k") <= window, F.col("__h_v"))
-        aggs.append(table[agg](value).alias(name))
-    for name, window in prior.counts.items():
-        value = F.col("__h_v") if window is None else F.when(F.col("__k") <= window, F.col("__h_v"))
-        aggs.append(F.count(value).alias(name))
-    return pairs.groupBy(*row_id).agg(*aggs)
+    pairs = src.join(checked_broadcast(base), same & (F.col("__h_date") < F.col(date)))
+    table = {"mean": F.avg, "std": F.stddev_samp, "median": F.median, "count": F.count}
+    out = base.select(*row_id)
+    if prior.unbounded:
+        totals = pairs.groupBy(*row_id).agg(*[table[agg]("__h_v").alias(n) for n, agg in prior.unbounded.items()])
+        out = lookup(out, totals, row_id, list(prior.unbounded), null_safe=True)
+    if prior.bounded:
+        newest = W.partitionBy(*row_id).orderBy(F.col("__h_date").desc(), *[F.col(f"__h_{o}").desc() for o in order])
+        most = max(size for _, size in prior.bounded.values())
+        tail = pairs.withColumn("__k", F.row_number().over(newest)).where(F.col("__k") <= most)
+        last = tail.groupBy(*row_id).agg(*[
+            table[agg](F.when(F.col("__k") <= size, F.col("__h_v"))).alias(n) for n, (agg, size) in prior.bounded.items()])
+        out = lookup(out, last, row_id, list(prior.bounded), null_safe=True)
+    return out.fillna(0, list(prior.counts)) if prior.counts else out
+
+
+def ordered_sample(df: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
+    """``size`` rows chosen by a digest of their keys: repeatable and the same in any engine."""
+    digest = F.md5(F.concat_ws("-", *[F.col(k).cast("string") for k in keys]))
+    return df.orderBy(digest, *keys).limit(size)
 
 
 def hash_sample(df: DataFrame, keys: Sequence[str], one_in: int, seed: int = 20250916) -> DataFrame:
@@ -170,3 +178,21 @@ def census(df: DataFrame, player: str) -> DataFrame:
     demo = F.coalesce(F.col(player).startswith("demo_"), F.lit(False))
     return df.agg(F.count(F.lit(1)).alias("total_rows"), F.count_if(~demo).alias("real_rows"),
                   F.count_if(demo).alias("demo_rows"))
+
+
+def count_mismatch(built: DataFrame, stored: DataFrame) -> DataFrame:
+    """One row when as many rows were stored as built is not true, else none."""
+    both = built.agg(F.count(F.lit(1)).alias("built_rows")).crossJoin(
+        F.broadcast(stored.agg(F.count(F.lit(1)).alias("stored_rows"))))
+    return both.where("built_rows <> stored_rows")
+
+
+def census_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Demo counts a real run changed: ``before`` and ``after`` are (table_name, demo_rows)."""
+    out = lookup(before.select("table_name", "demo_rows"), after, ["table_name"], {"demo_rows_after": "demo_rows"})
+    return out.where(~F.col("demo_rows").eqNullSafe(F.col("demo_rows_after")))
+
+
+def history_without_value(df: DataFrame, observations: str, value: str, minimum: int = 1) -> DataFrame:
+    """Rows whose history is long enough but whose aggregate is missing (two rows are needed for a deviation)."""
+    return df.where((F.col(observations) >= minimum) & F.col(value).isNull())

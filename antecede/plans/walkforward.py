@@ -160,3 +160,21 @@ def shuffle_targets(training: DataFrame, keys: Sequence[str], target: str = "tar
     values = global_rank(base.select("__h", *keys, F.col(target).alias("__t")), [], ["__h", *keys], "__j")
     return lookup(rows, values, {"__i": "__j"}, {target: "__t"}).drop("__i")
 
+
+def first_large_fold(sizes: DataFrame, minimum_training_rows: int = 5000) -> int | None:
+    """First fold with enough training rows and a test row; ``sizes`` has one row per fold."""
+    enough = (F.col("training_rows") >= minimum_training_rows) & (F.col("test_rows") > 0)
+    return sizes.where(enough).agg(F.min("fold_number").alias("n")).first().n
+
+
+def sabotage(df: DataFrame, fold: Fold, predict: Fitter, keys: Sequence[str], date: str = "event_date") -> DataFrame:
+    """Error of one fold with the real and with permuted training targets; a sound model gets worse."""
+    train = df.where(F.coalesce("is_training_eligible", F.lit(False)) & (F.col(date) < F.lit(fold.cutoff)))
+    test = test_rows(df, [fold], date).drop("fold_number", "cutoff_date", "test_end_date")
+
+    def error(training: DataFrame, name: str) -> DataFrame:
+        gap = F.abs(F.col("prediction") - F.col("target_value"))
+        return predict(training, test).agg(F.lit(name).alias("training_target"), F.count(F.lit(1)).alias("rows"),
+                                           F.avg(gap).alias("mae"))
+
+    return error(train, "ordinary").unionByName(error(shuffle_targets(train, keys), "shuffled"))

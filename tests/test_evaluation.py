@@ -71,10 +71,7 @@ def test_all_folds_in_one_pass_equal_refitting_each(spark):
         else:
             assert got[key].lowerci == pytest.approx(max(p - 2.0, 0)) and got[key].upperci == pytest.approx(p + 2.0)
     seen = []
-    again = wf.run_fitter(df, folds, lambda train, test: baseline.predict(
-        train.withColumn("has_sufficient_history", F.lit(False)).unionByName(
-            test.select(*train.columns).withColumn("is_training_eligible", F.lit(False))), SET).select(
-        *train.columns, "prediction"), observe=lambda f, _: seen.append(f.number))
+    again = wf.run_fitter(df, folds, baseline.fitter(SET), observe=lambda f, _: seen.append(f.number))
     assert {(r.fold_number, r.match_id): round(r.prediction, 9) for r in again.collect()} == {
         k: round(v, 9) for k, v in want.items()}
     assert seen == sorted({k[0] for k in want})
@@ -91,6 +88,17 @@ def test_fold_sizes_and_guards(spark):
         quality.assert_cutoff(df, "event_date", D(2024, 2, 1))
 
 
+def test_sabotage_and_large_fold(spark):
+    _, df = panel(spark)
+    df = df.withColumn("surface", F.when(F.col("target_value") > 5, "clay").otherwise("hard")).withColumn("base", F.lit(5.0))
+    folds = wf.fold_calendar(D(2024, 2, 1), D(2024, 6, 1), 1)
+    assert wf.first_large_fold(wf.fold_sizes(df, folds), 100) == min(
+        r.fold_number for r in wf.fold_sizes(df, folds).collect() if r.training_rows >= 100)
+    assert wf.first_large_fold(wf.fold_sizes(df, folds), 10**6) is None
+    got = {r.training_target: r.mae for r in wf.sabotage(df, folds[-1], baseline.fitter(SET), ["match_id"]).collect()}
+    assert got["shuffled"] > 1.2 * got["ordinary"]
+
+
 def test_no_training_rows_is_an_error(spark):
     _, df = panel(spark, 20)
     with pytest.raises(Exception, match="must be positive"):

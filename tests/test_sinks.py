@@ -117,3 +117,19 @@ def test_archive_fixtures(spark):
     for bad in (("ATP",) + row[1:], row[:4] + ("C", "B")):
         with pytest.raises(quality.AuditFailure):
             pages.archive_fixtures(spark.createDataFrame([row, bad], cols))
+
+
+def test_stored_tables(spark, tmp_path):
+    from antecede.sources import tables
+    path = str(tmp_path / "features")
+    df = spark.createDataFrame([("a", "m1", "s", "v1", "aces", None, '{"x":"2.5"}'), ("demo_b", "m1", "s", "v1", "aces", 1.0, "{}"),
+                                ("a", "m1", "s", "v2", "aces", 1.0, "{}")],
+                               "player_id string, match_id string, sport string, feature_version string, stat_target string, x double, feature_values string")
+    sinks.replace_partitions(df, path, ["sport", "feature_version", "stat_target"])
+    out = tables.read_features_backfilled(spark, path, "s", "v1", "aces", {"x": "double"}).collect()
+    assert [(r.player_id, r.x) for r in out] == [("a", 2.5)]
+    assert quality.count_mismatch(df, spark.read.parquet(path)).isEmpty() and not quality.count_mismatch(df, df.limit(1)).isEmpty()
+    before = spark.createDataFrame([("t", 3)], "table_name string, demo_rows long")
+    assert quality.census_changes(before, before).isEmpty() and not quality.census_changes(before, before.withColumn("demo_rows", F.lit(4))).isEmpty()
+    gaps = spark.createDataFrame([(0, None), (1, None), (2, 1.0)], "n int, v double")
+    assert quality.history_without_value(gaps, "n", "v").count() == 1
