@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from antecede.catalog.registry import query, r6, s6
-from antecede.catalog.views import H_SQL, PRIOR_SQL, history
+from antecede.catalog.views import H_SQL, history
 from antecede.operators import pit, quality
 from antecede.plans.features import FeatureConfig, Target, backfill_from_json, build_features, expand_json, \
     feature_json, safe_ratio

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from antecede.catalog.registry import query, r6, s6, table
 from antecede.catalog.views import LINES_SQL, lines
-from antecede.functions.text import name_aliases, normalise_name, prop_key, side_of, tour_label
+from antecede.functions.text import normalise_name, prop_key, side_of, tour_label
 from antecede.operators import lines as ops
 from antecede.operators.skew import checked_broadcast, lookup
 

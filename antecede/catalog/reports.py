@@ -19,8 +19,6 @@ OUTCOMES = {"spend": "spend", "half_spend": "half_spend"}
 LIVE_AT, RUN1_AT, RUN2_AT = (dt.datetime(2026, 1, d, 12) for d in (1, 2, 3))
 PROPS = [("spend", "orders", "Spend"), ("half_spend", "orders", None)]
 
-PLAYER_ID = "CASE WHEN c_mktsegment = 'MACHINERY' THEN 'demo_' ELSE 'p' END || {id}"
-
 R_SQL = f"""{PANEL_SQL},
 pl AS (SELECT c_custkey, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'demo_' ELSE 'p' END || c_custkey AS player_id,
          c_name AS full_name, n_name AS tour FROM customer JOIN nation ON c_nationkey = n_nationkey),

@@ -45,15 +45,6 @@ def history(spark: SparkSession, sf: str) -> DataFrame:
         "s.other.k AS opponent_k", "CAST(hour(s.own.ts) div 8 AS INT) AS slot")
 
 
-# Prior rows of every row, newest first: the self-join form, independent of the window form.
-PRIOR_SQL = H_SQL + """,
-p AS (SELECT r.match_id, r.player_id, x.amount, x.units, x.category = r.category AS same_category,
-             x.opponent_id = r.opponent_id AS same_opponent, x.is_winner, x.event_date, x.match_id AS x_match,
-             row_number() OVER (PARTITION BY r.match_id, r.player_id
-                                ORDER BY x.event_date DESC, x.match_id DESC) AS k
-      FROM h r JOIN h x ON x.player_id = r.player_id AND x.event_date < r.event_date AND x.completed)
-"""
-
 # --- B: evaluation panel, from orders ----------------------------------------------------------
 
 FOLD_START, FOLD_END = dt.date(1997, 1, 1), dt.date(2001, 8, 1)

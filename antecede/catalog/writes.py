@@ -12,9 +12,9 @@ from antecede.plans import scoring, walkforward
 # --- upserts: stored rows from finished orders, incoming rows from open ones -------------------------
 
 PROFILE_SQL = """
-ex AS (SELECT o_custkey AS player_id, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS height,
-         arg_max(CASE WHEN o_orderpriority <> '1-URGENT' THEN CAST(o_orderdate AS DATE) END, (o_orderdate, o_orderkey)) AS profile_as_of
-       FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
+ex AS (SELECT o_custkey AS player_id, o_totalprice AS height,
+         CASE WHEN o_orderpriority <> '1-URGENT' THEN CAST(o_orderdate AS DATE) END AS profile_as_of FROM orders
+       WHERE o_orderstatus = 'F' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1),
 ic AS (SELECT o_custkey AS player_id, o_totalprice AS height,
          CASE WHEN o_orderpriority <> '1-URGENT' THEN CAST(o_orderdate AS DATE) END AS profile_as_of, o_orderkey AS seq
        FROM orders WHERE o_orderstatus = 'O'),
@@ -33,13 +33,6 @@ def _profiles(spark, sf):
     return existing, o.where("o_orderstatus = 'O'").select("player_id", "height", "profile_as_of", "seq")
 
 
-# arg_max skips NULL values, so the stored row is picked by rank
-_EXISTING = """ex AS (SELECT o_custkey AS player_id, o_totalprice AS height,
-         CASE WHEN o_orderpriority <> '1-URGENT' THEN CAST(o_orderdate AS DATE) END AS profile_as_of FROM orders
-       WHERE o_orderstatus = 'F' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1),"""
-PROFILE_SQL = "\n" + _EXISTING + PROFILE_SQL[PROFILE_SQL.index("\nic AS"):]
-
-
 @query("upsert_newer", f"""WITH {PROFILE_SQL} SELECT player_id, height, profile_as_of FROM un
 QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY profile_as_of DESC NULLS LAST, src DESC, seq DESC) = 1""")
 def upsert_newer(spark, sf):
