@@ -178,6 +178,7 @@ def absolute_weights(rows: DataFrame, folds: DataFrame, members: Sequence[str],
     ks = folds.select(F.col("fold_number").alias("k"))
 
     hist = pts.groupBy("fold_number", "cell").agg(F.sum("wt").alias("wt"))
+    # at most (cells + 1) x folds rows, whatever the number of predictions
     grid = hist.select("cell").distinct().crossJoin(F.broadcast(folds.select("fold_number")))
     grid = lookup(grid, hist, ["fold_number", "cell"], ["wt"])
     earlier = W.partitionBy("cell").orderBy("fold_number").rowsBetween(W.unboundedPreceding, -1)
