@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from antecede.llm import language, toxicity
 from antecede.llm.simhash import near_components
 from antecede.llm.store import table
 
@@ -28,3 +29,22 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     marked = near_components(table(spark, sf, "documents"), width=3, bound=3)
     return marked.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                          F.col("component").alias("component_id"))
+
+
+@query("op8_language")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    model = language.fit(docs.where(~out))
+    return language.predict(docs, model).select(
+        F.col("id").alias("doc_id"), F.coalesce(F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False)).alias("held_out"),
+        "lang_pred", "score")
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    labels = table(spark, sf, "labels").groupBy("doc_id").agg(F.max("toxic").alias("is_toxic"), F.min("quality").alias("is_good"))
+    graded = docs.select("doc_id", "text").join(labels, "doc_id").withColumn("grade", toxicity.grade_of(F.col("is_toxic"), F.col("is_good")))
+    model = toxicity.fit(graded, top=2)
+    return toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
