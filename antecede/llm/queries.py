@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from antecede.llm import language, toxicity
+from antecede.llm import language, line_runs, mixing, secret_scan, toxicity
 from antecede.llm.simhash import near_components
 from antecede.llm.store import table
 
@@ -48,3 +48,65 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     graded = docs.select("doc_id", "text").join(labels, "doc_id").withColumn("grade", toxicity.grade_of(F.col("is_toxic"), F.col("is_good")))
     model = toxicity.fit(graded, top=2)
     return toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
+
+
+@query("op5_secret_scan")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf, "documents"), secret_scan.BASE + secret_scan.MORE)
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = [r.kind for r in secret_scan.BASE]
+    return found.select(F.col("id").alias("doc_id"), *[count(k) for k in base],
+                        F.sha2(secret_scan.joined(F.col("spans"), base), 256).alias("base_sha256"),
+                        secret_scan.joined(F.col("spans")).alias("spans"))
+
+
+@query("op6_line_dedup", """
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                  generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key AS common FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(common) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE common IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN c ON key = common GROUP BY doc_id""")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    kept = line_runs.drop_common_lines(table(spark, sf, "documents"), min_docs=10, min_chars=1)
+    return kept.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op10_mix", r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, CAST([3, 1, 2][(row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1] AS DOUBLE) AS weight,
+             source_size * 2.0::DOUBLE AS cap FROM s),
+f AS (SELECT *, coalesce(sum(cap) OVER before, 0) AS filled, sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS open,
+             sum(source_size) OVER () AS total, row_number() OVER (ORDER BY cap / weight, source IS NULL, encode(source)) AS turn FROM w
+      WINDOW before AS (ORDER BY cap / weight, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (SELECT *, (CAST(total AS DOUBLE) * 1.5::DOUBLE - filled) / open AS level FROM f),
+t AS (SELECT source, source_size, least(cap, coalesce((SELECT level FROM v WHERE level * weight <= cap ORDER BY turn LIMIT 1) * weight, cap)) AS target FROM v),
+r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate FROM t),
+p AS (SELECT *, floor(rate)::BIGINT AS certain, rate - floor(rate) AS part FROM r),
+u AS (SELECT d.*, source_size, target, certain, part,
+             (CAST('0x' || substr(md5('mix:' || doc_id), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u,
+             CASE WHEN size < 4 THEN size ELSE length(bin(size)) * 8 + (size >> greatest(length(bin(size)) - 3, 0)::INT) END AS stratum
+      FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+o AS (SELECT *, CASE WHEN part > 0 AND size > 0 THEN (u / (1 - u)) / (part / (1 - part)) END AS odds FROM u),
+g AS (SELECT source, stratum, count(*) AS n, sum(size)::BIGINT AS words, first(part) AS part,
+             row_number() OVER (PARTITION BY source ORDER BY stratum DESC) AS k FROM o WHERE odds IS NOT NULL GROUP BY source, stratum),
+serve AS (
+  SELECT source, stratum, k, least(greatest(floor(words * part / (words / n) + 0.5), 0), n)::BIGINT AS take,
+         words * part - least(greatest(floor(words * part / (words / n) + 0.5), 0), n)::BIGINT * (words / n) AS owed FROM g WHERE k = 1
+  UNION ALL
+  SELECT g.source, g.stratum, g.k, least(greatest(floor((owed + words * part) / (words / n) + 0.5), 0), n)::BIGINT,
+         owed + words * part - least(greatest(floor((owed + words * part) / (words / n) + 0.5), 0), n)::BIGINT * (words / n)
+  FROM serve JOIN g ON g.source IS NOT DISTINCT FROM serve.source AND g.k = serve.k + 1),
+q AS (SELECT o.*, take, row_number() OVER (PARTITION BY o.source, o.stratum, odds IS NULL ORDER BY odds, doc_id, size) AS rank
+      FROM o LEFT JOIN serve ON o.source IS NOT DISTINCT FROM serve.source AND o.stratum = serve.stratum)
+SELECT doc_id, size, source_size, target, size * (certain + CASE WHEN odds IS NOT NULL AND rank <= take THEN 1 ELSE 0 END)::BIGINT AS taken FROM q""")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf, "documents"), weights=(3, 1, 2), share=1.5, most=2.0)
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
