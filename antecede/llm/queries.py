@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from antecede.llm import language, line_runs, mixing, secret_scan, toxicity
+from antecede.llm import language, line_runs, mixing, secret_scan, toxicity, warc
 from antecede.llm.simhash import near_components
 from antecede.llm.store import table
 
@@ -110,3 +110,9 @@ SELECT doc_id, size, source_size, target, size * (certain + CASE WHEN odds IS NO
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf, "documents"), weights=(3, 1, 2), share=1.5, most=2.0)
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("op1_warc_bundles")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    index, folder = warc.bundle(table(spark, sf, "pages"))
+    return warc.read_records(index, folder).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
