@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from antecede.llm import language, line_runs, mixing, secret_scan, toxicity, warc
+from antecede.llm import language, line_runs, mixing, posting_lists, secret_scan, toxicity, warc
 from antecede.llm.simhash import near_components
 from antecede.llm.store import table
 
@@ -116,3 +116,8 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     index, folder = warc.bundle(table(spark, sf, "pages"))
     return warc.read_records(index, folder).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op4_posting_lists")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return posting_lists.nearest(table(spark, sf, "embeddings"), F.pmod(F.col("vec_id"), F.lit(20)) == 0, k=20)
