@@ -45,8 +45,8 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     labels = table(spark, sf, "labels").groupBy("doc_id").agg(F.max("toxic").alias("is_toxic"), F.min("quality").alias("is_good"))
-    graded = docs.select("doc_id", "text").join(labels, "doc_id").withColumn("grade", toxicity.grade_of(F.col("is_toxic"), F.col("is_good")))
-    model = toxicity.fit(graded, top=2)
+    grades = labels.select("doc_id", toxicity.grade_of(F.col("is_toxic"), F.col("is_good")).alias("grade"))
+    model = toxicity.fit(docs, grades, top=2)
     return toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
 
 

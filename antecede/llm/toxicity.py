@@ -106,19 +106,21 @@ def fit_rows(bucket: np.ndarray, value: np.ndarray, offsets: np.ndarray, grade:
     return OrdinalModel(w * scale, np.concatenate([c0, c0 + np.cumsum(np.exp(gaps))]))
 
 
-def fit(graded: DataFrame, top: int, text: str = "text", grade: str = "grade", key: str = "doc_id") -> OrdinalModel | None:
-    """Fit on about FIT_TEXTS whole texts of each grade 0..top; rows without a grade are left out.
+def fit(docs: DataFrame, grades: DataFrame, top: int, text: str = "text", grade: str = "grade", key: str = "doc_id") -> OrdinalModel | None:
+    """Fit on about FIT_TEXTS whole texts of each grade 0..top; ``grades`` has (key, grade), rows without a grade are left out.
 
-    The sample becomes features in Spark and is fitted in one place: its size is bounded by the
-    parameter, not by the table. Without a graded row there is no model.
+    The keys of the sample are chosen from the grades alone and broadcast, as their number is bounded by the
+    parameter: texts are never shuffled. The sample becomes features in Spark and is fitted in one place.
+    Without a graded row there is no model.
     """
-    graded = graded.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.col(grade).cast("int").alias("grade")).where(
-        F.col("grade").between(0, top))
-    sizes = {r["grade"]: r["n"] for r in graded.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
+    grades = grades.select(F.col(key).alias("key"), F.col(grade).cast("int").alias("grade")).where(F.col("grade").between(0, top))
+    sizes = {r["grade"]: r["n"] for r in grades.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return None
     share = F.create_map(*[F.lit(x) for g, n in sizes.items() for x in (g, FIT_TEXTS / n)])
-    drawn = graded.where(F.pmod(F.xxhash64("key"), F.lit(1_000_003)) < share[F.col("grade")] * 1_000_003)
+    chosen = grades.where(F.pmod(F.xxhash64("key"), F.lit(1_000_003)) < share[F.col("grade")] * 1_000_003)
+    texts = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    drawn = texts.join(F.broadcast(chosen), "key")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, offsets in slices(batches):
@@ -126,8 +128,8 @@ def fit(graded: DataFrame, top: int, text: str = "text", grade: str = "grade", k
             lists = [pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(x)) for x in (bucket.astype(np.int32), value.astype(np.float32))]
             yield pa.RecordBatch.from_arrays([rows.column("key"), rows.column("grade"), *lists], ["key", "grade", "bucket", "value"])
 
-    kind = graded.schema["key"].dataType.simpleString()
-    sample = drawn.mapInArrow(features, f"key {kind}, grade int, bucket array<int>, value array<float>").toArrow().combine_chunks()
+    kind = texts.schema["key"].dataType.simpleString()
+    sample = drawn.select("key", "text", "grade").mapInArrow(features, f"key {kind}, grade int, bucket array<int>, value array<float>").toArrow().combine_chunks()
     sample = sample.sort_by([("key", "ascending")])
     bucket, value = sample["bucket"].combine_chunks(), sample["value"].combine_chunks()
     counts = np.array([0 if x is None else x for x in bucket.value_lengths().to_pylist()], np.int64)
