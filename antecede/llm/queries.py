@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from antecede.llm import language, line_runs, mixing, posting_lists, secret_scan, toxicity, warc
+from antecede.llm import language, line_runs, mixing, posting_lists, secret_scan, templates, toxicity, warc
 from antecede.llm.simhash import near_components
 from antecede.llm.store import table
 
@@ -121,3 +121,9 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
 @query("op4_posting_lists")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     return posting_lists.nearest(table(spark, sf, "embeddings"), F.pmod(F.col("vec_id"), F.lit(20)) == 0, k=20)
+
+
+@query("op3_template_leaks")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    found = templates.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"), width=5, similarity=0.8)
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "similarity", "changed")
