@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 UNKNOWN = "und"
@@ -146,21 +145,25 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     return LanguageModel(languages, np.log(matrix / matrix.sum(0)).astype(np.float32), prior)
 
 
+def predictor(spark: SparkSession, model: LanguageModel) -> Callable[[Column], Column]:
+    """A column function text -> struct(lang_pred, score); the model is broadcast (BUCKETS x languages floats)."""
+    shared = spark.sparkContext.broadcast((model.languages, model.log_prob, model.prior))
+
+    @F.pandas_udf("lang_pred string, score double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known = LanguageModel(*shared.value)
+        for texts in batches:
+            names, scores = known.predict(texts.tolist())
+            yield pd.DataFrame({"lang_pred": names, "score": scores})
+
+    return run
+
+
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, lang_pred, score) per row; the model is broadcast (BUCKETS x languages floats).
+    """(id, lang_pred, score) per row.
 
     NULL, empty or letterless texts are UNKNOWN with score 0. Only the text is looked at; repeated rows get
     equal answers, NULL ids are carried along, other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.log_prob, model.prior))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = LanguageModel(*shared.value)
-        for batch in batches:
-            names, scores = known.predict(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                                             ["id", "lang_pred", "score"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(
-        run, f"id {kind}, lang_pred string, score double")
+    answer = predictor(docs.sparkSession, model)(F.col(text).cast("string"))
+    return docs.select(F.col(id_col).alias("id"), answer.alias("answer")).select("id", "answer.*")

@@ -92,12 +92,12 @@ def batch_keys(docs: DataFrame, batches: int, min_chars: int, id_col: str = "doc
 
 def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, id_col: str = "doc_id",
                       text: str = "text") -> DataFrame:
-    """(id, n_lines, n_dropped, kept) per row: lines whose key is in at least ``min_docs`` rows go, the others stay.
+    """(row, n_lines, n_dropped, kept): every row as a struct, and its text without the lines whose key is in at least ``min_docs`` rows.
 
     Counts cover all rows: the table is added to the runs in batches, then every line is looked up in the
     merged runs. A key that occurs twice in one row counts once. NULL and empty texts are one empty line, which
     has no key of ``min_chars`` and stays; a NULL text comes back empty. Repeated rows and rows of one id count each
-    and get equal answers. An empty table gives an empty result; other columns are ignored.
+    and get equal answers. An empty table gives an empty result. Other columns stay inside ``row``.
     """
     spark = docs.sparkSession
     folder = shared_folder(spark, "line-keys")
@@ -108,11 +108,10 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, b
         runs.add(stage.where(F.col("batch") == batch).select("h1", "h2"))
     common = stored(runs.frequent(), "common-lines")
     lines = lines_of(docs, id_col, text).where(F.col("chars") >= min_chars)
-    hits = lines.join(common, ["h1", "h2"]).groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    split = rows.join(hits.withColumnRenamed("id", "hit"), F.col("id").eqNullSafe(F.col("hit")), "left").select(
-        "id", "gone", F.split("text", "\n", -1).alias("lines"))
+    hits = lines.join(common, ["h1", "h2"]).groupBy(F.col("id").alias("hit")).agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    split = rows.join(hits, F.col("id").eqNullSafe(F.col("hit")), "left").select("row", "gone", F.split("text", "\n", -1).alias("lines"))
     stay = F.filter("lines", lambda x: ~F.array_contains("gone", F.struct(*[c.alias(n) for c, n in zip(key_hash(line_key(x)), ("h1", "h2"))])))
     kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(stay)
-    return split.withColumn("stay", kept).select("id", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("stay")).cast("long").alias("n_dropped"),
+    return split.withColumn("stay", kept).select("row", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("stay")).cast("long").alias("n_dropped"),
                                                  F.array_join("stay", "\n").alias("kept"))

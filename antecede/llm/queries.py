@@ -74,7 +74,7 @@ SELECT doc_id, count(*) AS n_lines, count(common) AS n_dropped,
 FROM k LEFT JOIN c ON key = common GROUP BY doc_id""")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     kept = line_runs.drop_common_lines(table(spark, sf, "documents"), min_docs=10, min_chars=1)
-    return kept.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+    return kept.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 @query("op10_mix", r"""
