@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from antecede.llm import language, line_runs, mixing, posting_lists, secret_scan, templates, toxicity, warc
+from antecede.llm import language, line_runs, mixing, posting_lists, secret_scan, suffix_dedup, templates, toxicity, warc
 from antecede.llm.simhash import near_components
 from antecede.llm.store import table
 
@@ -127,3 +127,9 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     found = templates.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"), width=5, similarity=0.8)
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "similarity", "changed")
+
+
+@query("op2_suffix_dedup")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    cut = suffix_dedup.repeated_strings(table(spark, sf, "documents"), length=100)
+    return cut.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
