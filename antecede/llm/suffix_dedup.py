@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
-from antecede.llm.anchors import anchors, mix
+from antecede.llm.anchors import Prefixes, anchors, mix
 from antecede.llm.store import stored
 from antecede.llm.textbytes import slices
 
@@ -69,10 +69,10 @@ def _named(texts: DataFrame, length: int, repeated: Broadcast) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, offsets in slices(batches):
-            gram, anchor, first, last, prefixes = anchors(buf, offsets, length)
+            gram, anchor, first, last = anchors(buf, offsets, length)
             keep = np.flatnonzero(_passes(repeated.value, _gram_slot(gram)))
             gram, anchor, first, last = gram[keep], anchor[keep], first[keep], last[keep]
-            name = prefixes.hash(first, last + length) ^ mix((anchor - first).astype(np.uint64))
+            name = Prefixes(buf).hash(first, last + length) ^ mix((anchor - first).astype(np.uint64))
             owner, base = _local(offsets, first)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(gram.view(np.int64)), pa.array(name.view(np.int64)), rows.column(0).take(pa.array(owner)),
@@ -86,7 +86,7 @@ def _bytes_of(texts: DataFrame, length: int, places: Broadcast) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, offsets in slices(batches):
-            gram, anchor, first, last, _ = anchors(buf, offsets, length)
+            gram, anchor, first, last = anchors(buf, offsets, length)
             owner, base = _local(offsets, first)
             ids = rows.column(0).to_numpy(zero_copy_only=False)[owner] if len(owner) else np.zeros(0, np.int64)
             keep = np.flatnonzero(_passes(places.value, _place_slot(ids, first - base)))
@@ -206,7 +206,7 @@ def repeated_strings(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
 def _cut(batches: Iterator[pa.RecordBatch], length: int, repeated: Broadcast) -> Iterator[pa.RecordBatch]:
     """Starts served by repeated grams go, but for the marks: named ranges (0) without the starts of step 4 (1), and those that stay (2)."""
     for rows, buf, offsets in slices(batches):
-        gram, _, first, last, _ = anchors(buf, offsets, length)
+        gram, _, first, last = anchors(buf, offsets, length)
         hit = _passes(repeated.value, _gram_slot(gram))
         turn = np.zeros(len(buf) + 2, np.int32)
         np.add.at(turn, first[hit], 1)

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once; temporary arrays take a few dozen times as much.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 600_000
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
