@@ -72,20 +72,14 @@ cr AS (SELECT a.player_id, a.match_id, a.fold_number, a.target_value AS y, a.pre
             AND a.match_id = f.match_id WHERE a.prediction IS NOT NULL AND f.prediction IS NOT NULL)
 """
 
-# the plain iteration on the Gram sums of all earlier folds, one row per fold and step
+# two members: the minimum of a parabola in the first weight, kept within [0, 1]
 SQUARED_SQL = COMPLETE_SQL + """,
-gs AS (SELECT cal.fold_number, count(y) AS n, coalesce(sum(a * a), 0) AS aa, coalesce(sum(a * b), 0) AS ab,
+gs AS (SELECT cal.fold_number, coalesce(sum(a * a), 0) AS aa, coalesce(sum(a * b), 0) AS ab,
               coalesce(sum(b * b), 0) AS bb, coalesce(sum(a * y), 0) AS ay, coalesce(sum(b * y), 0) AS cy
        FROM cal LEFT JOIN cr ON cr.fold_number < cal.fold_number GROUP BY 1),
-ev AS (SELECT *, (aa + bb) / 2 + sqrt(((aa - bb) / 2) ** 2 + ab ** 2) AS top FROM gs),
-it AS (SELECT fold_number, 0 AS i, 0.6::DOUBLE AS u, 0.4::DOUBLE AS v, false AS done FROM ev
-       UNION ALL
-       SELECT fold_number, i + 1, nu, nv, greatest(abs(nu - u), abs(nv - v)) < 1e-10 FROM (
-         SELECT fold_number, i, u, v, least(greatest((pu - pv + 1) / 2, 0), 1) AS nu,
-                least(greatest((pv - pu + 1) / 2, 0), 1) AS nv FROM (
-           SELECT it.*, u - (aa * u + ab * v - ay) / (top * n) AS pu, v - (ab * u + bb * v - cy) / (top * n) AS pv
-           FROM it JOIN ev USING (fold_number) WHERE i < 4000 AND NOT done AND n > 0))),
-sw AS (SELECT fold_number, arg_max(u, i) AS w0, arg_max(v, i) AS w1 FROM it GROUP BY 1)
+sq AS (SELECT fold_number, CASE WHEN aa - 2 * ab + bb > 1e-12 * (aa + bb)
+         THEN least(greatest((ay - cy + bb - ab) / (aa - 2 * ab + bb), 0), 1) ELSE 0.6::DOUBLE END AS w0 FROM gs),
+sw AS (SELECT fold_number, w0, 1 - w0 AS w1 FROM sq)
 """
 
 

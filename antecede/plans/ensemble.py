@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
-from itertools import product
+from itertools import combinations, product
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from antecede.operators.quality import duplicate_keys, require_empty
@@ -106,53 +104,63 @@ def _prior_folds() -> W:
     return W.orderBy("fold_number").rowsBetween(W.unboundedPreceding, -1)
 
 
-def _project(v: np.ndarray) -> np.ndarray:
-    """Nearest point of the unit simplex: subtract the level at which the positive part sums to one."""
-    top = np.sort(v)[::-1]
-    level = ((np.cumsum(top) - 1.0) / np.arange(1, len(v) + 1)).max()
-    return np.maximum(v - level, 0.0)
+def _determinant(m: Sequence[Sequence[Column]]) -> Column:
+    if not m:
+        return F.lit(1.0)
+    total = None
+    for j, head in enumerate(m[0]):
+        term = head * _determinant([[*row[:j], *row[j + 1:]] for row in m[1:]])
+        total = term if total is None else total + term if j % 2 == 0 else total - term
+    return total
 
 
-def _descend(gram: np.ndarray, cross: np.ndarray, n: float, start: np.ndarray, steps: int = 4000) -> np.ndarray:
-    """Projected gradient on the squared error; only the Gram sums of the rows are needed."""
-    top = float(np.linalg.eigvalsh(gram)[-1])
-    w = start
-    if n == 0 or top <= 0:
-        return w
-    rate = 1.0 / (top * n)
-    for _ in range(steps):
-        moved = _project(w - rate * (gram @ w - cross))
-        done = np.abs(moved - w).max() < 1e-10
-        w = moved
-        if done:
-            break
-    return w
+def _on_face(face: Sequence[int], gram: Sequence[Sequence[Column]], cross: Sequence[Column], scale: Column) -> list[Column]:
+    """Minimiser with the weights of ``face`` adding up to one and no others; NULL where it is not unique."""
+    *free, last = face
+    lhs = [[gram[i][j] - gram[i][last] - gram[last][j] + gram[last][last] for j in free] for i in free]
+    rhs = [cross[i] - cross[last] - gram[i][last] + gram[last][last] for i in free]
+    det = _determinant(lhs)
+    regular = F.when(det > F.lit(1e-12) * F.pow(scale, F.lit(len(free))), det) if free else F.lit(1.0)
+    solved = {i: F.try_divide(_determinant([[rhs[r] if c == k else lhs[r][c] for c, _ in enumerate(free)] for r, _ in enumerate(free)]), regular)
+              for k, i in enumerate(free)}
+    solved[last] = reduce(lambda x, y: x - y, [solved[i] for i in free], F.lit(1.0))
+    return [solved.get(i, F.lit(0.0)) for i, _ in enumerate(cross)]
 
 
 def squared_weights(rows: DataFrame, folds: DataFrame, members: Sequence[str],
                     configured: Mapping[str, float]) -> DataFrame:
-    """(fold_number, w0, w1, ...) for every fold in ``folds`` from one pass over the rows."""
+    """(fold_number, w0, w1, ...) for every fold in ``folds`` from one pass over the rows.
+
+    The exact minimiser of the squared error over all earlier folds, on the simplex: it lies inside one face, and
+    there it solves a linear system of the Gram sums, so all faces are tried (their number is 2^members). It depends on
+    the rows only through ratios of sums: repeating all rows changes nothing. Where nothing beats the
+    configured weights (no rows, equal members) those stay.
+    """
     k = len(members)
-    pairs = [(i, j) for i in range(k) for j in range(k)]
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    names = [*[f"g{i}_{j}" for i, j in pairs], *[f"c{i}" for i in range(k)]]
     sums = rows.groupBy("fold_number").agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f"p{i}") * F.col(f"p{j}")).alias(f"g{i}_{j}") for i, j in pairs],
+        *[F.sum(F.col(f"p{i}") * F.col(f"p{j}")).alias(f"g{i}_{j}") for i, j in pairs],
         *[F.sum(F.col(f"p{i}") * F.col("y")).alias(f"c{i}") for i in range(k)])
-    names = ["n", *[f"g{i}_{j}" for i, j in pairs], *[f"c{i}" for i in range(k)]]
     base = lookup(folds.select("fold_number"), sums, ["fold_number"], names)
     prior = _prior_folds()
-    base = base.select("fold_number", F.array(*[
-        F.coalesce(F.sum(c).over(prior), F.lit(0)).cast("double") for c in names]).alias("sums"))
-    start = np.array([configured[m] for m in members], dtype=float)
-
-    @F.pandas_udf("array<double>")
-    def fit(sums: pd.Series) -> pd.Series:
-        def one(values):
-            values = np.asarray(values, dtype=float)
-            return _descend(values[1:1 + k * k].reshape(k, k), values[1 + k * k:], values[0], start).tolist()
-        return sums.map(one)
-
-    fitted = base.withColumn("w", fit("sums"))
-    return fitted.select("fold_number", *[F.col("w")[i].alias(f"w{i}") for i in range(k)])
+    base = base.select("fold_number", *[F.coalesce(F.sum(c).over(prior), F.lit(0)).cast("double").alias(c) for c in names])
+    gram = [[F.col(f"g{min(i, j)}_{max(i, j)}") for j in range(k)] for i in range(k)]
+    cross = [F.col(f"c{i}") for i in range(k)]
+    scale = reduce(lambda x, y: x + y, [gram[i][i] for i in range(k)])
+
+    def loss(w: Sequence[Column]) -> Column:
+        square = reduce(lambda x, y: x + y, [w[i] * w[j] * gram[i][j] for i in range(k) for j in range(k)])
+        return square - 2 * reduce(lambda x, y: x + y, [w[i] * cross[i] for i in range(k)])
+
+    start = [F.lit(float(configured[m])) for m in members]
+    faces = [f for size in range(1, k + 1) for f in combinations(range(k), size)]
+    tried = base.select("fold_number", *names, F.array(*[F.array(*_on_face(f, gram, cross, scale)) for f in faces]).alias("points"))
+    allowed = F.filter("points", lambda p: F.forall(p, lambda w: w.isNotNull() & (w >= 0)))
+    scored = F.transform(allowed, lambda p: F.struct(loss([F.get(p, F.lit(i)) for i in range(k)]).alias("loss"), p.alias("w")))
+    best = tried.select("fold_number", F.array_min(scored).alias("best"), loss(start).alias("start"), scale.alias("scale"))
+    better = F.col("best.loss") < F.col("start") - F.lit(1e-12) * F.col("scale")
+    return best.select("fold_number", *[F.when(better, F.get("best.w", F.lit(i))).otherwise(start[i]).alias(f"w{i}") for i in range(k)])
 
 
 _CELLS = 1024

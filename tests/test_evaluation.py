@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+from itertools import product
 
 import numpy as np
 import pytest
@@ -209,28 +210,37 @@ def test_absolute_weights_are_optimal_and_use_earlier_folds_only(spark):
         assert sum(got[k]) == pytest.approx(1.0)
 
 
-def test_squared_weights_equal_the_row_level_iteration(spark):
-    rows, df = oof(spark, 120, 3)
+def simplex(step, k):
+    """All points with coordinates that are multiples of ``step``."""
+    n = round(1 / step)
+    if k == 1:
+        return np.ones((1, 1))
+    return np.array([(*(c / n for c in p), 1 - sum(p) / n) for p in product(range(n + 1), repeat=k - 1) if sum(p) <= n])
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 4])
+def test_squared_weights_are_the_minimum(spark, k):
+    rows, df = oof(spark, 120, k)
     cal = spark.createDataFrame([(i,) for i in range(1, 6)], "fold_number int")
-    conf = {"a": 0.5, "b": 0.3, "c": 0.2}
-    got = {r.fold_number: (r.w0, r.w1, r.w2) for r in ensemble.squared_weights(df, cal, list(conf), conf).collect()}
-    assert got[1] == (0.5, 0.3, 0.2)
-    past = np.array([r[1:] for r in rows if r[0] < 5])
-    x, y = past[:, 1:], past[:, 0]
-    w = np.array(list(conf.values()))
-    step = 1.0 / (2.0 * np.linalg.norm(x, 2) ** 2)
-    for _ in range(4000):
-        v = w - step * 2.0 * x.T @ (x @ w - y) / len(y)
-        lo, hi = v.min() - 1, v.max()
-        for _ in range(100):  # simplex projection by bisection
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if np.maximum(v - mid, 0).sum() > 1 else (lo, mid)
-        new = np.maximum(v - hi, 0)
-        if np.abs(new - w).max() < 1e-10:
-            w = new
-            break
-        w = new
-    assert got[5] == pytest.approx(tuple(w), abs=1e-7)
+    conf = {m: w / sum(range(1, k + 1)) for m, w in zip("abcd", range(1, k + 1))}
+    got = {r.fold_number: np.array(r[1:]) for r in ensemble.squared_weights(df, cal, list(conf), conf).collect()}
+    assert got[1] == pytest.approx(list(conf.values()))
+    for fold in range(2, 6):
+        past = np.array([r[1:] for r in rows if r[0] < fold])
+        loss = lambda w: ((past[:, 1:] @ w - past[:, 0]) ** 2).sum()
+        assert (got[fold] >= 0).all() and got[fold].sum() == pytest.approx(1)
+        assert loss(got[fold]) <= min(loss(w) for w in simplex(0.02 if k < 4 else 0.05, k)) + 1e-9
+    # more of the same rows change nothing
+    often = df.crossJoin(spark.range(1000)).drop("id")
+    again = {r.fold_number: np.array(r[1:]) for r in ensemble.squared_weights(often, cal, list(conf), conf).collect()}
+    assert all(again[f] == pytest.approx(got[f], abs=1e-9) for f in got)
+
+
+def test_equal_members_keep_the_configured_weights(spark):
+    df = spark.createDataFrame([(1, 3.0, 2.0, 2.0), (1, 5.0, 4.0, 4.0)], "fold_number int, y double, p0 double, p1 double")
+    cal = spark.createDataFrame([(2,)], "fold_number int")
+    row = ensemble.squared_weights(df, cal, ["a", "b"], {"a": 0.3, "b": 0.7}).first()
+    assert (row.w0, row.w1) == (0.3, 0.7)
 
 
 def test_three_members_use_the_grid(spark):
