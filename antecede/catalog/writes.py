@@ -47,25 +47,24 @@ def upsert_last(spark, sf):
     return sinks.upsert_last(existing, incoming, ["player_id"], "seq")
 
 
+# a fifth of the lines has no resolved match: those may only meet lines of the same ids
 TWO_KEY_SQL = """
-b AS (SELECT l_orderkey AS match_id, l_suppkey % 5 AS book, l_quantity AS line, l_extendedprice AS price,
-        'prov' || (l_suppkey % 2) AS provider, CASE WHEN l_returnflag <> 'R' THEN l_orderkey || '-' || l_linenumber END AS odds_id,
+b AS (SELECT CASE WHEN l_partkey % 5 > 0 THEN l_orderkey END AS match_id, l_suppkey % 5 AS book, l_quantity AS line, l_extendedprice AS price,
+        'prov' || (l_suppkey % 2) AS provider, l_orderkey AS event, CASE WHEN l_returnflag <> 'R' THEN l_orderkey || '-' || l_linenumber END AS odds_id,
         CAST(l_shipdate AS DATE) AS captured, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS seq,
         l_linestatus FROM lineitem),
 x0 AS (SELECT * FROM b WHERE l_linestatus = 'F' QUALIFY row_number() OVER (PARTITION BY provider, odds_id,
         CASE WHEN odds_id IS NULL THEN seq END ORDER BY seq) = 1),
-ex AS (SELECT match_id, book, line, price, provider, odds_id, captured FROM x0
-       QUALIFY row_number() OVER (PARTITION BY match_id, book, line ORDER BY seq) = 1),
-ic AS (SELECT match_id, book, line, price, provider, odds_id, captured, seq FROM b WHERE l_linestatus = 'O'),
+ex AS (SELECT match_id, book, line, price, provider, event, odds_id, captured FROM x0
+       QUALIFY row_number() OVER (PARTITION BY match_id, book, line, CASE WHEN match_id IS NULL THEN (provider, odds_id, event) END ORDER BY seq) = 1),
+ic AS (SELECT match_id, book, line, price, provider, event, odds_id, captured, seq FROM b WHERE l_linestatus <> 'F'),
 ia AS (SELECT * FROM ic WHERE odds_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY provider, odds_id ORDER BY seq DESC) = 1),
-up AS (SELECT coalesce(ia.match_id, ex.match_id) AS match_id, coalesce(ia.book, ex.book) AS book, coalesce(ia.line, ex.line) AS line,
-         coalesce(ia.price, ex.price) AS price, ex.provider, ex.odds_id, coalesce(ia.captured, ex.captured) AS captured, 0 AS src,
-         ia.seq
-       FROM ex LEFT JOIN ia ON ia.provider = ex.provider AND ia.odds_id = ex.odds_id),
-nw AS (SELECT match_id, book, line, price, provider, odds_id, captured, 1 AS src, seq FROM ia
-       WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.provider = ia.provider AND ex.odds_id = ia.odds_id)
-       UNION ALL SELECT match_id, book, line, price, provider, odds_id, captured, 1, seq FROM ic WHERE odds_id IS NULL),
-al AS (SELECT * FROM up UNION ALL SELECT * FROM nw)
+al AS (SELECT ex.match_id, ex.book, ex.line, ex.price, ex.provider, ex.event, ex.odds_id, ex.captured, 0 AS src, NULL AS seq
+       FROM ex ANTI JOIN ia ON ia.provider = ex.provider AND ia.odds_id = ex.odds_id
+       UNION ALL SELECT ia.match_id, ia.book, ia.line, ia.price, ia.provider, ia.event, ia.odds_id, ia.captured,
+         CASE WHEN ex.provider IS NULL THEN 1 ELSE 0 END, ia.seq
+       FROM ia LEFT JOIN ex ON ia.provider = ex.provider AND ia.odds_id = ex.odds_id
+       UNION ALL SELECT match_id, book, line, price, provider, event, odds_id, captured, 1, seq FROM ic WHERE odds_id IS NULL)
 """
 
 
@@ -74,27 +73,30 @@ def _two_key(spark, sf):
     # the natural key is the sequence: no numbering of rows in one task
     seq = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     b = li.select("*", seq.alias("seq")).selectExpr(
-        "l_orderkey AS match_id", "l_suppkey % 5 AS book", "l_quantity AS line", "l_extendedprice AS price",
-        "concat('prov', l_suppkey % 2) AS provider",
+        "CASE WHEN l_partkey % 5 > 0 THEN l_orderkey END AS match_id", "l_suppkey % 5 AS book", "l_quantity AS line", "l_extendedprice AS price",
+        "concat('prov', l_suppkey % 2) AS provider", "l_orderkey AS event",
         "CASE WHEN l_returnflag <> 'R' THEN concat_ws('-', l_orderkey, l_linenumber) END AS odds_id",
         "CAST(l_shipdate AS DATE) AS captured", "seq", "l_linestatus")
-    cols = ["match_id", "book", "line", "price", "provider", "odds_id", "captured"]
+    cols = ["match_id", "book", "line", "price", "provider", "event", "odds_id", "captured"]
     old = b.where("l_linestatus = 'F'").groupBy("provider", "odds_id", F.when(F.col("odds_id").isNull(), F.col("seq"))).agg(
         F.min_by(F.struct(*[c for c in cols if c not in ("provider", "odds_id")], "seq"), "seq").alias("s")).select(
         "provider", "odds_id", "s.*")
-    old = old.groupBy("match_id", "book", "line").agg(
-        F.min_by(F.struct("price", "provider", "odds_id", "captured"), "seq").alias("s")).select(
+    apart = F.when(F.col("match_id").isNull(), F.struct("provider", "odds_id", "event"))
+    old = old.groupBy("match_id", "book", "line", apart).agg(
+        F.min_by(F.struct("price", "provider", "event", "odds_id", "captured"), "seq").alias("s")).select(
         "match_id", "book", "line", "s.*").select(*cols)
-    return old, b.where("l_linestatus = 'O'").select(*cols, "seq")
+    return old, b.where("l_linestatus <> 'F'").select(*cols, "seq")
 
 
 @query("upsert_two_key", f"""WITH {TWO_KEY_SQL}
 SELECT match_id, book, line, arg_max(price, (src, coalesce(seq, 0))) AS price, arg_min(provider, (src, coalesce(seq, 0))) AS provider,
-  arg_max(coalesce(odds_id, '-'), (src, coalesce(seq, 0))) AS odds_id, arg_max(captured, (src, coalesce(seq, 0))) AS captured
-FROM al GROUP BY match_id, book, line""")
+  arg_max(event, (src, coalesce(seq, 0))) AS event, arg_max(coalesce(odds_id, '-'), (src, coalesce(seq, 0))) AS odds_id,
+  arg_max(captured, (src, coalesce(seq, 0))) AS captured
+FROM al GROUP BY match_id, book, line, CASE WHEN match_id IS NULL THEN (provider, odds_id, CASE WHEN odds_id IS NULL THEN event END) END""")
 def upsert_two_key(spark, sf):
     existing, incoming = _two_key(spark, sf)
-    out = sinks.upsert_two_key(existing, incoming, ["provider", "odds_id"], ["match_id", "book", "line"], "seq", fixed=["provider"])
+    out = sinks.upsert_two_key(existing, incoming, ["provider", "odds_id"], ["match_id", "book", "line"], "seq", fixed=["provider"],
+                               provider=["provider", "event"])
     return out.withColumn("odds_id", F.coalesce("odds_id", F.lit("-")))
 
 

@@ -42,35 +42,38 @@ def upsert_last(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], s
 
 
 def upsert_two_key(existing: DataFrame, incoming: DataFrame, first: Sequence[str], second: Sequence[str], seq: str,
-                   fixed: Sequence[str] = ()) -> DataFrame:
-    """Match on ``first`` when all its parts are present, otherwise on ``second`` null-safely.
+                   fixed: Sequence[str] = (), provider: Sequence[str] = ()) -> DataFrame:
+    """Match on ``first`` when all its parts are present, otherwise on ``second`` when that is complete.
 
-    A row matched on ``second`` keeps the stored value of ``fixed`` columns. Rerunning the same
-    snapshot changes nothing, also for rows with NULL keys.
+    A row with neither is its provider's row: it meets only rows with the same ``provider`` and ``second``
+    columns, NULL equal to NULL. So rows that could not be resolved are never merged with others. A row
+    matched on ``second`` keeps the stored value of ``fixed`` columns. Rerunning the same snapshot changes
+    nothing, and stored rows that no incoming row matches stay as they are.
     """
     columns = existing.columns
-    identified = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in first])
+
+    def present(keys: Sequence[str]) -> Column:
+        return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in keys])
+
+    identified, complete = present(first), present(second)
     data = [c for c in columns if c not in first]
+    no_seq = F.lit(None).cast(incoming.schema[seq].dataType).alias(seq)
 
-    with_id = incoming.where(identified)
-    stored_id = existing.where(identified).withColumn(seq, F.lit(None).cast(incoming.schema[seq].dataType))
     # one pass over both sides by first key: stored rows take the newest incoming values
-    both = stored_id.withColumn("__src", F.lit(0)).unionByName(with_id.withColumn("__src", F.lit(1)))
-    merged = both.groupBy(*first).agg(
-        F.max_by(F.struct(*data, seq), F.struct("__src", seq)).alias("__s"), F.min("__src").alias("__from"),
-        F.max("__src").alias("__to"))
-    flat = merged.select(*first, "__s.*", "__from", "__to")
+    both = existing.where(identified).select(*columns, no_seq, F.lit(0).alias("__src")).unionByName(
+        incoming.where(identified).select(*columns, seq, F.lit(1).alias("__src")))
+    merged = both.groupBy(*first).agg(F.max_by(F.struct(*data, seq), F.struct("__src", seq)).alias("__s"), F.min("__src").alias("__from"))
     # an updated row carries its update's position: if two come to share the second key the later update stays
-    updated = flat.where("__from = 0").select(*columns, F.lit(0).alias("__src"), seq)
-    fresh = flat.where("__from = 1").select(*columns, F.lit(1).alias("__src"), seq)
-    unidentified = existing.where(~identified).select(*columns, F.lit(0).alias("__src"), F.lit(None).cast(
-        incoming.schema[seq].dataType).alias(seq))
-    plain = incoming.where(~identified).select(*columns, F.lit(1).alias("__src"), seq)
-    rows = updated.unionByName(fresh).unionByName(unidentified).unionByName(plain)
+    flat = merged.select(*first, "__s.*", F.col("__from").alias("__src")).select(*columns, "__src", seq)
+    rows = flat.unionByName(existing.where(~identified).select(*columns, F.lit(0).alias("__src"), no_seq)).unionByName(
+        incoming.where(~identified).select(*columns, F.lit(1).alias("__src"), seq))
+    # what tells rows apart whose second key says too little
+    apart = {f"__f{i}": F.when(~complete, F.col(c)) for i, c in enumerate(first)} | {
+        f"__p{i}": F.when(~complete & ~identified, F.col(c)) for i, c in enumerate(provider)}
     order = F.struct("__src", seq)
     rest = [c for c in columns if c not in second and c not in fixed]
-    out = rows.groupBy(*second).agg(F.max_by(F.struct(*rest), order).alias("__s"),
-                                    *([F.min_by(F.struct(*fixed), order).alias("__f")] if fixed else []))
+    out = rows.withColumns(apart).groupBy(*second, *apart).agg(
+        F.max_by(F.struct(*rest), order).alias("__s"), *([F.min_by(F.struct(*fixed), order).alias("__f")] if fixed else []))
     return out.select(*second, "__s.*", *[F.col(f"__f.{c}").alias(c) for c in fixed]).select(*columns)
 
 

@@ -17,17 +17,21 @@ def test_profile_upsert_guards(spark):
     assert got == {"a": 3, "b": 2, "c": 1, "d": 1, "e": 2}
 
 
-def test_two_key_upsert_is_idempotent_with_null_keys(spark):
-    cols = "match_id string, book string, prov string, odds_id string, price double"
-    old = spark.createDataFrame([("m1", "b", "p", "1", 1.0), (None, "b", "p", None, 2.0)], cols)
-    new = spark.createDataFrame([("m1", "b", "p", "1", 5.0, 0), (None, "b", "q", None, 6.0, 1), ("m2", "b", "p", "9", 7.0, 2)], cols + ", seq int")
+def test_two_key_upsert_keeps_unresolved_rows_apart_and_is_idempotent(spark):
+    cols = "match_id string, book string, prov string, event string, odds_id string, price double"
+    old = spark.createDataFrame([("m1", "b", "p", "e1", "1", 1.0), (None, "b", "p", "e2", None, 2.0), ("m5", "b", "p", "e5", "5", 5.5)], cols)
+    new = spark.createDataFrame([
+        ("m1", "b", "p", "e1", "1", 5.0, 0), (None, "b", "q", "e2", None, 6.0, 1), ("m2", "b", "p", "e2", "9", 7.0, 2), (None, "b", "p", "e2", None, 8.0, 3),
+        (None, "b", "p", "e3", "21", 3.0, 4), (None, "b", "p", "e4", "22", 4.0, 5), ("m1", "b", "q", "e1", None, 9.0, 6)], cols + ", seq int")
     args = (["prov", "odds_id"], ["match_id", "book"], "seq")
-    once = sinks.upsert_two_key(old, new, *args, fixed=["prov"])
-    key = lambda r: (r.match_id or "", r.price)
-    want = [(None, "b", "p", None, 6.0), ("m1", "b", "p", "1", 5.0), ("m2", "b", "p", "9", 7.0)]
+    more = {"fixed": ["prov"], "provider": ["prov", "event"]}
+    once = sinks.upsert_two_key(old, new, *args, **more)
+    key = lambda r: (r.match_id or "", r.prov, r.event, r.odds_id or "")
+    want = [(None, "b", "p", "e2", None, 8.0), (None, "b", "p", "e3", "21", 3.0), (None, "b", "p", "e4", "22", 4.0), (None, "b", "q", "e2", None, 6.0),
+            ("m1", "b", "p", "e1", None, 9.0), ("m2", "b", "p", "e2", "9", 7.0), ("m5", "b", "p", "e5", "5", 5.5)]
     assert [tuple(r) for r in sorted(once.collect(), key=key)] == want
-    again = sinks.upsert_two_key(once, new, *args, fixed=["prov"])
-    assert [tuple(r) for r in sorted(again.collect(), key=key)] == want
+    again = sinks.upsert_two_key(once, new, *args, **more)
+    assert again.count() == len(want) and again.where("match_id IS NULL").count() == 4
 
 
 def backtest(spark, version="baseline_v1_x_backtest_1", fold=1):
