@@ -17,6 +17,7 @@ RAW_COLUMNS = ["captured_at", "fixture_id", "league", "tournament", "start_date"
 PIVOT_COLUMNS = ["captured_at", "fixture_id", "league", "tournament", "start_date", "home_player", "away_player",
                  "book", "market_id", "market", "provider_player_name", "provider_player_id", "normalized_selection",
                  "line", "is_main", "over_price", "under_price", "over_odds_id", "under_odds_id"]
+# fixed values: columns that the raw layout may have besides
 OPTIONAL_COLUMNS = ["player_name", "selection_player", "participant", "selection_line"]
 
 
@@ -233,8 +234,12 @@ def unresolved_names(rows: DataFrame, stage: str = "stage", name: str = "provide
 
 def prepare_snapshot(raw: DataFrame, players: DataFrame, matches: DataFrame, provider: str,
                      order: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows for the line table with both keys or neither, plus the late and quarantined rows."""
-    usable, late, bad = parse_captures(to_raw_layout(raw, keep=order), keep=order)
+    """Rows for the line table with both keys or neither, plus the late and quarantined rows.
+
+    ``raw`` is in either layout, or already in the raw one with its ``side``.
+    """
+    raw = raw if "side" in raw.columns else to_raw_layout(raw, keep=order)
+    usable, late, bad = parse_captures(raw, keep=order)
     meta = ["market_id", "league", "tournament", "home_player", "away_player", "start_at", "captured_at", "prop_type"]
     lines = pivot_sides(usable, [*order, "side"], metadata=meta).withColumn("__tour", tour_label("league"))
     names = lines.select(F.explode(F.array("provider_player_name", "home_player", "away_player")).alias("name"),

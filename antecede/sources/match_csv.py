@@ -7,24 +7,24 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-# fixed values: the columns every match file must have
-_SIDE = ["id", "seed", "entry", "name", "hand", "ht", "ioc", "age", "rank", "rank_points"]
-_STAT = ["ace", "df", "svpt", "1stIn", "1stWon", "2ndWon", "SvGms", "bpSaved", "bpFaced"]
-REQUIRED = (["tourney_id", "tourney_name", "surface", "draw_size", "tourney_level", "tourney_date", "match_num"]
-            + [f"{s}_{c}" for s in ("winner", "loser") for c in _SIDE]
-            + ["score", "best_of", "round", "minutes"] + [f"{s}_{c}" for s in ("w", "l") for c in _STAT])
+from antecede.sources.csv_text import header_groups, read_group, row_position
+
+# fixed values: the columns every match file must have, in file order
+REQUIRED = [
+    "tourney_id", "tourney_name", "surface", "draw_size", "tourney_level", "tourney_date", "match_num",
+    "winner_id", "winner_seed", "winner_entry", "winner_name", "winner_hand", "winner_ht", "winner_ioc",
+    "winner_age", "winner_rank", "winner_rank_points", "loser_id", "loser_seed", "loser_entry", "loser_name",
+    "loser_hand", "loser_ht", "loser_ioc", "loser_age", "loser_rank", "loser_rank_points", "score", "best_of",
+    "round", "minutes", "w_ace", "w_df", "w_svpt", "w_1stIn", "w_1stWon", "w_2ndWon", "w_SvGms", "w_bpSaved",
+    "w_bpFaced", "l_ace", "l_df", "l_svpt", "l_1stIn", "l_1stWon", "l_2ndWon", "l_SvGms", "l_bpSaved",
+    "l_bpFaced",
+]
 
 
 class HeaderError(ValueError):
     """A file lacks required columns."""
 
 
-def text_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """All-text CSV with a header; a byte order mark before the first name is dropped."""
-    df = spark.read.option("header", True).option("multiLine", False).option("quote", '"').option("escape", '"').csv(path)
-    return df.toDF(*[c.removeprefix("﻿").strip() for c in df.columns])
-
-
 def require_columns(df: DataFrame, required: Sequence[str], where: str) -> DataFrame:
     missing = sorted(set(required) - set(df.columns))
     if missing:
@@ -35,13 +35,13 @@ def require_columns(df: DataFrame, required: Sequence[str], where: str) -> DataF
 def read_matches(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Files in the given order. (file_idx, row_seq) is the reading order duplicates are decided by.
 
-    row_seq is the position Spark assigns while reading a file; it grows along the file.
+    Every file is read by its own header, so columns may stand in any order and extra ones may follow.
     """
     frames = []
     for i, path in enumerate(paths):
-        df = require_columns(text_csv(spark, path), REQUIRED, path).select(*REQUIRED)
-        frames.append(df.select("*", F.lit(i).alias("file_idx"), F.lit(path).alias("source_file"),
-                                F.monotonically_increasing_id().alias("row_seq")))
+        for columns, files in header_groups(spark, path):
+            df = require_columns(read_group(spark, columns, files), REQUIRED, ", ".join(files))
+            frames.append(df.select(*REQUIRED, F.lit(i).alias("file_idx"), F.lit(path).alias("source_file"), row_position().alias("row_seq")))
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 

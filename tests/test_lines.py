@@ -127,3 +127,17 @@ def test_archive_reads_every_file(spark, tmp_path):
         (tmp_path / f"tennis_props_{i}.csv").write_text(",".join(ops.RAW_COLUMNS) + "\n" + ",".join("x" for _ in ops.RAW_COLUMNS) + "\n")
     df = read_archive(spark, str(tmp_path))
     assert sorted(r.file_name for r in df.select("file_name").collect()) == ["tennis_props_1.csv", "tennis_props_2.csv"]
+
+
+def test_archive_takes_columns_by_name_and_mixes_layouts(spark, tmp_path):
+    values = dict(captured_at="2026-01-01T08:00:00Z", fixture_id="f1", points="5.5", price="1.9", selection_line="over 5.5")
+    for name, columns in (("a", [*ops.RAW_COLUMNS, "selection_line"]), ("b", [*reversed(ops.RAW_COLUMNS), "selection_line"])):
+        (tmp_path / f"tennis_props_{name}.csv").write_text(",".join(columns) + "\n" + ",".join(values.get(c, "x") for c in columns) + "\n")
+    pivot = dict(captured_at="2026-01-01T08:00:00Z", fixture_id="f2", line="5.5", over_price="1.9", under_price="2.1")
+    bom = "\N{ZERO WIDTH NO-BREAK SPACE}"
+    (tmp_path / "tennis_props_c.csv").write_text(bom + ",".join(ops.PIVOT_COLUMNS) + "\n" + ",".join(pivot.get(c, "") for c in ops.PIVOT_COLUMNS) + "\n")
+    got = sorted((r.file_name[-5], r.fixture_id, r.points, r.price, r.side) for r in read_archive(spark, str(tmp_path)).collect())
+    assert got == [("a", "f1", "5.5", "1.9", "over"), ("b", "f1", "5.5", "1.9", "over"), ("c", "f2", "5.5", "1.9", "over"), ("c", "f2", "5.5", "2.1", "under")]
+    (tmp_path / "tennis_props_d.csv").write_text("other,columns\n1,2\n")
+    with pytest.raises(ValueError, match="tennis_props_d.csv"):
+        read_archive(spark, str(tmp_path))
