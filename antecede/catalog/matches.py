@@ -176,9 +176,9 @@ def freshness(spark, sf):
 
 @query("player_season_history", f"""WITH {PARSED_SQL}, h AS ({_side_sql('w')} UNION ALL {_side_sql('l')})
 SELECT event_date, match_id, 'Player ' || player_id AS player, 'Player ' || opponent_id AS opponent, is_winner, aces, score
-FROM h WHERE file_idx = 0 AND player_id = '8' AND year(tourney_date) = 2024""")
+FROM h WHERE player_id = '8' AND year(tourney_date) = 2024""")
 def player_season_history(spark, sf):
-    src = source(spark, sf).where("file_idx = 0")
+    src = source(spark, sf)
     players = m.latest_profiles(m.player_snapshots(src, ["file_idx", "m"]), ["file_idx", "m"])
     out = m.player_history(m.expand_matches(src), players, "player 8", [2024])
     return out.select("event_date", "match_id", "player", "opponent", "is_winner", "aces", "score")

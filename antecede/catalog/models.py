@@ -13,7 +13,7 @@ from antecede.plans import baseline, quantile, report, walkforward
 
 CUTOFF = dt.date(2000, 8, 1)
 SETUP = quantile.QuantileSettings(
-    target=TARGET, modelversion=f"gbm_v1_{TARGET}", iterations=8, depth=3,
+    target=TARGET, modelversion=f"gbm_v1_{TARGET}",
     numeric=["rolling_mean_3", "rolling_std_3", "rolling_mean_5", "rolling_std_5", "history_observations"],
     categorical=["priority", "status"])
 

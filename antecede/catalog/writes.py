@@ -17,7 +17,7 @@ ex AS (SELECT o_custkey AS player_id, o_totalprice AS height,
        WHERE o_orderstatus = 'F' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1),
 ic AS (SELECT o_custkey AS player_id, o_totalprice AS height,
          CASE WHEN o_orderpriority <> '1-URGENT' THEN CAST(o_orderdate AS DATE) END AS profile_as_of, o_orderkey AS seq
-       FROM orders WHERE o_orderstatus = 'O'),
+       FROM orders WHERE o_orderstatus <> 'F'),
 un AS (SELECT *, NULL::BIGINT AS seq, 0 AS src FROM ex UNION ALL SELECT player_id, height, profile_as_of, seq, 1 FROM ic)
 """
 
@@ -30,7 +30,7 @@ def _profiles(spark, sf):
     # the order date is part of the order so that a missing as-of date can be the stored value
     existing = o.where("o_orderstatus = 'F'").groupBy("player_id").agg(
         F.max_by(F.struct("height", "profile_as_of"), at).alias("s")).select("player_id", "s.*")
-    return existing, o.where("o_orderstatus = 'O'").select("player_id", "height", "profile_as_of", "seq")
+    return existing, o.where("o_orderstatus <> 'F'").select("player_id", "height", "profile_as_of", "seq")
 
 
 @query("upsert_newer", f"""WITH {PROFILE_SQL} SELECT player_id, height, profile_as_of FROM un
@@ -101,13 +101,13 @@ def upsert_two_key(spark, sf):
 
 
 REGISTER_SQL = """
-rg AS (SELECT o_orderpriority || '-' || (o_custkey % 100) AS name, o_orderstatus AS s, count(*) AS row_count,
+rg AS (SELECT o_orderpriority || '-' || (o_custkey % 100) AS name, CASE o_orderstatus WHEN 'F' THEN 'F' ELSE 'O' END AS s, count(*) AS row_count,
          CAST(min(o_orderdate) AS DATE) AS first_seen, CAST(max(o_orderdate) AS DATE) AS last_seen FROM orders GROUP BY ALL)
 """
 
 
-def _register(spark, sf, status):
-    rows = table(spark, sf, "orders").where(F.col("o_orderstatus") == status)
+def _register(spark, sf, rows):
+    rows = table(spark, sf, "orders").where(rows)
     name = F.concat_ws("-", "o_orderpriority", F.col("o_custkey") % 100)
     return rows.groupBy(name.alias("name")).agg(
         F.count(F.lit(1)).alias("row_count"), F.min("o_orderdate").cast("date").alias("first_seen"),
@@ -119,7 +119,7 @@ SELECT coalesce(i.name, e.name) AS name, coalesce(i.row_count, e.row_count) AS r
   least(e.first_seen, i.first_seen) AS first_seen, coalesce(i.last_seen, e.last_seen) AS last_seen
 FROM (SELECT * FROM rg WHERE s = 'F') e FULL JOIN (SELECT * FROM rg WHERE s = 'O') i USING (name)""")
 def register_merge(spark, sf):
-    return sinks.merge_register(_register(spark, sf, "F"), _register(spark, sf, "O"), ["name"])
+    return sinks.merge_register(_register(spark, sf, "o_orderstatus = 'F'"), _register(spark, sf, "o_orderstatus <> 'F'"), ["name"])
 
 
 @query("register_prune", f"""WITH {REGISTER_SQL}
@@ -127,10 +127,10 @@ SELECT name, row_count, first_seen, last_seen FROM rg e WHERE s = 'F' AND EXISTS
   SELECT 1 FROM orders o WHERE o_orderstatus = 'P' AND o_totalprice > 400000
   AND o.o_orderpriority || '-' || (o.o_custkey % 100) = e.name)""")
 def register_prune(spark, sf):
-    rows = table(spark, sf, "orders").where("o_totalprice > 400000").select(
-        F.concat_ws("-", "o_orderpriority", F.col("o_custkey") % 100).alias("name"),
-        F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey")).alias("match_id"))
-    return sinks.prune_register(_register(spark, sf, "F"), rows, ["name"])
+    unresolved = (F.col("o_orderstatus") == "P") & (F.col("o_totalprice") > 400000)
+    rows = table(spark, sf, "orders").select(
+        F.concat_ws("-", "o_orderpriority", F.col("o_custkey") % 100).alias("name"), F.when(~unresolved, F.col("o_orderkey")).alias("match_id"))
+    return sinks.prune_register(_register(spark, sf, "o_orderstatus = 'F'"), rows, ["name"])
 
 
 # --- files: written to the shared scratch folder and read back ----------------------------------------
@@ -303,7 +303,7 @@ def _page_tables(spark, sf):
 
 @query("fixture_links", f"""WITH {PAGES_SQL} SELECT m AS fixture_id,
   CASE WHEN n = 1 THEN 'https://www.wtatennis.com/tournaments/' || (m % 5) || '/cup/2026/scores/LS' || m END AS url,
-  CASE WHEN n <> 1 THEN 'scorecard candidates: ' || n END AS reason FROM vr""")
+  CASE WHEN n <> 1 THEN 'matching cards: ' || n END AS reason FROM vr""")
 def fixture_links(spark, sf):
     fixtures, score_pages, _ = _page_tables(spark, sf)
     return pg.fixture_links(fixtures, score_pages, pg.PageFormat()).select("fixture_id", "url", "reason")
@@ -323,9 +323,9 @@ def verified_results(spark, sf):
 
 
 @query("result_import", f"""WITH {PAGES_SQL}, g AS (SELECT * FROM vr WHERE n = 1 AND reason IS NULL)
-SELECT 'wta-2026-' || tournament || '-LS' || m AS match_id, scheduled_date AS event_date, ha::VARCHAR AS player_id,
+SELECT 'wta-' || year(scheduled_date) || '-' || tournament || '-LS' || m AS match_id, scheduled_date AS event_date, ha::VARCHAR AS player_id,
   hb::VARCHAR AS opponent_id, true AS is_winner, CASE WHEN k % 2 = 0 THEN 13 ELSE 16 END AS games_won, 2 AS sets_won FROM g
-UNION ALL SELECT 'wta-2026-' || tournament || '-LS' || m, scheduled_date, hb::VARCHAR, ha::VARCHAR, false,
+UNION ALL SELECT 'wta-' || year(scheduled_date) || '-' || tournament || '-LS' || m, scheduled_date, hb::VARCHAR, ha::VARCHAR, false,
   CASE WHEN k % 2 = 0 THEN 10 ELSE 11 END, CASE WHEN k % 2 = 0 THEN 0 ELSE 1 END FROM g""")
 def result_import(spark, sf):
     _, rows, _ = pg.result_rows(_verified(spark, sf))

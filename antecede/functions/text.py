@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from functools import lru_cache
 
@@ -40,8 +41,12 @@ def compact_date(col: str | Column) -> Column:
 
 
 def utc_timestamp(col: str | Column) -> Column:
-    """ISO text to an instant; text without an offset is UTC (the session time zone)."""
-    return clean(col).try_cast("timestamp")
+    """ISO text to an instant; text without an offset is UTC, whatever the session's time zone."""
+    text = clean(col)
+    zoned = F.when(text.rlike(r"[T ]\d{1,2}:\d{2}:\d{2}(\.\d+)?$"), F.concat(text, F.lit("Z"))).when(
+        text.rlike(r"[T ]\d{1,2}:\d{2}$"), F.concat(text, F.lit(":00Z"))).when(
+        text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.concat(text, F.lit("T00:00:00Z"))).otherwise(text)
+    return zoned.try_cast("timestamp")
 
 
 @lru_cache(maxsize=1)
@@ -52,7 +57,7 @@ def _decompositions() -> tuple[str, str, dict[str, str], str]:
     combining marks.
     """
     sources, targets, longer, marks = [], [], {}, []
-    for code in range(0x80, 0x10000):
+    for code in range(0x80, sys.maxunicode + 1):
         ch = chr(code)
         if 0xD800 <= code <= 0xDFFF:
             continue
@@ -72,7 +77,7 @@ def _decompositions() -> tuple[str, str, dict[str, str], str]:
             runs[-1][1] = code
         else:
             runs.append([code, code])
-    ranges = "".join(rf"\u{lo:04x}-\u{hi:04x}" for lo, hi in runs)
+    ranges = "".join(rf"\x{{{lo:x}}}-\x{{{hi:x}}}" for lo, hi in runs)
     return "".join(sources), "".join(targets), longer, f"[{ranges}]"
 
 

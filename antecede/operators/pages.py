@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -19,7 +21,7 @@ class PageFormat:
     base: str = "https://www.wtatennis.com"
     # fixed values: markup the pages use
     player_link: str = r'href="/players/(\d+)/([^"/]+)"'
-    match_link: str = r'href="(/tournaments/\d+/[^"/]+/2026/scores/[LR]S\d+)"'
+    match_link: str = r'href="(/tournaments/\d+/[^"/]+/\d{4}/scores/[LR]S\d+)"'
     card_split: str = r'<div\s+class="tennis-match js-tennis-match '
     ld_json: str = r'(?s)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'
     team_row: str = r'(?s)<tr class="match-table__row js-team-[ab]([^"]*)".*?href="/players/(\d+)/[^"]+"'
@@ -43,11 +45,23 @@ def cards(pages: DataFrame, html: str, pattern: str, keep: list[str]) -> DataFra
 
 
 def unescape(text: Column) -> Column:
-    # fixed values: character references used in embedded data; the ampersand comes last
-    for entity, char in (("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"),
-                         ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Character references to characters: numeric ones by rule, named ones from the HTML standard's table.
+
+    An unknown name, a number beyond the character set and a lone ampersand stay as they are.
+    """
+    named = F.from_json(F.lit(json.dumps({n: c for n, c in html5.items() if n.endswith(";")})), "map<string,string>")
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s)(&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|&[A-Za-z][A-Za-z0-9]*;|[^&]+|&)"), F.lit(1))
+
+    def decode(piece: Column) -> Column:
+        hexed = F.when(piece.rlike("^&#[xX]"), F.regexp_extract(piece, "^&#[xX]([0-9a-fA-F]+);$", 1)).otherwise(
+            F.conv(F.regexp_extract(piece, "^&#([0-9]+);$", 1), 10, 16))
+        code = F.conv(hexed, 16, 10).cast("long")
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        number = F.when(valid, F.decode(F.unhex(F.lpad(hexed, 8, "0")), "UTF-32"))
+        return F.when(piece.startswith("&#"), F.coalesce(number, piece)).when(
+            piece.startswith("&"), F.coalesce(F.try_element_at(named, F.substring(piece, 2, 1 << 20)), piece)).otherwise(piece)
+
+    return F.when(text.contains("&"), F.array_join(F.transform(pieces, decode), "")).otherwise(text)
 
 
 def embedded_events(html: Column, fmt: PageFormat) -> Column:
@@ -85,7 +99,7 @@ def fixture_links(fixtures: DataFrame, pages: DataFrame, fmt: PageFormat) -> Dat
     out = lookup(fixtures, one, ["fixture_id"], ["n", "url"])
     n = F.coalesce("n", F.lit(0))
     return out.select(*fixtures.columns, F.when(n == 1, F.col("url")).alias("url"),
-                      F.when(n != 1, F.concat(F.lit("scorecard candidates: "), n)).alias("reason"))
+                      F.when(n != 1, F.concat(F.lit("matching cards: "), n)).alias("reason"))
 
 
 def set_totals(score: Column) -> dict[str, Column]:
@@ -152,12 +166,12 @@ def _property(name: str) -> Column:
     return F.coalesce(F.try_element_at(hits, F.lit(-1))["value"], F.lit(""))
 
 
-def result_rows(verified: DataFrame, prefix: str = "wta-2026", code: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def result_rows(verified: DataFrame, prefix: str = "wta", code: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(players, two match rows per result, one provenance row); two fixtures on one match is an error."""
     ensure_checkpoint_dir(verified.sparkSession)
     code = code if code is not None else F.col("tournament")
     # checked once and read three times: verification runs once
-    good = verified.checkpoint().where("reason IS NULL").withColumn("match_id", F.concat_ws("-", F.lit(prefix), code, "match_number"))
+    good = verified.checkpoint().where("reason IS NULL").withColumn("match_id", F.concat_ws("-", F.lit(prefix), F.year("scheduled_date"), code, "match_number"))
     require_empty(duplicate_keys(good, ["match_id"]), "several fixtures map to one match")
     both = good.select("match_id", F.col("scheduled_date").alias("event_date"), "tournament", "round", "players",
                        F.posexplode("players").alias("i", "p"))

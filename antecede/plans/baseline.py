@@ -129,7 +129,8 @@ def ratios_from_statistics(stats: DataFrame, folds: Sequence[Fold], settings: Ba
     grid = grid.withColumns({"s": F.sum("s").over(run), "n": F.sum("n").over(run)})
     fold = W.partitionBy("fold_number")  # one row per context value
     overall = F.max(F.when(F.col("context") == _ALL, F.col("s") / F.col("n"))).over(fold)
-    grid = grid.withColumn("overall", overall).where(F.col("context") != _ALL)
+    positive = F.when(overall.isNull() | (overall > 0), overall).otherwise(_checked(overall))
+    grid = grid.withColumn("overall", positive).where(F.col("context") != _ALL)
     big = F.col("n") >= settings.minimum_group_size
     return grid.where(big).select("fold_number", "context", "value", F.col("n").alias("rows"),
                                   (F.col("s") / F.col("n") / F.col("overall")).alias("multiplier"))

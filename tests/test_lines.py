@@ -141,3 +141,14 @@ def test_archive_takes_columns_by_name_and_mixes_layouts(spark, tmp_path):
     (tmp_path / "tennis_props_d.csv").write_text("other,columns\n1,2\n")
     with pytest.raises(ValueError, match="tennis_props_d.csv"):
         read_archive(spark, str(tmp_path))
+
+
+def test_letters_of_all_planes_and_zones(spark):
+    assert one(spark, "𝐀lice 𝟙", text.normalise_name) == "alice 1"
+    rows = spark.createDataFrame([("2026-01-01T10:00:00Z",), ("2026-01-01T10:00:00",), ("2026-01-01 10:00",), ("2026-01-01T12:00:00+02:00",)], "x string")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        assert rows.select(F.unix_timestamp(text.utc_timestamp("x"))).distinct().count() == 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
