@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F, types as T
 
 from antecede.catalog.lines import ORDER
-from antecede.catalog.registry import query
+from antecede.catalog.registry import query, table
 from antecede.catalog.views import LINES_SQL, lines
 from antecede.operators import lines as ops, sinks
 from antecede.streaming import lines as stream
@@ -15,14 +15,14 @@ COLUMNS = ["fixture_id", "book", "provider_player_id", "line", "side", "price",
 
 
 def _written(spark, sf, repeat=False):
-    """One CSV snapshot per capture year, as a provider archive would hold them."""
+    """CSV snapshots by capture year, several files each, so that a snapshot falls into several batches."""
     rows = lines(spark, sf).select(*COLUMNS).withColumn("snapshot", F.year("captured_at"))
     if repeat:
         rows = rows.unionByName(rows.where("side = 'under'"))
     schema = T.StructType([f for f in rows.schema if f.name != "snapshot"])
     text = rows.withColumns({"captured_at": F.col("captured_at").cast("timestamp"), "start_at": F.col("start_at").cast("timestamp")})
     path = sinks.scratch_path(spark, "snapshots")
-    text.repartition("snapshot").write.partitionBy("snapshot").option("header", True).csv(path)
+    text.repartition(3, "odds_id").write.partitionBy("snapshot").option("header", True).csv(path)
     fields = [T.StructField(f.name, T.TimestampType()) if f.name in ("captured_at", "start_at") else f for f in schema]
     return path, T.StructType([*fields, T.StructField("snapshot", T.IntegerType())])
 
@@ -39,38 +39,37 @@ def stream_ingest(spark, sf):
     path, schema = _written(spark, sf)
     source = stream.line_stream(spark, path, schema, files_per_batch=3)
     target = sinks.scratch_path(spark, "lines")
-
-    def batch(df, batch_id):
-        early = df.where(ops.before_start())
-        pivoted = ops.pivot_sides(early, ORDER, group=PIVOT_KEYS, name=None).withColumn("seq", F.lit(batch_id).cast("long"))
-        stream.upsert_partitions(pivoted, target, PIVOT_KEYS, "snapshot", "seq")
-
-    stream.run_available(source, sinks.scratch_path(spark, "ingest-progress"), batch=batch)
-    return spark.read.parquet(target).select(*PIVOT_KEYS, "over_price", "under_price")
+    stream.run_available(source, sinks.scratch_path(spark, "ingest-progress"), batch=lambda df, _: stream.merge_sides(
+        df.where(ops.before_start()), target, PIVOT_KEYS, "snapshot", ORDER))
+    return spark.read.parquet(target).select(*PIVOT_KEYS, F.col("over.price").alias("over_price"), F.col("under.price").alias("under_price"))
 
 
 @query("stream_dedupe", f"""WITH {LINES_SQL}
 SELECT odds_id, fixture_id, side, price FROM l WHERE start_at > captured_at""")
 def stream_dedupe(spark, sf):
+    """A repeat has the capture time of its first row, so it lands in the same stored partition and merges there, however late."""
     path, schema = _written(spark, sf, repeat=True)
-    source = stream.line_stream(spark, path, schema)
-    kept = stream.without_late_and_repeated(source, ["odds_id"], delay="3650 days")
+    source = stream.line_stream(spark, path, schema, files_per_batch=2)
     target = sinks.scratch_path(spark, "deduped")
-    stream.run_available(kept.select("odds_id", "fixture_id", "side", "price"), sinks.scratch_path(spark, "dedupe-progress"),
-                         path=target)
-    return spark.read.parquet(target)
+    first = {c: F.min(c) for c in ("fixture_id", "side", "price")}
+    stream.run_available(source, sinks.scratch_path(spark, "dedupe-progress"), batch=lambda df, _: stream.merge_partitions(
+        df.where(ops.before_start()), target, ["odds_id"], "snapshot", first))
+    return spark.read.parquet(target).select("odds_id", *first)
 
 
 @query("stream_unresolved", f"""WITH {LINES_SQL}
-SELECT CAST(captured_at AS DATE) AS day, book, count(*) AS row_count FROM l WHERE side = 'under' GROUP BY ALL""")
+SELECT CAST(captured_at AS DATE) AS day, book, provider_player_id, count(*) AS row_count FROM l
+WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = l.provider_player_id) GROUP BY ALL""")
 def stream_unresolved(spark, sf):
+    """Lines per day, book and provider player that is no known customer; both sides, late rows too."""
     path, schema = _written(spark, sf)
-    source = stream.line_stream(spark, path, schema).where("side = 'under'")
-    counted = stream.daily_counts(source, ["book"], delay="3650 days").withColumn("month", F.date_format("day", "yyyy-MM"))
+    known = table(spark, sf, "customer").select(F.col("c_custkey").alias("provider_player_id"))
     target = sinks.scratch_path(spark, "counts")
+    keys = ["day", "book", "provider_player_id"]
 
     def batch(df, batch_id):
-        stream.upsert_partitions(df.withColumn("seq", F.lit(batch_id).cast("long")), target, ["day", "book"], "month", "seq")
+        missing = df.join(known, "provider_player_id", "left_anti").withColumn("day", F.to_date("captured_at"))
+        stream.replace_batch(missing.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count")), target, batch_id)
 
-    stream.run_available(counted, sinks.scratch_path(spark, "count-progress"), batch=batch, mode="update")
-    return spark.read.parquet(target).select("day", "book", "row_count")
+    stream.run_available(stream.line_stream(spark, path, schema, files_per_batch=3), sinks.scratch_path(spark, "count-progress"), batch=batch)
+    return spark.read.parquet(target).groupBy(*keys).agg(F.sum("row_count").alias("row_count"))
