@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["features", "evaluation", "ensembles", "matches", "lines", "reports", "writes", "models", "streams"]
+MODULES = ["features", "evaluation", "ensembles", "matches", "lines", "line_load", "reports", "writes", "models", "streams"]
 
 
 def load() -> None:
