@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import sys
 import unicodedata
 from functools import lru_cache
@@ -95,7 +96,7 @@ def strip_accents(col: str | Column) -> Column:
     plain = _c(col)
     text = F.translate(plain, sources, targets)
     wide = "[" + "".join(longer) + "]"
-    table = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
+    table = F.from_json(F.lit(json.dumps(longer)), "map<string,string>")  # one literal, folded before the query runs
     letters = F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c))
     expanded = F.when(text.rlike(wide), F.array_join(letters, "")).otherwise(text)
     return F.when(_ascii(plain), plain).when(_ascii(text), text).otherwise(F.regexp_replace(expanded, marks, ""))
