@@ -283,7 +283,7 @@ def first_event_null(spark, sf):
     return n_first.crossJoin(n_bad)
 
 
-@query("perturbation_invariance", "SELECT 0 AS changed_rows")
+@query("perturbation_invariance", "SELECT 0 AS changed_rows, 2 AS compared_rows")
 def perturbation_invariance(spark, sf):
     """Shift the newest row's target by 10,000: none of its own features may move."""
     h = history(spark, sf)
@@ -293,17 +293,23 @@ def perturbation_invariance(spark, sf):
         lambda m: build_features(m, CONFIG), h, row, "amount", player="player_id", opponent="opponent_id",
         date="event_date", row_id=["match_id", "player_id"],
         compare=["stat_target", *CONFIG.feature_columns])
-    return changed.agg(F.count(F.lit(1)).cast("int").alias("changed_rows"))
+    # the row has one feature row per target; without them nothing would be compared
+    compared = build_features(h, CONFIG).where((F.col("match_id") == row["match_id"]) & (F.col("player_id") == row["player_id"]))
+    return changed.agg(F.count(F.lit(1)).cast("int").alias("changed_rows")).crossJoin(
+        compared.agg(F.count(F.lit(1)).cast("int").alias("compared_rows")))
 
 
-GUARDED = ["rolling_mean_5", "rolling_std_5", "career_to_date_mean", "rest_days", "rating"]
+GUARDED = [c for c in CONFIG.feature_columns if c != "category"]  # every number; the category is text
+
+
+_CORR = "nullif(corr({0}, target_value), 'nan'::DOUBLE)"  # a constant column has no correlation
 
 
 @query("target_correlation", f"""WITH {BUILD_SQL},
 f AS (SELECT * FROM amount_o UNION ALL BY NAME SELECT * FROM units_o)
 """ + " UNION ALL ".join(
-    f"SELECT stat_target, '{c}' AS feature, {s6(f'abs(corr({c}, target_value))')} AS abs_correlation, "
-    f"coalesce(abs(corr({c}, target_value)) > 0.99, false) AS suspicious FROM f GROUP BY stat_target"
+    f"SELECT stat_target, '{c}' AS feature, {s6(f'abs({_CORR.format(c)})')} AS abs_correlation, "
+    f"coalesce(abs({_CORR.format(c)}) > 0.99, false) AS suspicious FROM f GROUP BY stat_target"
     for c in GUARDED))
 def target_correlation(spark, sf):
     out = quality.correlation_guard(built(spark, sf), GUARDED, "target_value", ["stat_target"])
@@ -314,9 +320,9 @@ def target_correlation(spark, sf):
 f AS (SELECT * FROM amount_o UNION ALL BY NAME SELECT * FROM units_o)
 """ + " UNION ALL ".join(
     f"SELECT stat_target, '{c}' AS feature, {s6(f'100.0 * avg(({c} IS NULL)::INT)')} AS null_pct FROM f "
-    "GROUP BY stat_target" for c in GUARDED))
+    "GROUP BY stat_target" for c in CONFIG.feature_columns))
 def feature_null_rates(spark, sf):
-    return quality.null_rates(built(spark, sf), GUARDED, ["stat_target"]).withColumn("null_pct", r6("null_pct"))
+    return quality.null_rates(built(spark, sf), CONFIG.feature_columns, ["stat_target"]).withColumn("null_pct", r6("null_pct"))
 
 
 @query("target_distribution", f"""WITH {H_SQL},

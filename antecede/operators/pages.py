@@ -91,13 +91,12 @@ def fixture_links(fixtures: DataFrame, pages: DataFrame, fmt: PageFormat) -> Dat
     slugs = F.regexp_extract_all("card", F.lit(fmt.player_link), F.lit(2))
     first = F.regexp_extract("card", fmt.match_link, 1)
     named = pieces.select("tournament", slugs.alias("s"), first.alias("path")).where("size(s) = 2 AND path <> ''")
-    named = named.select("tournament", *_pair(name_key(F.col("s")[0]), name_key(F.col("s")[1])),
-                         F.concat(F.lit(fmt.base), "path").alias("url")).distinct()
-    wanted = fixtures.select("fixture_id", "tournament", *_pair(name_key("home"), name_key("away")))
-    found = wanted.where("__a <> __b").join(named, ["tournament", "__a", "__b"])
-    one = found.groupBy("fixture_id").agg(F.count(F.lit(1)).alias("n"), F.min("url").alias("url"))
-    out = lookup(fixtures, one, ["fixture_id"], ["n", "url"])
-    n = F.coalesce("n", F.lit(0))
+    # candidates are counted per pair before they meet the fixtures: a frequent pair costs one row, not one per card and fixture
+    urls = named.select("tournament", *_pair(name_key(F.col("s")[0]), name_key(F.col("s")[1])), F.concat(F.lit(fmt.base), "path").alias("url")).distinct()
+    candidates = urls.groupBy("tournament", "__a", "__b").agg(F.count(F.lit(1)).alias("n"), F.min("url").alias("url"))
+    wanted = fixtures.select(*fixtures.columns, *_pair(name_key("home"), name_key("away")))
+    out = lookup(wanted, candidates, ["tournament", "__a", "__b"], ["n", "url"])
+    n = F.when(F.col("__a") != F.col("__b"), F.coalesce("n", F.lit(0))).otherwise(0)
     return out.select(*fixtures.columns, F.when(n == 1, F.col("url")).alias("url"),
                       F.when(n != 1, F.concat(F.lit("matching cards: "), n)).alias("reason"))
 

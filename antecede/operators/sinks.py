@@ -125,8 +125,10 @@ def append_backtest(df: DataFrame, path: str) -> None:
     require_empty(quality.duplicate_keys(df, PREDICTION_KEY), "duplicate prediction keys")
     old = stored(df.sparkSession, path)
     if old is not None:
-        require_empty(df.join(old, PREDICTION_KEY, "left_semi"), "prediction already stored")
-    append(df, path)
+        # stored by version: only the folders of the incoming versions are read
+        same = old.join(F.broadcast(df.select("modelversion").distinct()), "modelversion", "left_semi")
+        require_empty(df.join(same, PREDICTION_KEY, "left_semi"), "prediction already stored")
+    append(df, path, ["modelversion"])
 
 
 def write_predictions(df: DataFrame, path: str) -> None:
