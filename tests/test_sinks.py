@@ -110,7 +110,7 @@ def test_links_need_exactly_one_card(spark):
     html = spark.createDataFrame([("Cup", "x" + card.format("LS001") + card.format("LS001")), ("Two", "x" + card.format("LS001") + card.format("LS002"))],
                                  "tournament string, html string")
     got = {r.fixture_id: (r.url, r.reason) for r in pages.fixture_links(fx, html, FMT).collect()}
-    assert got == {"f1": (URL, None), "f2": (None, "scorecard candidates: 2"), "f3": (None, "scorecard candidates: 0")}
+    assert got == {"f1": (URL, None), "f2": (None, "matching cards: 2"), "f3": (None, "matching cards: 0")}
 
 
 def test_archive_fixtures(spark):
