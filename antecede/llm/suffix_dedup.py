@@ -25,7 +25,8 @@ def _filter(slots: DataFrame) -> Broadcast:
     field = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     for row in parts.toLocalIterator():
         at = (row["bucket"] - 1) * (_BUCKET // 8)
-        field[at:at + _BUCKET // 8] = np.frombuffer(row["bits"], np.uint8)
+        own = field[at:at + _BUCKET // 8]
+        own[:] = np.frombuffer(row["bits"], np.uint8)[:len(own)]
     return slots.sparkSession.sparkContext.broadcast(field)
 
 
@@ -82,7 +83,7 @@ def _named(texts: DataFrame, length: int, repeated: Broadcast) -> DataFrame:
 
 
 def _bytes_of(texts: DataFrame, length: int, places: Broadcast) -> DataFrame:
-    """(gram, id, first, last, left, right): reversed bytes before the anchor and bytes from it on, of the suffixes in ``places``."""
+    """(gram, id, first, last, left, right): reversed bytes before the anchor and bytes from it on, of the suffixes in ``places`` and of some others by false hit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, offsets in slices(batches):
@@ -163,7 +164,9 @@ def repeated_strings(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
     3. Sort the suffixes that are left by gram and following bytes, compare neighbours, then the same for the bytes
        before. That bounds which starts before an anchor can be repeated at all.
     4. Merge the remaining suffixes: each such start is named by its whole string, and the earliest start of a
-       name stays.
+       name stays. Of grams with one name, which only false hits of the bit field let into step 3, the starts
+       are joined out: of copies, it may let in the later ones alone, and the earliest of those is not the earliest of all. With several
+       names the earliest copy is always there, and has every start that a later one has.
 
     NULL and empty texts keep nothing and lose nothing, as do texts under ``length``. Rows without an id are returned whole and
     remove nothing. Ids name texts: rows that share one do not remove each other's strings. Other columns
@@ -189,14 +192,14 @@ def repeated_strings(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
     # distances before the anchor at which a string may start, within the range of starts that the anchor serves
     far = F.least(F.col("ahead"), before)
     near = F.greatest(F.lit(length) - F.col("after"), before - F.col("last") + F.col("first"))
-    starts = stored(by_left.where(far >= near).select("id", (F.col("first") + before - far).alias("s"), (F.col("first") + before - near).alias("e"),
+    starts = stored(by_left.where(far >= near).select("gram", "id", (F.col("first") + before - far).alias("s"), (F.col("first") + before - near).alias("e"),
                                                       (before - far).alias("skip"), F.concat(_reversed(F.col("left")), "right").alias("bytes")), "starts")
     each = starts.select("id", "s", "skip", "bytes", F.posexplode(F.sequence(F.col("s"), F.col("e"))).alias("k", "p"))
     string = F.substring("bytes", F.col("skip") + F.col("k") + 1, F.lit(length))
     first = each.select("id", "p", F.xxhash64(string).alias("h1"), F.xxhash64(F.lit("second"), string).alias("h2")).groupBy("h1", "h2").agg(
         F.min(F.struct("id", "p")).alias("at"))
     kinds = names.select("id", F.lit(0).alias("kind"), F.col("first").alias("s"), F.col("last").alias("e")).unionByName(
-        starts.select("id", F.lit(1).alias("kind"), "s", "e")).unionByName(
+        starts.join(many, "gram", "left_semi").select("id", F.lit(1).alias("kind"), "s", "e")).unionByName(
         first.select("at.id", F.lit(2).alias("kind"), F.col("at.p").alias("s"), F.col("at.p").alias("e")))
     marks = kinds.groupBy(F.col("id").alias("of")).agg(F.collect_list(F.struct("kind", "s", "e")).alias("marks"))
     joined = texts.join(marks, F.col("id") == F.col("of"), "left").select("id", "text", "marks")
@@ -204,7 +207,7 @@ def repeated_strings(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int, repeated: Broadcast) -> Iterator[pa.RecordBatch]:
-    """Starts served by repeated grams go, but for the marks: named ranges (0) without the starts of step 4 (1), and those that stay (2)."""
+    """Starts served by repeated grams go, but for the marks: named ranges (0) without the starts of step 4 (1), and those of them that stay (2)."""
     for rows, buf, offsets in slices(batches):
         gram, _, first, last = anchors(buf, offsets, length)
         hit = _passes(repeated.value, _gram_slot(gram))
@@ -217,12 +220,16 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, repeated: Broadcast) ->
         owner = np.repeat(np.arange(rows.num_rows), sizes)
         flat = lists.flatten()
         kind, s, e = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+        judged = np.zeros(len(buf) + 1, bool)
         for k, value in ((0, False), (1, True), (2, False)):
             own = kind == k
             turn = np.zeros(len(buf) + 2, np.int32)
             np.add.at(turn, s[own] + offsets[owner[own]], 1)
             np.add.at(turn, e[own] + 1 + offsets[owner[own]], -1)
-            gone[np.cumsum(turn[:-1]) > 0] = value
+            marked = np.cumsum(turn[:-1]) > 0
+            if k == 1:
+                judged = marked
+            gone[marked & judged if k == 2 else marked] = value
         if len(rows.column("id").drop_null()) < rows.num_rows:
             for i in np.flatnonzero(rows.column("id").is_null().to_numpy(zero_copy_only=False)):
                 gone[offsets[i]:offsets[i + 1]] = False

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from antecede.llm import suffix_dedup
 from antecede.llm.suffix_dedup import repeated_strings
 
 
@@ -44,3 +45,13 @@ def test_null_ids_repeated_rows_and_empty_tables(frame):
     rows = repeated_strings(frame([(1, long), (None, long), (5, "short"), (5, "short"), (None, None)])).collect()
     assert sorted((str(r.id), r.n_removed > 0) for r in rows) == [("1", True), ("5", False), ("5", False), ("None", False), ("None", False)]
     assert repeated_strings(frame([])).count() == 0
+
+
+def test_false_hits_of_the_filters_change_nothing(frame, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "FILTER_BITS", 8)
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    same = [text(400) for _ in range(40)]  # four copies each: one name
+    shared = text(300)  # between other texts: several names
+    rows = [(i, same[i % 40]) for i in range(160)] + [(i, text(150) + shared[:rng.randint(150, 300)] + text(150)) for i in range(200, 220)]
+    assert run(frame(rows), 100) == brute(rows, 100)
