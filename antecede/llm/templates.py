@@ -126,7 +126,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity: flo
 
     An item leaks if at least ``similarity`` of its windows of ``width`` words stand near each other in the
     document, each with consistent slots: on a diagonal (same shift between item and document) one value of
-    the item always becomes the same value. ``changed`` counts values that became others.
+    the item always becomes the same value. Template windows with a value that becomes several do not count; windows of
+    equal words need no slots and always do. ``changed`` counts values that became others.
 
     Only windows whose hash some item has leave the tasks; that test is a bit field of fixed size, and the hash join after
     it is exact. An item of fewer than ``width`` words has no window and matches nothing, nor do NULL, empty or
@@ -148,10 +149,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity: flo
     pairs = F.filter(F.array(*[
         F.when(F.col("slots").bitwiseAND(F.lit(1 << k)) != 0, F.struct(F.get("item_words", F.lit(k)).alias("was"), F.get("words", F.lit(k)).alias("is")))
         for k in range(width)]), lambda p: p.isNotNull())
-    runs = both.groupBy("id", "item", "n", "diagonal").agg(
-        F.collect_set("item_pos").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
-    runs = runs.where(F.size("pairs") == F.size(F.array_distinct("pairs.was")))
-    near = runs.select("id", "item", "n", "places", F.size(F.filter("pairs", lambda p: p["was"] != p["is"])).alias("changed"), F.explode(F.array(
+    runs = both.groupBy("id", "item", "n", "diagonal").agg(F.collect_set(F.struct("item_pos", pairs.alias("pairs"))).alias("found"))
+    runs = runs.withColumn("pairs", F.array_distinct(F.flatten("found.pairs"))).withColumn("was", F.array_sort("pairs.was"))
+    # values of the item that become several: equal neighbours in order
+    runs = runs.withColumn("twisted", F.filter("was", lambda w, k: (k > 0) & (F.get("was", k - 1) == w)))
+    fit = F.filter("found", lambda f: ~F.arrays_overlap(f["pairs"]["was"], F.col("twisted")))
+    runs = runs.withColumn("places", F.array_distinct(F.transform(fit, lambda f: f["item_pos"]))).where(F.size("places") > 0)
+    changed = F.array_distinct(F.transform(F.filter("pairs", lambda p: p["was"] != p["is"]), lambda p: p["was"]))
+    near = runs.select("id", "item", "n", "places", F.size(changed).alias("changed"), F.explode(F.array(
         F.floor(F.col("diagonal") / F.col("n")) * 2, F.floor((F.col("diagonal") + F.col("n") / 2) / F.col("n")) * 2 + 1)).alias("region"))
     found = near.groupBy("id", "item", "n", "region").agg(
         (F.size(F.array_distinct(F.flatten(F.collect_list("places")))) / F.first("n")).alias("similarity"), F.max("changed").alias("changed"))

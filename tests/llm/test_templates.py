@@ -40,3 +40,13 @@ def test_latin_capitals_match_their_small_letters(frame, spark):
     text = "Où étaient éparpillés les élèves émus quand l'été s'achevait près des îles"
     bench = spark.createDataFrame([(1, text)], "item_id int, text string")
     assert found(frame, bench, [(1, text.upper())]) == {(1, 1): (1.0, 0)}
+
+
+def test_equal_windows_count_beside_inconsistent_slots(frame, spark):
+    words = [f"plain{k}" for k in range(59)]
+    words[3] = words[40] = "Anna"
+    changed = [*words[:3], "Mary", *words[4:]]
+    more = [w if k % 12 else "Anna" for k, w in enumerate(changed)]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id int, text string")
+    got = found(frame, bench, [(1, " ".join(changed)), (2, " ".join(more))])
+    assert got == {(1, 1): (round(51 / 55, 2), 1)}
