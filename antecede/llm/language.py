@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -24,10 +25,10 @@ _LETTERS: np.ndarray | None = None
 
 
 def _letter_table() -> np.ndarray:
-    """True for letters of the basic plane; beyond it every character counts as a letter of its own."""
+    """True for the letters of all planes."""
     global _LETTERS
     if _LETTERS is None:
-        _LETTERS = np.array([chr(c).isalpha() for c in range(0x10000)])
+        _LETTERS = np.array([chr(c).isalpha() for c in range(sys.maxunicode + 1)])
     return _LETTERS
 
 
@@ -51,7 +52,7 @@ def gram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     low = [f" {t.lower()} " for t in texts]
     sizes = np.array([len(t) for t in low], np.int64)
     codes = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _letter_table()[np.minimum(codes, 0xFFFF)] | (codes > 0xFFFF)
+    letter = _letter_table()[codes]
     blank = ~letter
     keep = letter.copy()
     keep[1:] |= ~blank[:-1]  # the first blank of a run

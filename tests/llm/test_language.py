@@ -37,3 +37,11 @@ def test_grams_stay_inside_their_text():
     both, offsets = language.gram_buckets(["ab", "", "c!d"])
     alone = [language.gram_buckets([t])[0] for t in ["ab", "", "c!d"]]
     assert [sorted(both[a:b]) for a, b in zip(offsets, offsets[1:])] == [sorted(x) for x in alone]
+
+
+def test_symbols_beyond_the_basic_plane_are_no_letters(spark, frame):
+    model = language.fit(spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de")], "doc_id int, text string, lang string"))
+    got = {r.id: (r.lang_pred, r.score) for r in language.predict(frame([(1, "😀🎉 🚀"), (2, "𠀀𐐷")]), model).collect()}
+    assert got[1] == (language.UNKNOWN, 0.0) and got[2][0] in ("de", "en")
+    mixed, plain = (language.gram_buckets([t])[0].tolist() for t in ("the 😀 dog", "the ! dog"))
+    assert mixed == plain
