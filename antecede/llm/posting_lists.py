@@ -23,6 +23,8 @@ REPLICAS = 3
 NEAR = 1.1
 #: A query reads the lists of centroids no further than REACH times the nearest one that it found.
 REACH = 1.17
+#: And further ones until those read are the nearest of so many times the rows asked for.
+ENOUGH = 100
 #: Rows of a list, and queries of a list, that are compared at once.
 BLOCK = 2048
 LINKS = 24
@@ -33,11 +35,12 @@ HELD = 1_000_000
 
 @dataclass
 class Centroids:
-    """Centroids (with the lifted coordinate), links of their graph, the largest norm in the table."""
+    """Centroids (with the lifted coordinate), links of their graph, the largest norm in the table, vectors nearest to each."""
 
     points: np.ndarray
     links: np.ndarray
     norm: float
+    sizes: np.ndarray | None = None
 
     def lifted(self, x: np.ndarray) -> np.ndarray:
         """Vectors with a coordinate that makes all norms equal: nearest then means largest inner product."""
@@ -45,19 +48,23 @@ class Centroids:
         return np.hstack([x, rest[:, None]])
 
     def lists_of(self, x: np.ndarray) -> Iterator[np.ndarray]:
-        """Lists of each vector: the nearest centroid's and those of the boundary it lies on."""
+        """Lists of each vector: the nearest centroid's, then those of the boundary it lies on."""
         p = self.points
         x = self.lifted(x)
         far = np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * x @ p.T + (p * p).sum(1), 0))
         n = min(REPLICAS, len(p))
         near = np.argpartition(far, n - 1, axis=1)[:, :n]
+        near = np.take_along_axis(near, np.take_along_axis(far, near, 1).argsort(1, kind="stable"), 1)
         d = np.take_along_axis(far, near, 1)
-        keep = d <= NEAR * d.min(1, keepdims=True)
+        keep = d <= NEAR * d[:, :1]
         for row, ok in zip(near, keep):
             yield row[ok]
 
-    def search(self, q: np.ndarray) -> list[int]:
-        """Lists for a query: best-first over the graph, as far as the distance ratio allows."""
+    def search(self, q: np.ndarray, least: int = 0) -> list[int]:
+        """Lists for a query: best-first over the graph, as far as the distance ratio allows and until ``least`` vectors are in them.
+
+        A vector counts in the list of its nearest centroid only, so replicas are not counted twice.
+        """
         q = np.append(q, 0.0)
         seen = np.zeros(len(self.points), bool)
         heap: list[tuple[float, int]] = []
@@ -70,15 +77,22 @@ class Centroids:
                 heapq.heappush(heap, pair)
 
         visit(np.unique(np.linspace(0, len(self.points) - 1, ENTRIES).astype(int)))
-        best, found = math.inf, []
+        best, found, held = math.inf, [], 0
         while heap:
             d, k = heapq.heappop(heap)
             best = min(best, d)
-            if d > REACH * best and len(found) >= ENTRIES:
+            if d > REACH * best and len(found) >= ENTRIES and held >= least:
                 break
             found.append((d, k))
+            held += self.sizes[k] if least else 0
             visit(self.links[k])
-        return [k for d, k in found if d <= REACH * best]
+        lists, held = [], 0
+        for d, k in sorted(found):
+            if d > REACH * best and held >= least:
+                break
+            lists.append(k)
+            held += self.sizes[k] if least else 0
+        return lists
 
 
 def fit_centroids(x: np.ndarray, lists: int, norm: float) -> Centroids:
@@ -190,11 +204,18 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
             own = [lists for a in range(0, len(x), BLOCK) for lists in known.lists_of(x[a:a + BLOCK])]
             yield batch.append_column("lists", pa.array(own, pa.list_(pa.int64())))
 
+    schema = "id bigint, vec array<double>, lists array<bigint>"
+    placed = stored(distinct.select(F.col("rep").alias("id"), "vec").mapInArrow(place, schema), "postings")
+    sizes = np.zeros(len(shape.points), np.int64)
+    for row in placed.groupBy(F.get("lists", F.lit(0)).alias("list")).count().toLocalIterator():  # a row per centroid at most
+        sizes[row["list"]] = row["count"]
+    counted = spark.sparkContext.broadcast(sizes)
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Centroids(*shared.value)
+        known = Centroids(*shared.value, counted.value)
         for batch in batches:
             x = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
-            yield batch.append_column("lists", pa.array([known.search(q) for q in x], pa.list_(pa.int64())))
+            yield batch.append_column("lists", pa.array([known.search(q, ENOUGH * (k + 1)) for q in x], pa.list_(pa.int64())))
 
     def blocked(frame: DataFrame, ids: str, vecs: str) -> DataFrame:
         """Arrays of about BLOCK rows of each list."""
@@ -204,8 +225,7 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
         return cut.groupBy("list", "part").agg(F.collect_list(F.struct("id", "vec")).alias("rows")).select(
             "list", F.col("rows.id").alias(ids), F.col("rows.vec").alias(vecs))
 
-    schema = "id bigint, vec array<double>, lists array<bigint>"
-    postings = blocked(stored(distinct.select(F.col("rep").alias("id"), "vec").mapInArrow(place, schema), "postings"), "vid", "vec")
+    postings = blocked(placed, "vid", "vec")
     asks = blocked(stored(rows.where("asks").select("id", "vec").repartition(F.col("id")).mapInArrow(route, schema), "queries"), "qid", "qvec")
     pairs = asks.join(postings, "list").select("qid", "qvec", "vid", "vec")
     found = pairs.mapInArrow(lambda b: _compare(b, dims, k + 1), "query_id bigint, rep bigint, score double").dropDuplicates(["query_id", "rep"])

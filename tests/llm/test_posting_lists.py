@@ -77,3 +77,42 @@ def test_centroids_are_balanced_and_all_reachable():
 def test_best_merges_lists(k):
     q, v, s = posting_lists._best(np.array([1, 1, 1, 2, 1]), np.array([5, 4, 5, 9, 3]), np.array([.5, .5, .5, .1, .2]), k)
     assert list(zip(q.tolist(), v.tolist())) == [(1, x) for x in [4, 5, 3][:k]] + [(2, 9)]
+
+
+def test_clusters_small_groups_and_outliers(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(60, 16))
+    small = np.repeat(rng.normal(size=(200, 16)), rng.choice([7, 13], 200), axis=0)
+    x = np.vstack([centres[rng.integers(0, 60, 7000)] + 0.2 * rng.normal(size=(7000, 16)), small + 0.25 * rng.normal(size=small.shape), 3 * rng.normal(size=(300, 16))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>").repartition(4)
+    asks = np.r_[np.arange(0, len(x), 40), np.arange(len(x) - 300, len(x))]
+    found = {}
+    for r in nearest(frame, F.col("vec_id").isin(asks.tolist())).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    assert {len(found.get(q, ())) for q in asks.tolist()} == {20}
+    recall = []
+    for q in asks.tolist():
+        s = x @ x[q]
+        s[q] = -9
+        recall.append(len(found[q] & set(np.argsort(-s)[:20].tolist())) / 20)
+    assert np.mean(recall) >= 0.9
+
+
+def test_search_goes_on_until_enough_vectors():
+    x = np.random.default_rng(2).normal(size=(500, 8))
+    shape = posting_lists.fit_centroids(x, 50, float(np.sqrt((x * x).sum(1).max())))
+    shape.sizes = np.bincount([own[0] for own in shape.lists_of(x)], minlength=50)
+    own = shape.points[7, :-1] * 1.0
+    for least in (1, 100, 500):
+        assert shape.sizes[shape.search(own, least)].sum() >= least
+
+
+def test_tight_groups_smaller_than_k_get_full_answers(spark, monkeypatch):
+    monkeypatch.setattr(posting_lists, "LIST_ROWS", 8)
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(60, 8)), rng.choice([7, 13], 60), axis=0)
+    x += 1e-4 * rng.normal(size=x.shape)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = run(spark, list(enumerate(x.tolist())), 20)
+    assert len(got) == -(-len(x) // 5) and all(len(rows) == 20 for rows in got.values())
