@@ -36,7 +36,7 @@ BASE = (
 )
 #: Rules beyond the base: private key headers and tokens with a fixed prefix.
 MORE = (
-    Rule("pem", "-----BEGIN [A-Z ]+PRIVATE KEY-----", "-----BEGIN [A-Z ]+PRIVATE KEY-----", "-----BEGIN [A-Z]"),
+    Rule("pem", "-----BEGIN (?:[A-Z ]+)?PRIVATE KEY-----", "-----BEGIN (?:[A-Z ]+)?PRIVATE KEY-----", "-----BEGIN [A-Z]"),
     Rule("github", "gh[pousr]_[A-Za-z0-9]+", "gh[pousr]_[A-Za-z0-9]{36,}", "gh[pousr]_[A-Za-z0-9]"),
 )
 

@@ -44,3 +44,9 @@ def test_automaton_is_minimal():
     assert len(compile_rules(["abc|xbc"]).accepts) == 4
     with pytest.raises(ValueError):
         compile_rules(["a(?=b)"])
+
+
+@pytest.mark.parametrize("header", ["-----BEGIN PRIVATE KEY-----", "-----BEGIN EC PRIVATE KEY-----", "-----BEGIN ENCRYPTED PRIVATE KEY-----"])
+def test_private_key_headers(frame, header):
+    got = scan(frame([(1, f"é {header}\nMIIE"), (2, "-----BEGIN PUBLIC KEY-----")]), MORE).select("id", joined("spans").alias("spans")).collect()
+    assert {r.id: r.spans for r in got} == {1: f"pem:2:{2 + len(header)}", 2: ""}
