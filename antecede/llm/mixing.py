@@ -48,8 +48,8 @@ def uniform(key: Column, salt: str) -> Column:
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id",
-        source: str = "source", text: str = "text", salt: str = "mix") -> DataFrame:
-    """(id, size, source, source_size, target, copies) per row: how often the mix takes each document, whole.
+        source: str = "source", text: str = "text", salt: str = "mix", carry: bool = False) -> DataFrame:
+    """(id, size, source, source_size, target, copies) per row: how often the mix takes each document, whole; ``carry`` adds it as a struct ``row``.
 
     Every document of a source is expected ``target / source_size`` times. The whole part of that is
     certain; the rest p is drawn by Pareto order sampling: documents in order of the odds of their random number
@@ -64,7 +64,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
     of one id share a random number; equal ones are ranked by size. An empty table gives an empty
     result; other columns are ignored.
     """
-    rows = stored(docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")), "mix")
+    whole = [F.struct("*").alias("row")] if carry else []
+    rows = stored(docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *whole), "mix")
     aims = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     aims = aims.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     aims = stored(aims.withColumn("certain", F.floor("rate").cast("long")).withColumn("p", F.col("rate") - F.col("certain")), "mix")
@@ -87,12 +88,15 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
         plan.select(F.col("source").alias("s"), F.col("stratum").alias("t"), "take"),
         F.col("source").eqNullSafe(F.col("s")) & (F.col("stratum") == F.col("t"))).where("upto >= take AND upto - n < take").select(
         "s", "t", F.col("cell").alias("last"), (F.col("take") - F.col("upto") + F.col("n")).alias("of_last"))
+    if carry:
+        last = F.broadcast(last)  # a row per source and stratum, so that whole rows stay where they are
     placed = ranked.join(last, F.col("source").eqNullSafe(F.col("s")) & (F.col("stratum") == F.col("t")), "left").drop("s", "t")
     edge = placed.where("cell = last")
-    rank = F.row_number().over(Window.partitionBy("source", "stratum").orderBy("odds", "id", "size"))
+    rank = F.row_number().over(Window.partitionBy("source", "stratum").orderBy("odds", "id", "size", *[F.xxhash64("row") for _ in whole]))
     drawn = placed.where("NOT coalesce(cell = last, false)").withColumn("drawn", F.coalesce(F.col("cell") < F.col("last"), F.lit(False))).unionByName(
         edge.withColumn("drawn", rank <= F.col("of_last")))
-    return drawn.select("id", "size", "source", "source_size", "target", (F.col("certain") + F.col("drawn").cast("long")).alias("copies"))
+    copies = (F.col("certain") + F.col("drawn").cast("long")).alias("copies")
+    return drawn.select("id", "size", "source", "source_size", "target", copies, *["row" for _ in whole])
 
 
 def _serve(acc: Column, x: Column) -> Column:

@@ -50,9 +50,8 @@ def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with the number of copies; sources weigh 3, 1, 2 in turn."""
-    taken = mixing.mix(docs, weights=(3, 1, 2), share=1.5, most=2.0)
-    copies = taken.groupBy(F.col("id").alias("taken_id")).agg(F.max("copies").alias("copies")).where("copies > 0")
-    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("taken_id"))).select(*docs.columns, "copies")
+    taken = mixing.mix(docs, weights=(3, 1, 2), share=1.5, most=2.0, carry=True)
+    return taken.where("copies > 0").select("row.*", "copies")
 
 
 STAGES = [

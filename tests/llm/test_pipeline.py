@@ -69,3 +69,13 @@ def test_odd_rows_pass_every_stage(spark, sf):
     assert {r.doc_id for r in docs.collect()} <= {3, None}
     empty = docs.select("doc_id", "text", "lang", "source", "n_chars").where("false")
     assert all(stage(spark, empty, sf).count() == 0 for _, stage in pipeline.STAGES)
+
+
+def test_mix_takes_rows_not_ids(spark, sf):
+    """Rows without an id, and those that share one, are drawn one by one."""
+    rows = [(None if k % 2 else 7, "w " * 10, "en", "abc"[k % 3], k) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    got = pipeline.mixed(spark, docs, sf).collect()
+    assert len({r.n_chars for r in got}) == len(got)
+    taken = {s: sum(r.copies for r in got if r.source == s) for s in "abc"}
+    assert taken == pytest.approx({"a": 400, "b": 5000 / 30, "c": 10000 / 30}, abs=1)
