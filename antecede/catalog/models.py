@@ -6,10 +6,10 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from antecede.catalog.evaluation import FOLDS, SETTINGS, r3
+from antecede.catalog.evaluation import FOLDS, r3
 from antecede.catalog.registry import query
 from antecede.catalog.views import PANEL_SQL, TARGET, panel
-from antecede.plans import baseline, quantile, report, walkforward
+from antecede.plans import quantile, report, walkforward
 
 CUTOFF = dt.date(2000, 8, 1)
 SETUP = quantile.QuantileSettings(
@@ -58,9 +58,9 @@ def time_tail_split(spark, sf):
 
 @query("shuffled_target")
 def shuffled_target(spark, sf):
-    """Baseline error of the first fold with enough training rows (else the last) with the real and with permuted training targets."""
+    """Boosted model's error on the first fold with enough training rows (else the last) with the real and with permuted training targets."""
     rows = panel(spark, sf)
     large = walkforward.first_large_fold(walkforward.fold_sizes(rows, FOLDS))
     fold = next((f for f in FOLDS if f.number == large), FOLDS[-1])
-    out = walkforward.sabotage(rows, fold, baseline.fitter(SETTINGS), ["match_id"])
+    out = walkforward.sabotage(rows, fold, lambda training, test: quantile.predict(quantile.fit(training, SETUP), test), ["match_id"])
     return out.select("training_target", "rows", r3("mae").alias("mae"))

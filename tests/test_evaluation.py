@@ -273,3 +273,22 @@ def test_quantile_model_contract(spark):
 def quantile_ranks(fitted):
     from antecede.plans.report import rank_importance
     return sorted(rank_importance(quantile.importance_rows(fitted)).collect(), key=lambda r: (r["quantile"], r.importance_rank))
+
+
+def test_sabotage_check_fits_the_boosted_model(spark, monkeypatch):
+    from antecede.catalog import models
+
+    fitted = []
+    monkeypatch.setattr(models, "panel", lambda spark, sf: None)
+    monkeypatch.setattr(models.walkforward, "fold_sizes", lambda rows, folds: None)
+    monkeypatch.setattr(models.walkforward, "first_large_fold", lambda sizes: models.FOLDS[0].number)
+    monkeypatch.setattr(models.quantile, "fit", lambda training, settings: fitted.append((training, settings)))
+    monkeypatch.setattr(models.quantile, "predict", lambda model, test: test)
+
+    def sabotage(rows, fold, predict, keys):
+        assert fold is models.FOLDS[0] and predict("training", "test") == "test"
+        return spark.createDataFrame([("ordinary", 1, 0.5)], "training_target string, rows long, mae double")
+
+    monkeypatch.setattr(models.walkforward, "sabotage", sabotage)
+    assert models.shuffled_target(spark, "none").count() == 1
+    assert fitted == [("training", models.SETUP)]
