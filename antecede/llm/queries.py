@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from antecede.llm import language, line_runs, mixing, posting_lists, secret_scan, suffix_dedup, templates, toxicity, warc
+from antecede.llm import language, line_runs, mixing, packing, posting_lists, secret_scan, spelling, suffix_dedup, templates, toxicity, warc
 from antecede.llm.simhash import near_components
 from antecede.llm.store import table
 
@@ -133,3 +133,50 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     cut = suffix_dedup.repeated_strings(table(spark, sf, "documents"), length=100)
     return cut.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op12_pack")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), length=2048, end_id=1)
+    return packed.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+#: CRC-32 of a string in DuckDB, which has no such function: one byte at a time through the table of its 256 remainders.
+CRC_SQL = """
+crc_steps AS MATERIALIZED (
+  SELECT list(r ORDER BY i) AS steps FROM (
+    SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS r
+    FROM (SELECT unnest(range(256))::BIGINT AS i)))"""
+
+
+def crc_sql(text: str) -> str:
+    """SQL of the CRC-32 of the string ``text``; the query names ``crc_steps``."""
+    codes = f"list_transform(range(octet_length(encode({text}))), lambda k: ('0x' || substr(hex(encode({text})), 2 * k + 1, 2))::BIGINT)"
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), "
+            f"lambda c, b: xor(c >> 8, steps[xor(c & 255, b) + 1])), 4294967295)")
+
+
+@query("op13_spelling", f"""
+WITH RECURSIVE {CRC_SQL},
+r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+l AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k FROM r WHERE length(run) >= 5 GROUP BY 1, 2),
+h AS (SELECT run, k, {crc_sql("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM l, crc_steps),
+d AS (SELECT k, CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM h),
+w AS MATERIALIZED (SELECT word, sum(k)::BIGINT AS n FROM d WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+c AS (SELECT word, n, length(word) AS size, unnest(range(length(word))) AS i FROM w),
+x AS MATERIALIZED (SELECT word, n, size, i, left(word, i::INT) || substr(word, i::INT + 2) AS rest FROM c),
+e AS (SELECT a.word, b.word AS near, b.n AS near_n FROM x a JOIN x b ON a.size = b.size AND a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+      UNION SELECT x.word, w.word, w.n FROM x JOIN w ON x.rest = w.word
+      UNION SELECT w.word, x.word, x.n FROM x JOIN w ON x.rest = w.word),
+b AS (SELECT word, count(*) AS n_near, max(near_n) AS best_n FROM e GROUP BY word),
+t AS (SELECT e.word, min(near) AS best FROM e JOIN b ON e.word = b.word AND near_n = best_n GROUP BY e.word),
+f AS MATERIALIZED (SELECT w.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best_n >= 2 * n THEN best END AS form, CASE WHEN best_n >= 2 * n THEN best_n END AS form_n
+      FROM w LEFT JOIN b ON w.word = b.word LEFT JOIN t ON w.word = t.word),
+s AS (SELECT word, form AS at FROM f WHERE form IS NOT NULL UNION ALL SELECT s.word, f.form FROM s JOIN f ON s.at = f.word WHERE f.form IS NOT NULL),
+z AS (SELECT s.word, s.at AS root FROM s JOIN f ON s.at = f.word WHERE f.form IS NULL)
+SELECT f.word, form, coalesce(root, f.word) AS root, n, n_near, form_n FROM f LEFT JOIN z ON f.word = z.word""")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    words = spelling.vocabulary(spelling.damaged_words(table(spark, sf, "documents")), least=3)
+    return spelling.variants(words, times=2)
