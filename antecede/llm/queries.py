@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from antecede.llm import language, line_runs, mixing, packing, posting_lists, secret_scan, spelling, suffix_dedup, templates, toxicity, warc
+from antecede.llm import conversations, language, line_runs, mixing, packing, posting_lists, secret_scan, spelling, suffix_dedup, templates, toxicity, warc
 from antecede.llm.simhash import near_components
 from antecede.llm.store import table
 
@@ -180,3 +180,52 @@ SELECT f.word, form, coalesce(root, f.word) AS root, n, n_near, form_n FROM f LE
 def op13(spark: SparkSession, sf: str) -> DataFrame:
     words = spelling.vocabulary(spelling.damaged_words(table(spark, sf, "documents")), least=3)
     return spelling.variants(words, times=2)
+
+
+@query("op11_conversation_repair", f"""
+WITH RECURSIVE {CRC_SQL},
+o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             {crc_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind FROM conversations, crc_steps),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+             CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM o WHERE kind <> 0),
+p AS (SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare, left(role, 1) AS initial,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+             row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen FROM d),
+f AS MATERIALIZED (SELECT conv_id, i, turn, role, text, initial, bare = '' AS blank, bare <> '' AND seen > 1 AS again,
+             bare <> '' AND seen = 1 AND right(bare, 1) NOT IN ('.', '!', '?') AS cut,
+             lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM p),
+n AS MATERIALIZED (SELECT conv_id, count(*) AS n, count(*) FILTER (blank) AS blank, count(*) FILTER (again) AS again, count(*) FILTER (cut) AS cut,
+             count(*) FILTER (i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal,
+             coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps FROM f GROUP BY conv_id),
+b AS (
+  SELECT conv_id, n + 1 AS i, 0::BIGINT AS v0, 6::BIGINT AS v1, 3::BIGINT AS v2, 0::BIGINT AS v3 FROM n
+  UNION ALL
+  SELECT conv_id, i, least(c0, 3 + least(c2, 3 + c3)), least(c1, 3 + least(c2, 3 + c3)), least(c2, 3 + c3), least(c3, 3 + c2) FROM (
+    SELECT f.conv_id, f.i, least(4 + v0, t + CASE initial WHEN 's' THEN v1 WHEN 'u' THEN v2 ELSE 3 + v2 END, t + 3 + v2) AS c0,
+           least(4 + v1, t + CASE initial WHEN 'u' THEN v2 ELSE 3 + v2 END) AS c1, least(4 + v2, t + CASE initial WHEN 'a' THEN v3 ELSE 3 + v3 END) AS c2,
+           least(4 + v3, t + CASE initial WHEN 'u' THEN v2 ELSE 3 + v2 END) AS c3
+    FROM b JOIN (SELECT *, CASE WHEN blank OR again THEN 1000000000 WHEN cut THEN 3 ELSE 0 END AS t FROM f) f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.i = b.i - 1)),
+v AS MATERIALIZED (SELECT b.*, f.role, f.text, initial, CASE WHEN blank OR again THEN 1000000000 WHEN cut THEN 3 ELSE 0 END AS t, lead([v0, v1, v2, v3]) OVER (PARTITION BY b.conv_id ORDER BY b.i) AS after, [v0, v1, v2, v3] AS now
+      FROM b LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.i = b.i),
+g AS (
+  SELECT conv_id, 1::BIGINT AS i, 0 AS q, '' AS audit, NULL::VARCHAR AS line, 0 AS k FROM n
+  UNION ALL
+  SELECT conv_id, CASE WHEN edit = 'I' THEN i ELSE i + 1 END, CASE WHEN edit = 'D' THEN q WHEN edit = 'K' AND initial = 's' THEN 1 WHEN q = 2 THEN 3 ELSE 2 END, edit,
+         CASE edit WHEN 'D' THEN NULL WHEN 'K' THEN role || ':' || text ELSE CASE WHEN q = 2 THEN 'assistant:' ELSE 'user:' END || CASE WHEN edit = 'I' THEN '' ELSE text END END, k + 1
+  FROM (SELECT g.conv_id, g.i, g.q, g.k, role, text, initial,
+               CASE WHEN after IS NULL THEN CASE WHEN q IN (1, 2) THEN 'I' END
+                    WHEN 4 + after[q + 1] = now[q + 1] THEN 'D'
+                    WHEN 3 + now[CASE WHEN q = 2 THEN 4 ELSE 3 END] = now[q + 1] THEN 'I'
+                    WHEN t + CASE WHEN q = 0 AND initial = 's' THEN after[2] WHEN q = 2 AND initial = 'a' THEN after[4] WHEN q <> 2 AND initial = 'u' THEN after[3] END = now[q + 1] THEN 'K'
+                    ELSE 'R' END AS edit
+        FROM g JOIN v ON g.conv_id IS NOT DISTINCT FROM v.conv_id AND g.i = v.i) WHERE edit IS NOT NULL),
+a AS (SELECT conv_id, string_agg(audit, '' ORDER BY k) AS audit, string_agg(line, chr(10) ORDER BY k) FILTER (line IS NOT NULL) AS lines FROM g GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(again, 0)::BIGINT AS duplicate, coalesce(cut, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b.v0, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON c.conv_id IS NOT DISTINCT FROM n.conv_id
+     LEFT JOIN b ON c.conv_id IS NOT DISTINCT FROM b.conv_id AND b.i = 1 LEFT JOIN a ON c.conv_id IS NOT DISTINCT FROM a.conv_id""")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "conversations")
+    fixed = conversations.repair(conversations.damage(rows), rows.select("conv_id"))
+    return fixed.select(F.col("id").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
