@@ -14,11 +14,16 @@ from pyspark.sql import DataFrame, functions as F
 from antecede.llm.store import shared_folder
 
 #: Bytes of text tokenised at once; a longer text is tokenised in stretches that end at white space.
-STRETCH = 2_000_000
+STRETCH = 8_000_000
 #: Words whose ids a task remembers; the memory is emptied when it is full.
-REMEMBERED = 200_000
+REMEMBERED = 800_000
+#: Words that are encoded in one call.
+TOGETHER = 20_000
 
 _BREAK = re.compile(r"[\x20\x09-\x0D]")
+#: Words of one kind of letter, which pre-tokenizers leave whole.
+_PLAIN = "^[a-zÀ-ÖØ-öø-ÿ]+$"
+_STOP_AFTER_LETTER = r"([A-Za-z])([.,;:!?])"
 
 
 def binary_lengths(n: int, most: int) -> list[int]:
@@ -30,37 +35,68 @@ def binary_lengths(n: int, most: int) -> list[int]:
 class WordIds:
     """Token ids of texts by way of their distinct words.
 
-    Right for tokenizers that never join ids across white space: every distinct word of a stretch is encoded once.
+    Right for tokenizers whose ids never join across white space, nor a letter and one of . , ; : ! ? after it.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs one task per core
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch
-        self.known: dict[str, list[int]] = {}
-
-    def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words end to end, number of ids of each)."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        fresh = [w for w in words if w not in self.known]
-        self.known.update(zip(fresh, (e.ids for e in self.encode(fresh, add_special_tokens=False))))
-        ids = [self.known[w] for w in words]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.folds = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("AZ") == "az"
+        names = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = "(?i)" + "|".join(map(re.escape, names)) if names else None
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids = np.zeros(0, "<u4")
+        self.counts = np.zeros(0, np.int64)
+
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, number of ids of each) of plain words, encoded as one text."""
+        whole = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        counts = np.bincount(np.array(whole.word_ids, np.int64), minlength=len(words))
+        if len(counts) != len(words) or not counts.all():  # a pre-tokenizer that cuts plain words
+            return self._apart(words)
+        return np.array(whole.ids, "<u4"), counts
+
+    def _apart(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter((i for each in ids for i in each), "<u4", int(counts.sum())), counts
 
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """Numbers of distinct words among the known ones."""
+        if len(self.known) + len(words) > REMEMBERED:
+            self._forget()
+        listed = words.to_pylist()
+        numbers = np.fromiter((self.known.get(w, -1) for w in listed), np.int64, len(listed))
+        new = np.flatnonzero(numbers < 0)
+        plain = pc.match_substring_regex(words.take(pa.array(new)), _PLAIN).to_numpy(zero_copy_only=False).astype(bool)
+        for places, encode in ((new[~plain], self._apart), (new[plain], self._together)):
+            fresh = [listed[k] for k in places]
+            parts = [encode(fresh[k:k + TOGETHER]) for k in range(0, len(fresh), TOGETHER)]
+            numbers[places] = np.arange(len(self.known), len(self.known) + len(fresh))
+            self.known.update(zip(fresh, numbers[places].tolist()))
+            self.ids = np.concatenate([self.ids, *(p[0] for p in parts)])
+            self.counts = np.concatenate([self.counts, *(p[1] for p in parts)])
+        return numbers
+
     def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, offsets of the texts in them)."""
-        split = pc.ascii_split_whitespace(texts)
+        if self.folds and not (self.special and pc.any(pc.match_substring_regex(texts, self.special)).as_py()):
+            texts = pc.ascii_lower(texts)  # fewer distinct words
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, _STOP_AFTER_LETTER, r"\1 \2"))
         coded = split.flatten().dictionary_encode()
-        ids, counts = self.of_words(coded.dictionary.to_pylist())
-        which = coded.indices.to_numpy(zero_copy_only=False)
-        each = counts[which]
+        words = self._learn(coded.dictionary)
+        which = words[coded.indices.to_numpy(zero_copy_only=False)]
+        each = self.counts[which]
         ends = np.cumsum(each)
-        at = np.repeat((np.cumsum(counts) - counts)[which] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)
+        at = np.repeat((np.cumsum(self.counts) - self.counts)[which] - (ends - each), each)
+        at += np.arange(len(at))
         words_before = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])
-        return ids[at], np.concatenate([[0], ends])[words_before]
+        return self.ids[at], np.concatenate([[0], ends])[words_before]
 
     def of_long_text(self, text: str) -> np.ndarray:
         """Ids of one text, a stretch at a time."""
@@ -95,7 +131,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, i
     of one bucket need no padding, see :func:`write_buckets`. Nothing is shuffled. Rows that share an id, or have none,
     are packed each on their own; an empty table gives an empty result; other columns are not read.
 
-    ``tokenizer`` is the path of a tokenizers file whose ids never join across white space. Sequence numbers are unique
+    ``tokenizer`` is the path of a tokenizers file as :class:`WordIds` takes it. Sequence numbers are unique
     and follow the partitions of the scan: the same files and settings give the same numbers, also for a task that runs again.
     """
     if length < 1 or length & (length - 1):

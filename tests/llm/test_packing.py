@@ -43,7 +43,7 @@ def test_binary_lengths(n):
 
 
 def test_odd_texts(frame, cases):
-    odd = ["a b<|endoftext|>c  d", "don't\x0bstop'S    x", "é ́e ÀÉ 漢字 Ωmega ΟΔΟΣ", "\x1ca\x00b", "😀 " * 3000, "x" * 9000]
+    odd = ["a b<|endoftext|>c  d.", "A b<|ENDOFTEXT|>C.d", "Ünï. 'S's it's. ÀÉ! ×÷, a.\u0301b ...a?!b a,b;c:d x\u0300.", "don't\x0bstop'S    x", "é ́e ÀÉ 漢字 Ωmega ΟΔΟΣ", "\x1ca\x00b", "😀 " * 3000, "x" * 9000]
     docs = cases + [(20 + k, t) for k, t in enumerate(odd)]
     check(pack(frame(docs), PATH).collect(), docs)
     check(pack(frame(docs), PATH, length=64).collect(), docs, 64)
