@@ -282,9 +282,9 @@ def expected_versions(targets: Sequence[str], families: Sequence[str] = ("baseli
 
 
 def importance_summary(log: DataFrame, n: int = 15) -> DataFrame:
-    """Mean importance over quantiles, strongest first."""
-    out = log.groupBy("feature_name").agg(F.avg("importance_gain").alias("mean_gain"))
-    return out.orderBy(F.col("mean_gain").desc(), "feature_name").limit(n)
+    """Mean gain and splits over quantiles, strongest first."""
+    out = log.groupBy("feature_name").agg(F.avg("importance_gain").alias("mean_gain"), F.avg("importance_split").alias("mean_split"))
+    return out.orderBy(F.col("mean_gain").desc(), F.col("mean_split").desc(), "feature_name").limit(n)
 
 
 def rank_importance(log: DataFrame) -> DataFrame:

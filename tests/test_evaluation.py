@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from antecede.operators import quality
-from antecede.plans import baseline, ensemble, quantile, scoring, walkforward as wf
+from antecede.plans import baseline, ensemble, scoring, walkforward as wf
 
 D = dt.date
 
@@ -252,43 +252,3 @@ def test_three_members_use_the_grid(spark):
     points = [(i / 4, j / 4, (4 - i - j) / 4) for i in range(5) for j in range(5 - i)]
     loss = lambda w: np.abs(past[:, 1:] @ np.array(w) - past[:, 0]).sum()
     assert got[1] == (0.2, 0.3, 0.5) and loss(got[5]) == pytest.approx(min(map(loss, points)))
-
-
-def test_quantile_model_contract(spark):
-    rng = random.Random(2)
-    rows = [(f"p{i % 7}", i, D(2024, 1, 1) + dt.timedelta(days=i // 4), 2.0 * (i % 10) + 1 + rng.uniform(-0.5, 0.5), float(i % 10),
-             None if i % 3 else 1.0, rng.choice(["x", "y", None])) for i in range(400)]
-    df = spark.createDataFrame(rows, "player_id string, match_id int, event_date date, target_value double, signal double, "
-                                     "nullable double, cat string")
-    fitted = quantile.fit(df, quantile.QuantileSettings("t", "gbm_v1_t", ["signal", "nullable"], ["cat"], iterations=5, depth=3, bins=2))
-    new = df.withColumn("cat", F.lit("unseen"))
-    out = quantile.predict(fitted, new).collect()
-    assert len(out) == 400
-    assert all(0 <= r.lowerci <= r.prediction <= r.upperci for r in out)
-    assert np.mean([abs(r.prediction - r.target_value) for r in out]) < 1.5
-    ranks = [r.importance_rank for r in quantile_ranks(fitted)]
-    assert sorted(set(ranks)) == list(range(1, 6)) and quantile_ranks(fitted)[0].feature_name == "signal"
-
-
-def quantile_ranks(fitted):
-    from antecede.plans.report import rank_importance
-    return sorted(rank_importance(quantile.importance_rows(fitted)).collect(), key=lambda r: (r["quantile"], r.importance_rank))
-
-
-def test_sabotage_check_fits_the_boosted_model(spark, monkeypatch):
-    from antecede.catalog import models
-
-    fitted = []
-    monkeypatch.setattr(models, "panel", lambda spark, sf: None)
-    monkeypatch.setattr(models.walkforward, "fold_sizes", lambda rows, folds: None)
-    monkeypatch.setattr(models.walkforward, "first_large_fold", lambda sizes: models.FOLDS[0].number)
-    monkeypatch.setattr(models.quantile, "fit", lambda training, settings: fitted.append((training, settings)))
-    monkeypatch.setattr(models.quantile, "predict", lambda model, test: test)
-
-    def sabotage(rows, fold, predict, keys):
-        assert fold is models.FOLDS[0] and predict("training", "test") == "test"
-        return spark.createDataFrame([("ordinary", 1, 0.5)], "training_target string, rows long, mae double")
-
-    monkeypatch.setattr(models.walkforward, "sabotage", sabotage)
-    assert models.shuffled_target(spark, "none").count() == 1
-    assert fitted == [("training", models.SETUP)]
