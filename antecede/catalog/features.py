@@ -121,6 +121,15 @@ def career_to_date(spark, sf):
                       r6("career_std").alias("career_std"), "n_observations")
 
 
+@query("career_median", _prior_sql(
+    "median(amount) AS m, median(units) AS u", "true", f"{s6('m')} AS career_median, {s6('u')} AS units_median"))
+def career_median(spark, sf):
+    priors = [pit.Prior(("player_id",), "amount", {"career_median": ("median", None)}),
+              pit.Prior(("player_id",), "units", {"units_median": ("median", None)})]
+    out = pit.strict_prior(history(spark, sf), priors, anchor=["player_id"], date="event_date", **PIT)
+    return out.select("match_id", "player_id", r6("career_median").alias("career_median"), r6("units_median").alias("units_median"))
+
+
 @query("rolling_rate", _prior_sql(
     "avg(amount / units) FILTER (k <= 10) AS r", "x.units > 0", f"{s6('r')} AS rolling_rate"))
 def rolling_rate(spark, sf):

@@ -5,7 +5,8 @@ strictly earlier; rows sharing a date never see each other.  Ordinary keys are c
 expressions over one exchange on the anchor key.  A key with more rows than the configured limit is
 computed at (key, day) grain instead: at most N rows of a day can matter to a last-N window, so the
 per-task group is bounded by N x days whatever the number of rows, and the result is joined back on
-(key, day), a join adaptive execution can split.
+(key, day), a join adaptive execution can split.  A median of all history descends through ranks at
+(key, day) grain for every key.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from antecede.operators.order_stats import prior_medians
 from antecede.operators.skew import lookup, split_hot
 
 DAY = "__day"
@@ -44,8 +46,6 @@ class Prior:
         for name, (agg, window) in self.outputs.items():
             if agg not in _BOUNDED:
                 raise ValueError(f"unsupported aggregate {agg!r} for {name}")
-            if agg == "median" and window is None:
-                raise ValueError("median needs a bounded window")
         for window in [w for _, w in self.outputs.values()] + list(self.counts.values()):
             if window is not None and window <= 0:
                 raise ValueError("windows must be positive")
@@ -58,14 +58,23 @@ class Prior:
 
     @property
     def unbounded(self) -> dict[str, str]:
-        found = {n: a for n, (a, w) in self.outputs.items() if w is None}
+        found = {n: a for n, (a, w) in self.outputs.items() if w is None and a != "median"}
         found.update({n: "count" for n, w in self.counts.items() if w is None})
         return found
 
+    @property
+    def all_medians(self) -> list[str]:
+        """Outputs that are the median of all history, which no sum or window can give."""
+        return [n for n, (a, w) in self.outputs.items() if w is None and a == "median"]
+
     @property
     def names(self) -> list[str]:
         return [*self.outputs, *self.counts]
 
+    @property
+    def summed(self) -> list[str]:
+        return [n for n in self.names if n not in self.all_medians]
+
 
 def day_number(date: str | Column) -> Column:
     col = F.col(date) if isinstance(date, str) else date
@@ -126,7 +135,7 @@ def _windowed(
         for name, (agg, _) in p.bounded.items()
     }
     work = work.withColumns(unpacked) if unpacked else work
-    names = [n for p in priors for n in p.names] + list(rest)
+    names = [n for p in priors for n in p.summed] + list(rest)
     return work.select(*df.columns, *names)
 
 
@@ -241,11 +250,16 @@ def strict_prior(
         by_day = hot
         for p in priors:
             found = _by_day(hot, p, order, eligible)
-            by_day = lookup(by_day, found, [*p.keys, DAY], p.names, null_safe=True)
+            by_day = lookup(by_day, found, [*p.keys, DAY], p.summed, null_safe=True)
         for name, keys in rest.items():
             by_day = lookup(by_day, _rest_by_day(hot, name, keys), [*keys, DAY], [name], null_safe=True)
         result = result.unionByName(by_day)
-    return result.drop(DAY)
+    for p in priors:
+        if p.all_medians:
+            points = work.where(_counts_to_history(eligible, p.value))
+            found = prior_medians(points, work, p.keys, DAY, p.value, "__median")
+            result = lookup(result, found, [*p.keys, DAY], {n: "__median" for n in p.all_medians}, null_safe=True)
+    return result.select(*df.columns, *[n for p in priors for n in p.names], *rest)
 
 
 def rolling_stat(df: DataFrame, key: str, date: str, value: str, window: int, agg: str = "mean", *,

@@ -38,7 +38,8 @@ def near(a, b):
 
 PRIORS = [
     pit.Prior(("player",), "value", {"m3": ("mean", 3), "s5": ("std", 5), "d4": ("median", 4),
-                                     "all_mean": ("mean", None), "all_std": ("std", None)},
+                                     "all_mean": ("mean", None), "all_std": ("std", None),
+                                     "all_median": ("median", None)},
               {"n5": 5, "n": None}),
     pit.Prior(("player", "surface"), "value", {"cat": ("mean", 4)}, {"cat_n": 4}),
 ]
@@ -57,6 +58,7 @@ def test_strict_prior_matches_brute_force(spark, hot_rows):
         own = brute(rows, r.asDict(), ["player"])
         cat = brute(rows, r.asDict(), ["player", "surface"])
         assert near(r.m3, statistics.mean(own[-3:]) if own else None)
+        assert near(r.all_median, statistics.median(own) if own else None)
         assert near(r.s5, statistics.stdev(own[-5:]) if len(own) > 1 else None)
         assert near(r.d4, statistics.median(own[-4:]) if own else None)
         assert near(r.all_mean, statistics.mean(own) if own else None)
