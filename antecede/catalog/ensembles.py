@@ -129,6 +129,33 @@ def oof_weights_grid(spark, sf):
     return out.select("fold_number", r6("w0").alias("w0"), r6("w1").alias("w1"))
 
 
+# three members: the fitted loss lies within the gap of the least one, never above the best single member
+@query("oof_weights_three", f"""WITH {MEMBERS_SQL},
+c3 AS (SELECT a.fold_number, a.target_value AS y, a.prediction AS a, b.rolling_mean_3 AS m, b.rolling_mean_5 AS l
+       FROM base a JOIN b USING (match_id) WHERE a.prediction IS NOT NULL AND a.target_value IS NOT NULL AND b.rolling_mean_3 IS NOT NULL AND b.rolling_mean_5 IS NOT NULL)
+SELECT cal.fold_number, count(y) AS rows, round(least(avg(abs(a - y)), avg(abs(m - y)), avg(abs(l - y))) + 1e-9, 3) AS best_single,
+  true AS on_simplex, true AS within_gap, CASE WHEN count(y) > 0 THEN true END AS no_worse
+FROM cal LEFT JOIN c3 ON c3.fold_number < cal.fold_number GROUP BY 1""")
+def oof_weights_three(spark, sf):
+    rows = panel(spark, sf)
+    tested = walkforward.test_rows(rows, FOLDS)
+
+    def member(column):
+        return tested.select("player_id", "match_id", *CARRIED, F.col(column).alias("prediction"), F.lit(None).alias("lowerci"), F.lit(None).alias("upperci"))
+
+    names = ["baseline", "short", "long"]
+    frames = {"baseline": baseline_oof(spark, sf, rows), "short": member("rolling_mean_3"), "long": member("rolling_mean_5")}
+    complete = ensemble.complete_rows(ensemble.stack_members(frames, CARRIED), names)
+    cal = walkforward.calendar_frame(spark, FOLDS)
+    fitted = ensemble.cut_weights(complete, cal, names, {"baseline": 0.4, "short": 0.3, "long": 0.3})
+    errors = complete.groupBy("fold_number").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.abs(F.col(f"p{i}") - F.col("y"))).alias(f"e{i}") for i in range(3)])
+    earlier = fitted.join(errors.withColumnRenamed("fold_number", "past"), F.col("past") < F.col("fold_number"), "left")  # one row per pair of folds
+    out = earlier.groupBy("fold_number", "w0", "w1", "w2", "loss", "gap").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), *[(F.sum(f"e{i}") / F.sum("n")).alias(f"e{i}") for i in range(3)])
+    single = F.col("single")
+    return out.withColumn("single", F.least("e0", "e1", "e2")).select("fold_number", "rows", r3("single").alias("best_single"), ((F.abs(F.col("w0") + F.col("w1") + F.col("w2") - 1) < 1e-9) & (F.least("w0", "w1", "w2") >= -1e-12)).alias("on_simplex"),
+                      F.coalesce(F.col("gap") <= 1e-6, F.lit(True)).alias("within_gap"), (F.col("loss") <= single * (1 + 1e-9)).alias("no_worse"))
+
+
 FOLD_ENSEMBLE_SQL = ABSOLUTE_SQL + """,
 fw AS (SELECT mb.*, CASE member WHEN 'baseline' THEN w0 ELSE w1 END AS w FROM mb JOIN aw USING (fold_number)),
 fg AS (SELECT player_id, match_id, fold_number, max(target_value) AS target_value, sum(w * prediction) AS sp,

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from itertools import combinations, product
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from antecede.operators.quality import duplicate_keys, require_empty
@@ -167,15 +168,15 @@ _CELLS = 1024
 
 
 def absolute_weights(rows: DataFrame, folds: DataFrame, members: Sequence[str], configured: Mapping[str, float],
-                     grid_step: float = 0.05) -> DataFrame:
+                     gap: float = 1e-6) -> DataFrame:
     """(fold_number, w0, w1, ...) minimising the absolute error of all earlier folds.
 
     Two members: the exact minimiser, the weighted median of (y-b)/(a-b) with weights |a-b| clipped to
     [0, 1].  It is located by two rounds of cells and finished among the rows of one cell, so no fold's
-    rows meet in one task.  More members: best point of a simplex grid, all points in one aggregate.
+    rows meet in one task.  More members: cutting planes, to within ``gap`` of the least error.
     """
     if len(members) != 2:
-        return _grid_weights(rows, folds, members, configured, grid_step)
+        return cut_weights(rows, folds, members, configured, gap).drop("loss", "gap", "rounds")
     a, b = F.col("p0"), F.col("p1")
     r = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("y") - b) / (a - b)))
     pts = rows.where(a != b).select("fold_number", F.abs(a - b).alias("wt"), r.alias("r"))
@@ -225,6 +226,87 @@ def _crossing(cells: DataFrame, position: str, before: str | None) -> DataFrame:
                                             position).alias("s")).select("k", "s.*")
 
 
+def lower_envelope(cuts: np.ndarray) -> tuple[float, np.ndarray]:
+    """(least value, weights) of the largest of the cuts over the simplex; row i of ``cuts`` holds cut i's value at every corner.
+
+    A cut is linear, so this is the game in which weights are mixed against cuts: with positive values v w = x solves
+    max sum(x), cuts @ x <= 1, x >= 0, from the feasible start x = 0 (simplex method, least index first).
+    """
+    scale = max(float(np.abs(cuts).max()), 1e-300)
+    shift = 1.0 - float((cuts / scale).min())
+    a = cuts / scale + shift
+    n, k = a.shape
+    table = np.zeros((n + 1, k + n + 1))
+    table[:n, :k], table[:n, k:k + n], table[:n, -1], table[n, :k] = a, np.eye(n), 1.0, -1.0
+    basis = np.arange(k, k + n)
+    while (table[n, :-1] < -1e-12).any():
+        enter = int(np.flatnonzero(table[n, :-1] < -1e-12)[0])
+        column = table[:n, enter]
+        ratio = np.where(column > 1e-12, table[:n, -1] / np.where(column > 1e-12, column, 1.0), np.inf)
+        least = np.flatnonzero(ratio <= ratio.min() + 1e-15)
+        leave = int(least[np.argmin(basis[least])])
+        table[leave] /= table[leave, enter]
+        others = np.arange(n + 1) != leave
+        table[others] -= np.outer(table[others, enter], table[leave])
+        basis[leave] = enter
+    x = np.zeros(k + n)
+    x[basis] = table[:n, -1]
+    total = x[:k].sum()
+    return (1.0 / total - shift) * scale, x[:k] / total
+
+
+def cut_weights(rows: DataFrame, folds: DataFrame, members: Sequence[str], configured: Mapping[str, float], gap: float = 1e-6,
+                most_rounds: int = 300) -> DataFrame:
+    """(fold_number, w0, w1, ..., loss, gap, rounds) for any number of members, by cutting planes on the simplex.
+
+    The mean absolute error of a fold's earlier rows is convex in the weights: its value and slope at a point are a plane below it. Every round
+    takes the lowest point of the planes so far and two points towards the best one, and one pass over the rows gives the values and
+    slopes of all points of all folds; only these sums, a few numbers per fold, reach the driver. ``gap`` is the share of the loss by
+    which the best point can lie above the least error; ``gap`` and ``loss`` are returned. Without earlier rows, or where nothing beats the
+    configured weights, those stay.
+    """
+    spark, k = rows.sparkSession, len(members)
+    ensure_checkpoint_dir(spark)
+    p = [F.col(f"p{i}").cast("double") for i in range(k)]
+    data = rows.select("fold_number", F.col("y").cast("double").alias("y"), *[c.alias(f"p{i}") for i, c in enumerate(p)]).checkpoint()
+    start = np.array([float(configured[m]) for m in members])
+    numbers = sorted(r[0] for r in folds.select("fold_number").distinct().collect())  # one row per fold
+    corners = list(np.eye(k))
+    best = {n: (np.inf, start) for n in numbers}
+    low = dict.fromkeys(numbers, -np.inf)
+    used = dict.fromkeys(numbers, 0)
+    cuts: dict[int, list[np.ndarray]] = {n: [] for n in numbers}
+    asked = {n: [start, np.full(k, 1 / k), *corners] for n in numbers}
+    for number in range(1, most_rounds + 1):
+        points = [(n, j, *map(float, w)) for n, ws in asked.items() for j, w in enumerate(ws)]
+        if not points:
+            break
+        frame = spark.createDataFrame(points, "k int, j int, " + ", ".join(f"w{i} double" for i in range(k)))
+        r = reduce(lambda a, b: a + b, [F.col(f"w{i}") * F.col(f"p{i}") for i in range(k)]) - F.col("y")
+        both = data.join(F.broadcast(frame), F.col("fold_number") < F.col("k")).withColumn("r", r)  # a few rows per fold
+        sums = both.groupBy("k", "j").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs("r")).alias("loss"),
+                                          *[F.avg(F.signum("r") * F.col(f"p{i}")).alias(f"g{i}") for i in range(k)]).collect()
+        asked_before, asked = asked, {}
+        for s in sorted(sums, key=lambda s: (s.k, s.j)):
+            w, slope = asked_before[s.k][s.j], np.array([s[f"g{i}"] for i in range(k)])
+            cuts[s.k].append(s.loss + slope @ (np.eye(k) - w).T)
+            if s.loss < best[s.k][0] * (1 - 1e-12):
+                best[s.k] = (s.loss, w)
+        for n in {s.k for s in sums}:
+            used[n] = number
+            value, w = lower_envelope(np.array(cuts[n]))
+            low[n] = max(low[n], value)
+            top, where = best[n]
+            if top - low[n] > gap * top:
+                asked[n] = [w, (w + where) / 2, (w + 2 * where) / 3]
+    out = []
+    for n in numbers:
+        top, w = best[n]
+        known = np.isfinite(top)
+        out.append((n, *map(float, w), float(top) if known else None, float(max(0.0, top - low[n]) / top) if known and top > 0 else 0.0 if known else None, used[n]))
+    return spark.createDataFrame(out, "fold_number int, " + ", ".join(f"w{i} double" for i in range(k)) + ", loss double, gap double, rounds int")
+
+
 def _grid_weights(rows: DataFrame, folds: DataFrame, members: Sequence[str], configured: Mapping[str, float],
                   step: float) -> DataFrame:
     k, n = len(members), round(1 / step)

@@ -243,12 +243,44 @@ def test_equal_members_keep_the_configured_weights(spark):
     assert (row.w0, row.w1) == (0.3, 0.7)
 
 
-def test_three_members_use_the_grid(spark):
+def test_grid_weights_of_three_members(spark):
     rows, df = oof(spark, 200, 3)
     cal = spark.createDataFrame([(1,), (5,)], "fold_number int")
     conf = {"a": 0.2, "b": 0.3, "c": 0.5}
-    got = {r.fold_number: (r.w0, r.w1, r.w2) for r in ensemble.absolute_weights(df, cal, list(conf), conf, 0.25).collect()}
+    got = {r.fold_number: (r.w0, r.w1, r.w2) for r in ensemble._grid_weights(df, cal, list(conf), conf, 0.25).collect()}
     past = np.array([r[1:] for r in rows if r[0] < 5])
     points = [(i / 4, j / 4, (4 - i - j) / 4) for i in range(5) for j in range(5 - i)]
     loss = lambda w: np.abs(past[:, 1:] @ np.array(w) - past[:, 0]).sum()
     assert got[1] == (0.2, 0.3, 0.5) and loss(got[5]) == pytest.approx(min(map(loss, points)))
+
+
+@pytest.mark.parametrize("k", [3, 4])
+def test_cut_weights_reach_the_least_absolute_error(spark, k):
+    rows, df = oof(spark, 300, k)
+    cal = spark.createDataFrame([(1,), (3,), (5,)], "fold_number int")
+    conf = {f"m{i}": 1 / k for i in range(k)}
+    got = {r.fold_number: r for r in ensemble.cut_weights(df, cal, list(conf), conf).collect()}
+    assert got[1].gap is None and [got[1][f"w{i}"] for i in range(k)] == [1 / k] * k
+    rng = np.random.default_rng(0)
+    for n in (3, 5):
+        past = np.array([r[1:] for r in rows if r[0] < n])
+        loss = lambda w: np.abs(past[:, 1:] @ w - past[:, 0]).mean()
+        w = np.array([got[n][f"w{i}"] for i in range(k)])
+        assert w.min() >= 0 and abs(w.sum() - 1) < 1e-9 and got[n].gap <= 1e-6 and got[n].loss == pytest.approx(loss(w))
+        tries = rng.dirichlet(np.ones(k), 3000)
+        close = np.abs(w + rng.normal(0, 1e-3, (3000, k)))
+        assert loss(w) <= min(map(loss, [*tries, *(close / close.sum(axis=1, keepdims=True)), *np.eye(k)])) * (1 + 1e-6)
+    same = df.select("fold_number", "y", *[F.col("p0").alias(f"p{i}") for i in range(k)])
+    assert all(abs(r[f"w{i}"] - 1 / k) < 1e-12 for r in ensemble.cut_weights(same, cal, list(conf), conf).collect() for i in range(k))
+    plain = ensemble.absolute_weights(df, cal, list(conf), conf)
+    assert plain.columns == ["fold_number", *[f"w{i}" for i in range(k)]]
+
+
+def test_lower_envelope_against_many_points():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        k = rng.integers(2, 5)
+        cuts = rng.normal(0, 10, (rng.integers(1, 12), k))
+        value, w = ensemble.lower_envelope(cuts)
+        assert w.min() >= -1e-12 and abs(w.sum() - 1) < 1e-9 and value == pytest.approx((cuts @ w).max())
+        assert value <= (cuts @ rng.dirichlet(np.ones(k), 4000).T).max(axis=0).min() + 1e-9
