@@ -232,16 +232,17 @@ def unresolved_names(rows: DataFrame, stage: str = "stage", name: str = "provide
     return missing.groupBy(label.alias("provider_player_name"), "league").agg(F.count(F.lit(1)).alias("row_count"))
 
 
-def prepare_snapshot(raw: DataFrame, players: DataFrame, matches: DataFrame, provider: str,
-                     order: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+def prepare_snapshot(raw: DataFrame, players: DataFrame, matches: DataFrame, provider: str, order: Sequence[str],
+                     snapshot: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows for the line table with both keys or neither, plus the late and quarantined rows.
 
-    ``raw`` is in either layout, or already in the raw one with its ``side``.
+    ``raw`` is in either layout, or already in the raw one with its ``side``. ``snapshot`` names columns of ``order`` that tell
+    snapshots apart: sides meet only within one, so two captures of a line stay two rows; they are columns of the rows too.
     """
     raw = raw if "side" in raw.columns else to_raw_layout(raw, keep=order)
     usable, late, bad = parse_captures(raw, keep=order)
     meta = ["market_id", "league", "tournament", "home_player", "away_player", "start_at", "captured_at", "prop_type"]
-    lines = pivot_sides(usable, [*order, "side"], metadata=meta).withColumn("__tour", tour_label("league"))
+    lines = pivot_sides(usable, [*order, "side"], group=[*GROUP, *snapshot], metadata=meta).withColumn("__tour", tour_label("league"))
     names = lines.select(F.explode(F.array("provider_player_name", "home_player", "away_player")).alias("name"),
                          F.col("__tour").alias("tour"))
     resolved = checked_broadcast(resolve_names(names, players))  # distinct names: three lookups without moving the lines
@@ -260,5 +261,5 @@ def prepare_snapshot(raw: DataFrame, players: DataFrame, matches: DataFrame, pro
         F.col("start_at").alias("provider_event_start_at"), F.col("market_id").alias("provider_market_id"),
         "provider_odds_id", "provider_player_id",
         F.coalesce(clean("provider_player_name"), F.lit("<blank>")).alias("provider_player_name"), "league", "stage",
-        F.when(paired, F.col("captured_at")).alias("resolved_at"))
+        F.when(paired, F.col("captured_at")).alias("resolved_at"), *snapshot)
     return out, late, bad
