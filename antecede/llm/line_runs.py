@@ -109,8 +109,9 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, b
     common = stored(runs.frequent(), "common-lines")
     lines = lines_of(docs, id_col, text).where(F.col("chars") >= min_chars)
     hits = lines.join(common, ["h1", "h2"]).groupBy(F.col("id").alias("hit")).agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    split = rows.join(hits, F.col("id").eqNullSafe(F.col("hit")), "left").select("row", "gone", F.split("text", "\n", -1).alias("lines"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"))  # every text moves once
+    joined = rows.join(hits, F.col("id").eqNullSafe(F.col("hit")), "left")
+    split = joined.select("row", "gone", F.split(F.coalesce(F.col("row")[text].cast("string"), F.lit("")), "\n", -1).alias("lines"))
     stay = F.filter("lines", lambda x: ~F.array_contains("gone", F.struct(*[c.alias(n) for c, n in zip(key_hash(line_key(x)), ("h1", "h2"))])))
     kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(stay)
     return split.withColumn("stay", kept).select("row", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("stay")).cast("long").alias("n_dropped"),

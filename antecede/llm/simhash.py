@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from antecede.llm.graph import components
 from antecede.llm.store import stored
@@ -125,6 +125,18 @@ def near_links(fps: DataFrame, bound: int = 3) -> DataFrame:
     return blocks.select("fps").mapInArrow(verify, "a bigint, b bigint").distinct()
 
 
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3, bound: int = 3) -> DataFrame:
+    """(id, fp, component, root) per row, as :func:`near_components`; root is the component's smallest fingerprint, its own name also
+    where rows of unlike texts share an id."""
+    fps = stored(fingerprints(docs, id_col, text, width), "fingerprints")
+    smallest = stored(fps.groupBy("fp").agg(F.min("id").alias("low")), "fingerprints")
+    roots = components(near_links(smallest.select("fp"), bound)).withColumnsRenamed({"node": "fp"})
+    joined = smallest.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    low = joined.groupBy("root").agg(F.min("low").alias("component"))
+    label = joined.join(low, "root").select("fp", "component", "root")
+    return fps.join(label, "fp").select("id", "fp", "component", "root")
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3, bound: int = 3) -> DataFrame:
     """(id, fp, component) per row: component is the smallest id reachable over fingerprints within ``bound`` bits.
 
@@ -132,10 +144,37 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     component of NULL ids alone has NULL). An empty table gives an empty one; other columns are ignored.
     Copies are one fingerprint from here on, so a group of copies of any size costs one row.
     """
-    fps = stored(fingerprints(docs, id_col, text, width), "fingerprints")
-    smallest = stored(fps.groupBy("fp").agg(F.min("id").alias("low")), "fingerprints")
-    roots = components(near_links(smallest.select("fp"), bound)).withColumnsRenamed({"node": "fp"})
-    joined = smallest.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    low = joined.groupBy("root").agg(F.min("low").alias("component"))
-    label = joined.join(low, "root").select("fp", "component")
-    return fps.join(label, "fp").select("id", "fp", "component")
+    return near_classes(docs, id_col, text, width, bound).select("id", "fp", "component")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3, bound: int = 3) -> DataFrame:
+    """The rows of ``docs`` of which one stays per component: that with the smallest id, of several texts of this id that with the
+    smallest fingerprint, of equal ones any one. Rows without an id all stay. Every row is decided by its own text.
+
+    An id that stands for one row decides for it, so whole rows meet ids only; rows whose id is repeated are told apart by their
+    fingerprints, which are computed again for these rows alone. Columns come back as they were; an empty table gives an empty one.
+    """
+    rows = stored(near_classes(docs, id_col, text, width, bound).where("id IS NOT NULL").groupBy("id", "fp", "root").agg(F.count(F.lit(1)).alias("n")), "near-rows")
+    stay = stored(rows.groupBy("root").agg(F.min(F.struct("id", "fp")).alias("s")).select("s.id", "s.fp"), "near-stay")
+    per_id = rows.groupBy("id").agg(F.sum("n").alias("n")).join(stay.groupBy("id").agg(F.count(F.lit(1)).alias("kept")), "id", "left")
+    per_id = stored(per_id, "near-ids")
+    name = F.col("id").alias(id_col)
+    out = docs.join(per_id.where("kept IS NULL OR n > 1").select(name), id_col, "left_anti").select(*docs.columns)
+    repeated = per_id.where("kept IS NOT NULL AND n > 1").select("id")
+    if repeated.isEmpty():
+        return out
+    several = docs.join(repeated.select(name), id_col, "left_semi").select(*docs.columns)
+    marked = _carried(several, id_col, text, width).join(stay, ["id", "fp"], "left_semi")
+    return out.unionByName(marked.groupBy("id", "fp").agg(F.first("row").alias("row")).select("row.*"))
+
+
+def _carried(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
+    """(row, id, fp): fingerprints beside their whole rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, buf, offsets in slices(batches):
+            marks = majority_bits(*shingle_hashes(buf, offsets, width)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(marks)], ["row", "id", "fp"])
+
+    whole = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
+    return whole.mapInArrow(run, T.StructType([whole.schema["row"], whole.schema["id"], T.StructField("fp", T.LongType())]))

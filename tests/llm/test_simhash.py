@@ -70,3 +70,22 @@ def test_components_of_a_long_path_and_a_star(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(path, "a bigint, b bigint")).collect()}
     assert got == {k: 100 for k in range(100, 161)} | {k: 7 for k in [7, *range(10, 40)]}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_one_of_each_decides_rows_by_their_own_text(spark):
+    from antecede.llm.simhash import one_of_each
+
+    a, b = "one two three four five six seven eight", "completely other words stand in this text here"
+    c = "nothing of the above is said again in these lines"
+
+    def kept(rows):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, n int").repartition(3)
+        out = one_of_each(docs)
+        assert out.columns == docs.columns
+        return sorted(map(tuple, out.collect()), key=str)
+
+    assert kept([(5, a, 1), (9, a, 2), (9, b, 3)]) == [(5, a, 1), (9, b, 3)]  # the copy goes, the unlike text of its id stays
+    assert kept([(1, a, 1), (2, b, 2), (2, c, 3)]) == [(1, a, 1), (2, b, 2), (2, c, 3)]
+    assert kept([(4, a, 1), (4, b, 1), (6, b.upper(), 1), (None, a, 7), (None, a, 8)]) == sorted([(4, a, 1), (4, b, 1), (None, a, 7), (None, a, 8)], key=str)
+    assert kept([(3, a, 1)] * 5 + [(3, None, 2), (8, "", 2)]) == sorted([(3, a, 1), (3, None, 2)], key=str)
+    assert kept([]) == []
