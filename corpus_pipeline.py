@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from antecede.llm import language, line_runs, mixing, templates
-from antecede.llm.simhash import near_components
+from antecede.llm.simhash import one_of_each
 from antecede.llm.store import stored, table
 
 #: A document stays if its language is known with at least this probability.
@@ -31,14 +31,9 @@ def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest id stays, once; rows without an id stay."""
-    marked = near_components(docs, width=3, bound=3).where("id IS NOT NULL")
-    ids = stored(marked.groupBy("id").agg(F.max(F.col("id") == F.col("component")).alias("stays"), F.count(F.lit(1)).alias("n")), "kept-ids")
-    gone = ids.where(~F.col("stays")).select(F.col("id").alias("doc_id"))
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if ids.where("stays AND n > 1").isEmpty():
-        return kept
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    """Of each component of near-duplicates one row stays, that with the smallest id; rows without an id stay. Each row is
+    decided by its own text: rows that share an id but are no copies of each other stay both."""
+    return one_of_each(docs, width=3, bound=3)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +44,10 @@ def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with the number of copies; sources weigh 3, 1, 2 in turn."""
+    """Documents that the mix takes, with the number of copies; sources weigh 3, 1, 2 in turn. A column of the documents that is
+    named ``copies`` already gives way to it."""
     taken = mixing.mix(docs, weights=(3, 1, 2), share=1.5, most=2.0, carry=True)
-    return taken.where("copies > 0").select("row.*", "copies")
+    return taken.where("copies > 0").select(*[F.col("row")[c].alias(c) for c in docs.columns if c.lower() != "copies"], "copies")
 
 
 STAGES = [
