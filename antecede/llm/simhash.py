@@ -159,7 +159,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wid
     per_id = rows.groupBy("id").agg(F.sum("n").alias("n")).join(stay.groupBy("id").agg(F.count(F.lit(1)).alias("kept")), "id", "left")
     per_id = stored(per_id, "near-ids")
     name = F.col("id").alias(id_col)
-    out = docs.join(per_id.where("kept IS NULL OR n > 1").select(name), id_col, "left_anti").select(*docs.columns)
+    gone = per_id.where("kept IS NULL OR n > 1").select(name)
+    out = docs.hint("merge").join(gone, id_col, "left_anti").select(*docs.columns)  # the ids grow with the rows: never broadcast, at no size
     repeated = per_id.where("kept IS NOT NULL AND n > 1").select("id")
     if repeated.isEmpty():
         return out
