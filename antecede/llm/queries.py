@@ -191,7 +191,7 @@ d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role
              unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM o WHERE kind <> 0),
 p AS (SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare, left(role, 1) AS initial,
              row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
-             row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen FROM d),
+             row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen FROM d),
 f AS MATERIALIZED (SELECT conv_id, i, turn, role, text, initial, bare = '' AS blank, bare <> '' AND seen > 1 AS again,
              bare <> '' AND seen = 1 AND right(bare, 1) NOT IN ('.', '!', '?') AS cut,
              lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM p),
