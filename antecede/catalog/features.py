@@ -9,6 +9,8 @@ from antecede.catalog.views import H_SQL, history
 from antecede.operators import pit, quality
 from antecede.plans.features import FeatureConfig, Target, backfill_from_json, build_features, expand_json, \
     feature_json, safe_ratio
+from antecede.plans.recheck import disagreements, recompute_features
+from antecede.session import ensure_checkpoint_dir
 
 ORDER = ["match_id"]
 PIT = dict(order=ORDER, eligible="completed")
@@ -278,6 +280,21 @@ def leakage_recompute(spark, sf):
                        r6("x_career_std").alias("career_std"), F.col("x_n").alias("n"), agrees.alias("agrees"))
 
 
+@query("leakage_every_feature", f"""WITH {BUILD_SQL},
+s AS (SELECT match_id, player_id FROM h ORDER BY md5(match_id || '-' || player_id), match_id, player_id LIMIT 50),
+f AS (SELECT * FROM amount_o UNION ALL BY NAME SELECT * FROM units_o)
+SELECT f.* EXCLUDE (event_date, sport, feature_version), '' AS wrong FROM f JOIN s USING (match_id, player_id)""")
+def leakage_every_feature(spark, sf):
+    """Every feature and flag of both targets for fifty sampled rows, recomputed by as-of joins, next to the built table."""
+    h = history(spark, sf)
+    keys = ["match_id", "player_id"]
+    ensure_checkpoint_dir(spark)
+    rows = F.broadcast(quality.ordered_sample(h, keys, 50).select(*keys).checkpoint())  # fifty rows, read by several joins
+    expected = recompute_features(rows, h, CONFIG).checkpoint()
+    out = disagreements(built(spark, sf).join(rows, keys, "left_semi"), expected, [*keys, "stat_target"])
+    return out.withColumns({**{c: r6(c) for c in FLOATS}, "wrong": F.concat_ws(",", "wrong")})
+
+
 @query("first_event_null", f"""WITH {H_SQL},
 first AS (SELECT player_id, min(event_date) AS d FROM h GROUP BY 1)
 SELECT count(*) AS first_rows, 0 AS violations FROM h JOIN first USING (player_id) WHERE event_date = d""")

@@ -3,12 +3,13 @@ import random
 from functools import partial
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from antecede.operators import quality
 from antecede.operators.pit import Prior
 from antecede.plans.features import (
     FeatureConfig, Target, backfill_from_json, build_features, expand_json, feature_json, safe_ratio)
+from antecede.plans.recheck import disagreements, recompute_features
 
 CONFIG = FeatureConfig(
     "s", "v1", [Target("aces", "aces", ("aces", "games"), ("first_in", "points"), "rolling_aces_rate"),
@@ -134,3 +135,35 @@ def test_config_is_checked():
         FeatureConfig("s", "v", [])
     with pytest.raises(ValueError):
         FeatureConfig("s", "v", [Target("Bad Name", "x", ("a", "b"), ("a", "b"))])
+
+
+ROW_KEYS = ["match_id", "player_id", "stat_target"]
+
+
+def test_recheck_agrees_with_the_build_on_every_row(matches, built):
+    expected = recompute_features(matches, matches, CONFIG)
+    found = disagreements(built, expected, ROW_KEYS).collect()
+    assert len(found) == built.count() == 2 * matches.count()
+    assert [(r.match_id, r.player_id, r.wrong) for r in found if r.wrong] == []
+
+
+def test_recheck_names_every_planted_leak(matches, built):
+    """A build that sees each row's own day, and columns moved one by one, are found in every kind of history."""
+    late = build_features(matches.withColumn("event_date", F.lit(dt.date(2024, 1, 1)) + F.dense_rank().over(
+        Window.orderBy("match_id")).cast("int")), CONFIG)
+    expected = recompute_features(matches, matches, CONFIG).cache()
+    leaking = {name for r in disagreements(late, expected, ROW_KEYS).select("wrong").collect() for name in r.wrong}
+    kinds = {"rolling_mean_3", "rolling_std_5", "category_rolling_mean", "category_rolling_n_observations", "rolling_aces_rate",
+             "rolling_percentage", "rest_days", "head_to_head_average", "head_to_head_matches", "head_to_head_win_rate",
+             "opponent_conceded_rate", "career_to_date_mean", "history_observations", "has_sufficient_history"}
+    assert kinds <= leaking
+    moved = built.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0)) + 1 for c in CONFIG.feature_columns if c != "surface"})
+    moved = moved.withColumn("surface", F.lit("other"))
+    named = {name for r in disagreements(moved, expected, ROW_KEYS).select("wrong").collect() for name in r.wrong}
+    assert named == set(CONFIG.feature_columns)
+    missing = disagreements(built.where("stat_target = 'aces'"), expected, ROW_KEYS).where("array_contains(wrong, 'missing')")
+    assert missing.count() == matches.count()
+
+
+def test_recheck_of_no_rows_is_empty(matches):
+    assert recompute_features(matches.limit(0), matches, CONFIG).count() == 0
