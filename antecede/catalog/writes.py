@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from antecede.catalog.evaluation import SCORED_SQL, baseline_oof, r3, s3, TARGET, RUN_STAMP, RUN_AT
 from antecede.catalog.registry import query, table
-from antecede.operators import pages as pg, quality, sinks
+from antecede.operators import pages as pg, quality, sinks, slices
 from antecede.plans import scoring, walkforward
 
 # --- upserts: stored rows from finished orders, incoming rows from open ones -------------------------
@@ -150,6 +150,125 @@ def replace_by_version(spark, sf):
     return spark.read.parquet(path).select("match_id", "feature_version", "data_mode", "v")
 
 
+SLICE = ["data_mode", "feature_version"]
+REAL = {"data_mode": "real"}
+
+
+def _versioned(spark, sf):
+    return table(spark, sf, "orders").selectExpr(
+        "o_orderkey AS match_id", "o_orderpriority AS feature_version", "o_totalprice AS v", "IF(o_orderstatus = 'F', 'demo', 'real') AS data_mode")
+
+
+def _stored_versions(spark, sf):
+    """(rows, folder of the table): demo and real versions, stored as two commits."""
+    rows, path = _versioned(spark, sf), sinks.scratch_path(spark, "versions")
+    slices.replace_slices(rows.where("data_mode = 'demo'"), path, SLICE, {"data_mode": "demo"})
+    slices.replace_slices(rows.where("data_mode = 'real'"), path, SLICE, REAL)
+    return rows, path
+
+
+@query("replace_real_versions", """SELECT o_orderkey AS match_id, o_orderpriority AS feature_version,
+  CASE WHEN o_orderstatus = 'F' THEN 'demo' ELSE 'real' END AS data_mode, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 2 END * o_totalprice AS v
+FROM orders WHERE o_orderstatus = 'F' OR o_orderpriority <> '5-LOW'""")
+def replace_real_versions(spark, sf):
+    """A real rerun without one version: that version vanishes, the others are replaced, demo rows keep their files."""
+    rows, path = _stored_versions(spark, sf)
+    again = rows.where("data_mode = 'real' AND feature_version <> '5-LOW'").withColumn("v", F.col("v") * 2)
+    slices.replace_slices(again, path, SLICE, REAL)
+    return slices.read_slices(spark, path).select("match_id", "feature_version", "data_mode", "v")
+
+
+@query("stored_as_built", """SELECT o_orderpriority AS feature_version, count(*) FILTER (o_orderstatus <> 'F') AS built_rows,
+  count(*) FILTER (o_orderstatus <> 'F') AS stored_rows, count(*) FILTER (o_orderstatus = 'F') AS demo_before,
+  count(*) FILTER (o_orderstatus = 'F') AS demo_after, false AS demo_changed FROM orders GROUP BY 1""")
+def stored_as_built(spark, sf):
+    """Counts around a real rerun: built against stored, and demo rows before and after it, by version."""
+    rows, path = _stored_versions(spark, sf)
+    real = rows.where("data_mode = 'real'")
+
+    def census(df, name):
+        return df.groupBy(F.col("feature_version").alias("table_name")).agg(F.count(F.lit(1)).alias(name))
+
+    before = census(slices.read_slices(spark, path, {"data_mode": "demo"}), "demo_rows")
+    slices.replace_slices(real, path, SLICE, REAL)
+    saved = slices.read_slices(spark, path)
+    after = census(saved.where("data_mode = 'demo'"), "demo_rows")
+    changed = quality.census_changes(before, after).select("table_name", F.lit(True).alias("changed"))
+    out = census(real, "built_rows").join(census(saved.where("data_mode = 'real'"), "stored_rows"), "table_name", "full")
+    out = out.join(before.withColumnRenamed("demo_rows", "demo_before"), "table_name", "full").join(
+        after.withColumnRenamed("demo_rows", "demo_after"), "table_name", "full").join(changed, "table_name", "left")
+    counts = ["built_rows", "stored_rows", "demo_before", "demo_after"]
+    return out.fillna(0, counts).select(F.col("table_name").alias("feature_version"), *counts,
+                                        F.coalesce("changed", F.lit(False)).alias("demo_changed"))
+
+
+@query("refuse_versions", """SELECT o_orderpriority AS feature_version, sum(o_totalprice)::DECIMAL(18, 2)::VARCHAR AS stored_v, true AS refused
+FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1""")
+def refuse_versions(spark, sf):
+    """Versions that exist are not overwritten unless asked for: the rerun is refused and the stored values stay."""
+    rows, path = _stored_versions(spark, sf)
+    try:
+        slices.replace_slices(rows.where("data_mode = 'real'").withColumn("v", F.col("v") * 2), path, SLICE, REAL, overwrite=False)
+        refused = False
+    except quality.AuditFailure:
+        refused = True
+    stored = slices.read_slices(spark, path, REAL).groupBy("feature_version").agg(
+        F.sum(F.col("v").cast("decimal(18,2)")).cast("decimal(18,2)").cast("string").alias("stored_v"))
+    return stored.withColumn("refused", F.lit(refused))
+
+
+@query("live_predictions", """SELECT o_custkey AS player_id, o_orderkey AS match_id, 'spend' AS prop_type, o_orderpriority AS modelversion,
+  CASE WHEN o_orderpriority = '1-URGENT' THEN 2 ELSE 1 END * o_totalprice AS prediction, true AS backtest_refused FROM orders
+WHERE o_orderpriority <> '1-URGENT' OR o_orderstatus <> 'F'""")
+def live_predictions(spark, sf):
+    """A rerun of one live version replaces that version whole; a backtest version is refused here."""
+    rows = table(spark, sf, "orders").selectExpr(
+        "o_custkey AS player_id", "o_orderkey AS match_id", "'orders' AS sport", "'spend' AS prop_type", "o_orderpriority AS modelversion",
+        "o_totalprice AS prediction", "o_orderstatus")
+    path = sinks.scratch_path(spark, "live")
+    sinks.write_predictions(rows, path)
+    rerun = rows.where("modelversion = '1-URGENT' AND o_orderstatus <> 'F'").withColumn("prediction", F.col("prediction") * 2)
+    sinks.write_predictions(rerun, path)
+    try:
+        sinks.write_predictions(rows.withColumn("modelversion", F.lit("v_backtest_1")), path)
+        refused = False
+    except quality.AuditFailure:
+        refused = True
+    return spark.read.parquet(path).select("player_id", "match_id", "prop_type", "modelversion", "prediction",
+                                           F.lit(refused).alias("backtest_refused"))
+
+
+@query("one_to_one_merge", f"""SELECT o_orderkey AS match_id, {s3('o_totalprice * 0.9')} AS prediction, o_totalprice AS actual,
+  true AS repeats_refused, true AS losses_refused FROM orders""")
+def one_to_one_merge(spark, sf):
+    """Predictions meet outcomes one to one; repeated keys or keys of one side only are refused."""
+    o = table(spark, sf, "orders")
+    made = o.select(F.col("o_orderkey").alias("match_id"), (F.col("o_totalprice") * 0.9).alias("prediction"))
+    known = o.select(F.col("o_orderkey").alias("match_id"), F.col("o_totalprice").alias("actual"))
+
+    def refused(right):
+        try:
+            quality.one_to_one(made, right, ["match_id"], ["actual"])
+            return False
+        except quality.AuditFailure:
+            return True
+
+    repeats, losses = refused(known.unionByName(known)), refused(known.where("actual < 100000"))
+    return quality.one_to_one(made, known, ["match_id"], ["actual"]).select(
+        "match_id", r3("prediction").alias("prediction"), "actual", F.lit(repeats).alias("repeats_refused"), F.lit(losses).alias("losses_refused"))
+
+
+@query("export_rows", """SELECT c_custkey::VARCHAR AS player_id, c_name AS name, CASE WHEN c_acctbal >= 0 THEN c_nationkey::VARCHAR END AS nation
+FROM customer WHERE c_mktsegment <> 'MACHINERY'""")
+def export_rows(spark, sf):
+    """Real rows and chosen columns of a table as CSV with a header, read back; a missing value is an empty field."""
+    rows = table(spark, sf, "customer").selectExpr(
+        "concat(IF(c_mktsegment = 'MACHINERY', 'demo_', ''), c_custkey) AS player_id", "c_name AS name", "IF(c_acctbal >= 0, c_nationkey, NULL) AS nation")
+    path = sinks.scratch_path(spark, "export")
+    sinks.write_csv(sinks.in_scope(rows), path, rows.columns)
+    return spark.read.option("header", True).csv(path).select("player_id", "name", "nation")
+
+
 @query("append_backtest", f"""WITH {SCORED_SQL}
 SELECT player_id, match_id, '{TARGET}' AS prop_type, 'baseline_v1_{TARGET}_backtest_{RUN_STAMP}' AS modelversion, fold_number,
   {s3('prediction')} AS prediction, true AS rerun_refused FROM sc WHERE modelversion LIKE 'baseline%'""")

@@ -3,7 +3,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from antecede.operators import pages, quality, sinks
+from antecede.operators import pages, quality, sinks, slices
+from antecede.operators.skew import lookup as slices_lookup
 from antecede.session import ensure_checkpoint_dir
 
 D = dt.date
@@ -137,3 +138,40 @@ def test_stored_tables(spark, tmp_path):
     assert quality.census_changes(before, before).isEmpty() and not quality.census_changes(before, before.withColumn("demo_rows", F.lit(4))).isEmpty()
     gaps = spark.createDataFrame([(0, None), (1, None), (2, 1.0)], "n int, v double")
     assert quality.history_without_value(gaps, "n", "v").count() == 1
+
+
+def _sliced(spark, rows):
+    return spark.createDataFrame(rows, "mode string, version string, id int")
+
+
+def test_slices_vanish_stay_and_survive_a_killed_replacement(spark, tmp_path, monkeypatch):
+    path, by, real = str(tmp_path / "t"), ["mode", "version"], {"mode": "real"}
+    read = lambda: sorted((tuple(r) for r in slices.read_slices(spark, path).collect()), key=repr)
+    assert slices.read_slices(spark, path) is None
+    demo, first = [("demo", "a", 1), ("demo", None, 2)], [("real", "a", 3), ("real", "b/ =x", 4), ("real", None, 5), ("real", "01", 6)]
+    slices.replace_slices(_sliced(spark, demo), path, by, {"mode": "demo"})
+    slices.replace_slices(_sliced(spark, first), path, by, real)
+    assert read() == sorted(demo + first, key=repr)
+    kept = {label: folder for label, folder in slices.slices(spark, path).items() if "demo" in label}
+
+    second = [("real", "a", 7), ("real", "a", 7)]
+    with monkeypatch.context() as patch:
+        patch.setattr(slices, "commit", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            slices.replace_slices(_sliced(spark, second), path, by, real)
+    assert read() == sorted(demo + first, key=repr)
+    with monkeypatch.context() as patch:
+        patch.setattr(slices, "lookup", lambda rows, *a, **k: slices_lookup(rows.limit(1), *a, **k))
+        with pytest.raises(quality.AuditFailure, match="stored 1 rows of 2 built"):
+            slices.replace_slices(_sliced(spark, second), path, by, real)
+    assert read() == sorted(demo + first, key=repr)
+
+    slices.replace_slices(_sliced(spark, second), path, by, real)
+    assert read() == sorted(demo + second, key=repr)
+    assert {label: folder for label, folder in slices.slices(spark, path).items() if "demo" in label} == kept
+    with pytest.raises(quality.AuditFailure, match="already stored"):
+        slices.replace_slices(_sliced(spark, first), path, by, real, overwrite=False)
+    with pytest.raises(quality.AuditFailure, match="outside"):
+        slices.replace_slices(_sliced(spark, demo), path, by, real)
+    slices.replace_slices(_sliced(spark, []), path, by, real)
+    assert read() == sorted(demo, key=repr)
