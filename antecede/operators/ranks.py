@@ -39,14 +39,66 @@ def global_rank(df: DataFrame, scope: Sequence[str], order: Sequence[str], out:
     return found.select(*df.columns, out, *([size] if size else []))
 
 
+#: Splitters that a narrowing round puts between the ends of a bracket.
+SPLITTERS = 1_000
+
+
+def _with_brackets(base: DataFrame, brackets: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Every value once for each bracket of its group."""
+    wide = brackets.groupBy(*by).agg(F.collect_list(F.struct("name", "lo", "hi", "__pos")).alias("__bs"))
+    rows = (lookup(base, checked_broadcast(wide), by, ["__bs"], null_safe=True) if by
+            else base.crossJoin(F.broadcast(wide)))
+    return rows.select(*by, "__v", F.explode("__bs").alias("__b")).select(*by, "__v", "__b.*")
+
+
+def _narrowed(base: DataFrame, brackets: DataFrame, by: Sequence[str], most: int, accuracy: int) -> DataFrame:
+    """Brackets whose ends moved towards the wanted positions, by one pass over the values.
+
+    The values strictly between the ends are split by a sketch at even shares; the ends become the splitters that the sketch's
+    error bound still allows. Repeated values at an end do not hinder: they are counted, not split.
+    """
+    parts = min(SPLITTERS, accuracy)
+    grid = [j / parts for j in range(parts + 1)]
+    between = (F.col("__v") > F.col("lo")) & (F.col("__v") < F.col("hi"))
+    found = _with_brackets(base, brackets, by).where(F.col("__v") < F.col("hi")).groupBy(*by, "name", "lo", "hi", "__pos").agg(
+        F.count_if(F.col("__v") <= F.col("lo")).alias("__before"), F.count_if(between).alias("__mid"),
+        F.percentile_approx(F.when(between, F.col("__v")), grid, accuracy).alias("__g"))
+    slack = 4.0 / accuracy
+    share_lo = (F.floor("__pos") - F.col("__before")) / F.col("__mid") - slack
+    share_hi = (F.ceil("__pos") - F.col("__before")) / F.col("__mid") + slack
+    split = F.col("__mid") > most
+    at_lo, at_hi = F.floor(share_lo * parts).cast("int"), F.ceil(share_hi * parts).cast("int")
+    moved = found.select(
+        *by, "name", "__pos",
+        F.when(split & (share_lo >= 0), F.get("__g", at_lo)).otherwise(F.col("lo")).alias("lo"),
+        F.when(split & (share_hi <= 1), F.get("__g", at_hi)).otherwise(F.col("hi")).alias("hi"))
+    # a bracket without a value below its upper end has one distinct value
+    return lookup(brackets, moved, [*by, "name"], {"__lo": "lo", "__hi": "hi"}, null_safe=True).select(
+        *by, "name", "__pos", F.coalesce("__lo", "lo").alias("lo"), F.coalesce("__hi", "hi").alias("hi"))
+
+
+def _rounds(rows: int, most: int, accuracy: int) -> int:
+    """Narrowing rounds after which no bracket of a group of ``rows`` holds more than ``most`` values between its ends."""
+    left = max(rows * 10.0 / accuracy, min(rows, 4 * accuracy))
+    factor = 10.0 / accuracy + 2.0 / min(SPLITTERS, accuracy)
+    if factor >= 1:
+        raise ValueError(f"accuracy {accuracy} is too small to narrow a bracket")
+    rounds = 0
+    while left > most:
+        left, rounds = left * factor + 1, rounds + 1
+    return rounds
+
+
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, quantiles: Mapping[str, float],
-                    accuracy: int = 50_000) -> DataFrame:
+                    accuracy: int = 50_000, most: int = 1_000_000) -> DataFrame:
     """Quantiles with linear interpolation, exact, without gathering a group in one task.
 
-    A mergeable rank sketch brackets every wanted order statistic; its error bound guarantees the
-    bracket holds it.  One more pass counts the rows below the bracket and keeps the distinct values
-    inside it, about four rows in ``accuracy`` of the group.
+    A mergeable rank sketch brackets every wanted order statistic; its error bound guarantees the bracket holds it. Brackets are
+    narrowed until at most ``most`` values lie between their ends, whatever the size of the group: five thousand million rows need no
+    extra pass, each further pass serves about 450 times as many. A last pass counts the rows below the bracket and keeps
+    its distinct values. The driver gets the size of the largest group.
     """
+    ensure_checkpoint_dir(df.sparkSession)
     v = F.col(value).cast("double")
     base = df.select(*by, v.alias("__v")).where(F.col("__v").isNotNull())
     # four times the sketch error; in a small group the bracket is the whole group
@@ -64,11 +116,12 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, quantiles: Map
                  F.when(F.col("__n") <= 4 * accuracy, F.col("__max")).otherwise(F.col("__hi")[i]).alias("hi"))
         for i, (name, q) in enumerate(quantiles.items())])
     brackets = sketch.select(*by, "__n", F.explode(entries).alias("__b")).select(*by, "__n", "__b.*")
-    brackets = brackets.withColumn("__pos", F.col("q") * (F.col("__n") - 1))
-    wide = brackets.groupBy(*by).agg(F.collect_list(F.struct("name", "lo", "hi", "__pos")).alias("__bs"))
-    rows = (lookup(base, checked_broadcast(wide), by, ["__bs"], null_safe=True) if by
-            else base.crossJoin(F.broadcast(wide)))
-    rows = rows.select(*by, "__v", F.explode("__bs").alias("__b")).select(*by, "__v", "__b.*")
+    brackets = brackets.withColumn("__pos", F.col("q") * (F.col("__n") - 1)).checkpoint()
+    largest = brackets.agg(F.max("__n").alias("n")).first().n or 0
+    brackets = brackets.select(*by, "name", "__pos", "lo", "hi")
+    for _ in range(_rounds(largest, most, accuracy)):
+        brackets = _narrowed(base, brackets, by, most, accuracy).checkpoint()
+    rows = _with_brackets(base, brackets, by)
     inside = F.col("__v").between(F.col("lo"), F.col("hi"))
     # values below the bracket collapse to one counter row per group and quantile
     counted = (
