@@ -7,7 +7,9 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from antecede.catalog.registry import query, table
-from antecede.operators import matches as m
+from antecede.operators import matches as m, sinks
+from antecede.sources.csv_text import BYTE_ORDER_MARK
+from antecede.sources.match_csv import REQUIRED, read_matches
 
 # raw source rows: file 0 has every match, file 1 repeats those whose winner event is a purchase
 SOURCE_EXPR = {
@@ -113,6 +115,26 @@ def expand_match_rows(spark, sf):
         F.col("player_age").cast("string").alias("player_age"), *m.STATS, "break_points_won")
 
 
+# files 0 and 1 of the fixture as CSV: the second with its columns backwards, a byte order mark, one more column and every row again
+@query("match_csv_ingest", f"""WITH {SOURCE_SQL}
+SELECT tourney_id, match_num, tourney_date, winner_id, trim(loser_id) AS loser_id, score, surface_kind, count(*) AS rows, count(*) FILTER (again) AS rows_of_second
+FROM (SELECT *, false AS again, trim(surface) AS surface_kind FROM s0 UNION ALL SELECT *, true, trim(surface) FROM s0 WHERE kind = 'purchase'
+      UNION ALL SELECT *, true, trim(surface) FROM s0 WHERE kind = 'purchase') GROUP BY ALL""")
+def match_csv_ingest(spark, sf):
+    """Match files written as CSV and read back in the given order, each by its own header."""
+    rows = source(spark, sf)
+    first, second = sinks.scratch_path(spark, "matches-0"), sinks.scratch_path(spark, "matches-1")
+    csv = dict(header=True, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    rows.where("file_idx = 0").select(*REQUIRED).write.options(**csv).csv(first)
+    again = rows.where("file_idx = 1").select(*REQUIRED[::-1], F.lit("x").alias("remark"))
+    again.unionByName(again).withColumnRenamed(REQUIRED[-1], BYTE_ORDER_MARK + REQUIRED[-1]).write.options(**csv).csv(second)
+    read = read_matches(spark, [first, second]).withColumn("again", F.col("file_idx") == 1)
+    keys = ["tourney_id", "match_num", "tourney_date", "winner_id"]
+    text = {c: F.coalesce(F.col(c), F.lit("")) for c in ("loser_id", "score", "surface")}  # an empty field is read as missing
+    return read.groupBy(*keys, F.trim(text["loser_id"]).alias("loser_id"), text["score"].alias("score"), F.trim(text["surface"]).alias("surface_kind")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if("again").alias("rows_of_second"))
+
+
 @query("score_completion", f"""WITH {PARSED_SQL}
 SELECT score, bo AS best_of, done AS match_completed, count(*) AS matches FROM p1 GROUP BY ALL""")
 def score_completion(spark, sf):
