@@ -295,6 +295,21 @@ def leakage_every_feature(spark, sf):
     return out.withColumns({**{c: r6(c) for c in FLOATS}, "wrong": F.concat_ws(",", "wrong")})
 
 
+@query("history_without_value", _prior_sql(
+    "avg(units) FILTER (k <= 5) AS m, stddev_samp(units) FILTER (k <= 5) AS s, count(units) AS n", "x.units IS NOT NULL",
+    "coalesce(n, 0) AS n").replace("SELECT h.match_id, h.player_id, coalesce(n, 0) AS n FROM", """SELECT
+  count(*) FILTER (n >= 1 AND m IS NULL) AS no_mean, count(*) FILTER (n >= 2 AND s IS NULL) AS no_std,
+  count(*) FILTER (n >= 1 AND s IS NULL) AS one_observation FROM"""))
+def history_without_value(spark, sf):
+    """Rows with history but without its mean or deviation: none; a single observation has no deviation and shows that rows are counted."""
+    prior = pit.Prior(("player_id",), "units", {"m": ("mean", 5), "s": ("std", 5)}, {"n": None})
+    rows = pit.strict_prior(history(spark, sf), [prior], anchor=["player_id"], date="event_date", **PIT)
+    checks = {"no_mean": ("m", 1), "no_std": ("s", 2), "one_observation": ("s", 1)}
+    found = [quality.history_without_value(rows, "n", value, least).select(F.lit(name).alias("name")) for name, (value, least) in checks.items()]
+    found = found[0].unionByName(found[1]).unionByName(found[2])
+    return found.agg(*[F.count_if(F.col("name") == name).alias(name) for name in checks])
+
+
 @query("first_event_null", f"""WITH {H_SQL},
 first AS (SELECT player_id, min(event_date) AS d FROM h GROUP BY 1)
 SELECT count(*) AS first_rows, 0 AS violations FROM h JOIN first USING (player_id) WHERE event_date = d""")

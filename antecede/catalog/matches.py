@@ -187,6 +187,14 @@ def season_report(spark, sf):
     return m.season_report(source(spark, sf), ["file_idx"])
 
 
+@query("duplicate_report", f"""WITH {SOURCE_SQL},
+d AS (SELECT *, row_number() OVER (PARTITION BY tourney_id, match_num, tourney_date, trim(winner_id), trim(loser_id), score
+        ORDER BY file_idx, m) AS rep FROM src)
+SELECT file_idx, count(*) AS source_rows, count(*) FILTER (rep > 1) AS duplicate_rows FROM d GROUP BY 1""")
+def duplicate_report(spark, sf):
+    return m.duplicate_report(source(spark, sf), ["file_idx"], ["file_idx", "m"])
+
+
 @query("freshness", f"""WITH {PARSED_SQL}
 SELECT year(ed) AS season, max(ed) AS newest, DATE '2024-02-20' - max(ed) > 21 AS stale FROM p1 WHERE ok GROUP BY 1""")
 def freshness(spark, sf):

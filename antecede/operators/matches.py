@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from antecede.functions.text import clean, compact_date, nullable_decimal, tolerant_int
+from antecede.operators.skew import lookup
 
 # fixed values: days after the tournament start, by round
 ROUND_DAYS = {"Q1": -1, "Q2": -1, "Q3": -1, "Q4": -1, "R128": 0, "R64": 1, "R32": 2, "R16": 3, "QF": 4, "SF": 5, "F": 6}
@@ -142,7 +143,6 @@ def unique_match_ids(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     first = tagged.groupBy("__base", "__sig").agg(
         F.min_by(F.struct(*columns), F.struct(*order)).alias("s")).select("s.*")
     owner = first.groupBy("__base").agg(F.min_by("__sig", F.struct(*order)).alias("__owner"))
-    from antecede.operators.skew import lookup
     marked = lookup(first, owner, ["__base"], ["__owner"])
     own = F.col("__sig") == F.col("__owner")
     marked = marked.withColumn("unique_id", F.when(own, F.col("__base")).otherwise(F.col("__long")))
@@ -171,6 +171,21 @@ def season_report(rows: DataFrame, by: Sequence[str]) -> DataFrame:
         F.max(F.when(ok, F.col("event_day"))).alias("max_event_date"))
 
 
+def duplicate_report(rows: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows, and rows that repeat the signature of an earlier one, per ``by``; the first in ``order`` is no duplicate.
+
+    Repeats are counted per (``by``, signature) before anything else moves, so one row repeated without end costs one row.
+    """
+    signature = F.to_json(F.struct(*[F.trim(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in SIGNATURE]))
+    seen = rows.withColumn("__sig", signature).groupBy(*by, "__sig").agg(
+        F.count(F.lit(1)).alias("__n"), F.min(F.struct(*order)).alias("__at"))
+    # every row but the first of each signature; the firsts are counted for the file they stand in
+    firsts = seen.groupBy("__sig").agg(F.min_by(F.struct(*by), "__at").alias("f")).groupBy(
+        *[F.col(f"f.{c}").alias(c) for c in by]).agg(F.count(F.lit(1)).alias("__kept"))
+    out = lookup(seen.groupBy(*by).agg(F.sum("__n").alias("source_rows")), firsts, by, ["__kept"], null_safe=True)
+    return out.select(*by, "source_rows", (F.col("source_rows") - F.coalesce("__kept", F.lit(0))).alias("duplicate_rows"))
+
+
 def season_filter(df: DataFrame, seasons: Sequence[int], tourney: str = "tourney_date", event: str = "event_date") -> DataFrame:
     return df.where(F.year(F.coalesce(tourney, event)).isin(list(seasons)))
 

@@ -108,3 +108,13 @@ def test_csv_contract(spark, tmp_path):
     bad.write_text("tourney_id,score\n1,2\n", encoding="utf-8")
     with pytest.raises(HeaderError, match="winner_id"):
         read_matches(spark, [str(bad)])
+
+
+def test_duplicates_are_counted_where_they_stand(spark):
+    cols = ["f", "at", *m.SIGNATURE]
+    a, b = ("T", "1", "20240101", "p", "q", "6-0"), ("T", "1", "20240101", "p", "q", None)
+    rows = [(0, 0, *a), (0, 1, *a), (1, 0, " T ", *a[1:]), (1, 1, *b), (2, 0, *b), (2, 1, *a), (None, 9, *b)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} {'int' if c in ('f', 'at') else 'string'}" for c in cols))
+    got = {r.f: (r.source_rows, r.duplicate_rows) for r in m.duplicate_report(df.where("f IS NOT NULL"), ["f"], ["f", "at"]).collect()}
+    assert got == {0: (2, 1), 1: (2, 1), 2: (2, 2)}
+    assert m.duplicate_report(df.limit(0), ["f"], ["f", "at"]).count() == 0
