@@ -70,6 +70,19 @@ class _Nfa:
             return out
         raise ValueError(f"rules may not use {op}")
 
+    def reversed(self) -> _Nfa:
+        """The same states with every arc the other way round."""
+        out = _Nfa()
+        for _ in self.eps:
+            out.state()
+        for at, nexts in enumerate(self.eps):
+            for nxt in nexts:
+                out.eps[nxt].append(at)
+        for at, arcs in enumerate(self.arcs):
+            for members, nxt in arcs:
+                out.arcs[nxt].append((members, at))
+        return out
+
     @staticmethod
     def members(items, fold: bool) -> frozenset[int]:
         found: set[int] = set()
@@ -87,11 +100,14 @@ class _Nfa:
         return frozenset(found)
 
 
-def _subsets(pattern: str) -> tuple[np.ndarray, np.ndarray]:
-    """(step over bytes, accepting) of the automaton that finds ``pattern`` ending anywhere."""
+def _subsets(pattern: str, anchored: bool = False, backward: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(step over bytes, accepting) of the automaton that finds ``pattern`` ending anywhere; ``anchored``: beginning at the first
+    byte only; ``backward``: reading the bytes from right to left."""
     nfa = _Nfa()
     start = nfa.state()
     final = nfa.sequence(parser.parse(pattern), start, False)
+    if backward:
+        nfa, start, final = nfa.reversed(), final, start
 
     def closure(states) -> frozenset[int]:
         seen, todo = set(states), list(states)
@@ -115,7 +131,7 @@ def _subsets(pattern: str) -> tuple[np.ndarray, np.ndarray]:
         for b in range(256):
             key = frozenset(to[b])
             if key not in memo:
-                target = closure(key | {start})
+                target = closure(key if anchored else key | {start})
                 if target not in names:
                     names[target] = len(names)
                     todo.append(target)
@@ -141,6 +157,25 @@ def _minimal(step: np.ndarray, accepts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return names[step[pick]], accepts[pick]
 
 
+def _product(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], bit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Minimal automaton that follows both; ``a`` accepts with bit sets, acceptance of ``b`` adds ``bit``."""
+    (step, accepts), (own, final) = a, b
+    names, todo, rows, marks = {(0, 0): 0}, [(0, 0)], [], []
+    while todo:
+        i, j = todo.pop(0)
+        pairs = step[i].astype(np.int64) * len(own) + own[j]
+        row = np.zeros(256, np.int64)
+        for p in np.unique(pairs):
+            pair = divmod(int(p), len(own))
+            if pair not in names:
+                names[pair] = len(names)
+                todo.append(pair)
+            row[pairs == p] = names[pair]
+        rows.append(row)
+        marks.append(accepts[i] | int(final[j]) << bit)
+    return _minimal(np.array(rows), np.array(marks))
+
+
 def _alphabet(pattern: str) -> set[int]:
     nfa = _Nfa()
     nfa.sequence(parser.parse(pattern), nfa.state(), False)
@@ -154,22 +189,49 @@ def compile_rules(patterns: list[str], also: list[str] = ()) -> Automaton:
     """
     step, accepts = np.zeros((1, 256), np.int64), np.zeros(1, np.int64)
     for k, pattern in enumerate(patterns):
-        own, final = _minimal(*_subsets(pattern))
-        names, todo, rows, marks = {(0, 0): 0}, [(0, 0)], [], []
-        while todo:
-            a, b = todo.pop(0)
-            pairs = step[a] * len(own) + own[b]
-            row = np.zeros(256, np.int64)
-            for p in np.unique(pairs):
-                pair = divmod(int(p), len(own))
-                if pair not in names:
-                    names[pair] = len(names)
-                    todo.append(pair)
-                row[pairs == p] = names[pair]
-            rows.append(row)
-            marks.append(accepts[a] | int(final[b]) << k)
-        step, accepts = _minimal(np.array(rows), np.array(marks))
+        step, accepts = _product((step, accepts), _minimal(*_subsets(pattern)), k)
     columns, classes = np.unique(step, axis=1, return_inverse=True)
     breaks = np.ones(256, bool)
     breaks[list(set().union(*map(_alphabet, [*patterns, *also])))] = False
     return Automaton(columns.astype(np.int32), classes.reshape(-1).astype(np.uint8), accepts, breaks)
+
+
+class Spans:
+    """Spans of one rule in a run of bytes, read off transition arrays alone.
+
+    Read backward, ``starts`` tells every place where some match of the pattern begins. Read forward from such a place, ``ends``
+    tells where matches end (bit 0) and which of them satisfy ``full`` as well (bit 1). A span begins at the first start that no
+    earlier span covers and is the longest match from there.
+    """
+
+    def __init__(self, pattern: str, full: str) -> None:
+        step, final = _minimal(*_subsets(pattern, backward=True))
+        if final[0]:
+            raise ValueError("rules may not match the empty string")
+        self.starts, self.begins = step.tolist(), final.tolist()
+        none = np.zeros((1, 256), np.int64), np.zeros(1, np.int64)
+        step, accepts = _product(_product(none, _minimal(*_subsets(pattern, anchored=True)), 0), _minimal(*_subsets(full, anchored=True)), 1)
+        dead = (step == np.arange(len(step))[:, None]).all(1) & (accepts == 0)
+        self.ends, self.accepts, self.dead = step.tolist(), accepts.tolist(), dead.tolist()
+
+    def find(self, piece: bytes) -> list[tuple[int, int]]:
+        """(start, end) of the spans that satisfy ``full``, leftmost and not overlapping."""
+        begin = bytearray(len(piece))
+        state, step, begins = 0, self.starts, self.begins
+        for i in range(len(piece) - 1, -1, -1):
+            state = step[state][piece[i]]
+            if begins[state]:
+                begin[i] = 1
+        out, at = [], begin.find(1)
+        while at >= 0:
+            state, end, good = 0, at, False
+            for i in range(at, len(piece)):
+                state = self.ends[state][piece[i]]
+                if self.accepts[state] & 1:
+                    end, good = i + 1, self.accepts[state] > 1
+                elif self.dead[state]:
+                    break
+            if good:
+                out.append((at, end))
+            at = begin.find(1, end)
+        return out

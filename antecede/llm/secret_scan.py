@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import astuple, dataclass
 
@@ -10,13 +9,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from antecede.llm.automaton import Automaton, compile_rules
+from antecede.llm.automaton import Automaton, Spans, compile_rules
 from antecede.llm.textbytes import slices
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern`` finds spans, leftmost and not overlapping; those that ``full`` matches count.
+    """``pattern`` finds spans, leftmost, longest and not overlapping; those that ``full`` matches count.
 
     ``probe`` is what the automaton looks for: every span that counts has to hold a match of it. It leaves
     out lengths where they would multiply the states of the combined automaton.
@@ -44,7 +43,8 @@ MORE = (
 def hit_pieces(auto: Automaton, buf: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(start, end, rules) of the pieces between breaks in which some rule's match ends; one pass over the bytes.
 
-    Pieces begin in the start state, so all of them advance together, a byte at a time, longest first.
+    Pieces begin in the start state, so all of them advance together, a byte at a time, longest first. Where only a few long ones are
+    left, each goes on alone from its state, as a step of an array costs as much as some hundred plain ones.
     """
     cut = np.zeros(len(buf) + 1, bool)
     cut[:-1] = auto.breaks[buf]
@@ -64,39 +64,50 @@ def hit_pieces(auto: Automaton, buf: np.ndarray, offsets: np.ndarray) -> Iterato
     flat, width = auto.step.reshape(-1), auto.step.shape[1]
     state = np.zeros(len(size), np.int32)
     found = np.zeros(len(size), np.int64)
-    for i, n in enumerate(live):
+    together = int(np.searchsorted(-live, -FEW, "right"))
+    for i, n in enumerate(live[:together]):
         now = flat[state[:n] * width + codes[begins[:n] + i]]
         state[:n] = now
         found[:n] |= auto.accepts[now]
+    if together < len(live):
+        step, accepts = auto.step[:, auto.classes].tolist(), auto.accepts.tolist()
+        for k in range(int(live[together])):
+            at, hit = int(state[k]), int(found[k])
+            for byte in buf[begins[k] + together:ends[k]].tobytes():
+                at = step[at][byte]
+                hit |= accepts[at]
+            found[k] = hit
     for k in np.flatnonzero(found):
         yield int(begins[k]), int(ends[k]), int(found[k])
 
 
 #: No rule matches fewer bytes.
 MIN_PIECE = 8
+#: With fewer pieces than this, each is stepped alone.
+FEW = 256
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, spans array<struct<kind, start, end>>) per row; code points, end exclusive, by start, then rule order.
 
-    NULL and empty texts have no spans. Repeated rows get equal answers, NULL ids are carried along,
-    other columns are ignored. The automaton says which pieces hold a match of which rules; the rule
-    itself then gives the exact spans of such a piece. No match crosses a piece, so that is the answer
-    of the rule over the whole text.
+    NULL and empty texts have no spans. Repeated rows get equal answers, NULL ids are carried along, an empty table gives an
+    empty one, other columns are ignored. One pass of the combined automaton says which pieces hold a match of which rules; the
+    transition arrays of the rule (:class:`Spans`) then give the spans of such a piece. No match crosses a piece, so that is the
+    answer over the whole text. Time grows with the bytes of a text, however long it is and whether or not anything breaks it.
     """
     shared = docs.sparkSession.sparkContext.broadcast(astuple(compile_rules([r.probe for r in rules], [r.pattern for r in rules])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = Automaton(*shared.value)
-        exact = [(re.compile(r.pattern.encode()), re.compile(r.full.encode())) for r in rules]
+        exact = [Spans(r.pattern, r.full) for r in rules]
         for rows, buf, offsets in slices(batches):
             spans: list[list[tuple[int, int, int]]] = [[] for _ in range(rows.num_rows)]
             for begin, end, hit in hit_pieces(auto, buf, offsets):
                 piece = buf[begin:end].tobytes()
                 row = int(np.searchsorted(offsets, begin, "right")) - 1
-                for k, (pattern, full) in enumerate(exact):
+                for k, rule in enumerate(exact):
                     if hit >> k & 1:
-                        spans[row] += [(begin + m.start(), k, begin + m.end()) for m in pattern.finditer(piece) if full.fullmatch(m[0])]
+                        spans[row] += [(begin + a, k, begin + b) for a, b in rule.find(piece)]
             if any(spans):
                 point = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
             out = [[{"kind": rules[k].kind, "start": int(point[a] - point[offsets[i]]), "end": int(point[b] - point[offsets[i]])}

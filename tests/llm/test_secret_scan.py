@@ -1,10 +1,12 @@
 import random
 import re
+import time
 
+import numpy as np
 import pytest
 
-from antecede.llm.automaton import compile_rules
-from antecede.llm.secret_scan import BASE, MORE, joined, scan
+from antecede.llm.automaton import Spans, compile_rules
+from antecede.llm.secret_scan import BASE, MORE, hit_pieces, joined, scan
 
 PARTS = ["password", "Token", "API_KEY", "apikey", "secret", '"', "'", " ", "  ", ":", "=", "abcdef0123456789", "AKIA", "AKIAABCDEFGHIJ12", "0" * 31, "f" * 33, "x", "é",
          "\n", "Zz9+/", "passwd", "ghp_" + "a" * 36, "ghp_abc", "-----BEGIN RSA PRIVATE KEY-----", ".", "_", "longvalue123", "😀"]
@@ -44,9 +46,30 @@ def test_automaton_is_minimal():
     assert len(compile_rules(["abc|xbc"]).accepts) == 4
     with pytest.raises(ValueError):
         compile_rules(["a(?=b)"])
+    with pytest.raises(ValueError):
+        Spans("a*", "a")
 
 
 @pytest.mark.parametrize("header", ["-----BEGIN PRIVATE KEY-----", "-----BEGIN EC PRIVATE KEY-----", "-----BEGIN ENCRYPTED PRIVATE KEY-----"])
 def test_private_key_headers(frame, header):
     got = scan(frame([(1, f"é {header}\nMIIE"), (2, "-----BEGIN PUBLIC KEY-----")]), MORE).select("id", joined("spans").alias("spans")).collect()
     assert {r.id: r.spans for r in got} == {1: f"pem:2:{2 + len(header)}", 2: ""}
+
+
+def test_spans_are_those_of_the_rules():
+    rng = random.Random(11)
+    finders = [Spans(r.pattern, r.full) for r in BASE + MORE]
+    for _ in range(300):
+        piece = "".join(rng.choices([p for p in PARTS if p.isascii()], k=rng.randint(0, 25)))
+        for rule, finder in zip(BASE + MORE, finders):
+            assert finder.find(piece.encode()) == [m.span() for m in re.finditer(rule.pattern, piece) if re.fullmatch(rule.full, m[0])]
+
+
+def test_long_unbroken_text_takes_linear_time():
+    auto = compile_rules([r.probe for r in BASE + MORE], [r.pattern for r in BASE + MORE])
+    text = (b"token value " * 900_000)[:10_000_000] + b" token=abcdefgh12"
+    began = time.perf_counter()
+    pieces = list(hit_pieces(auto, np.frombuffer(text, np.uint8), np.array([0, len(text)])))
+    spans = [Spans(BASE[0].pattern, BASE[0].full).find(text[a:b]) for a, b, _ in pieces]
+    assert pieces == [(0, len(text), 1)] and spans == [[(len(text) - 16, len(text))]]
+    assert time.perf_counter() - began < 10
