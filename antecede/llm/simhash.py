@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import fsum
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,11 @@ from antecede.llm.graph import components
 from antecede.llm.store import stored
 from antecede.llm.textbytes import LOWER, single_spaced, slices, sums, words, xxh64
 
-#: The 32 segments are pairs of bits; the axes of the grid are these runs of segments.
-AXES = (6, 6, 5, 5, 5, 5)
+#: The segments are pairs of bits; the axes of the grid are runs of them, at least and at most so many.
+SEGMENTS = 32
+AXES_LEAST, AXES_MOST = 6, 16
+#: Chance that two random pairs of bits have equal counts.
+EQUAL_COUNT = 3 / 8
 #: A cell with more fingerprints is compared in blocks of about this size, each pair of blocks in its own row.
 BLOCK = 1024
 
@@ -59,34 +63,77 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     return narrow.mapInArrow(run, f"id {kind}, fp bigint")
 
 
+_LOW = 0x5555555555555555
+
+
 def popcounts(fp: Column) -> Column:
-    """The 32 counts of set bits of the pairs of bits, two bits each, in one long."""
-    low = fp.bitwiseAND(F.lit(0x5555555555555555))
-    high = F.shiftrightunsigned(fp, 1).bitwiseAND(F.lit(0x5555555555555555))
-    return low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
+    """The 32 counts of set bits of the pairs of bits, two bits each, as 00, 01 or 11.
+
+    Written this way, counts that differ by d differ in d bits: the Manhattan distance of two embedded fingerprints is the number of
+    differing bits of these longs. It is never more than that of the fingerprints themselves.
+    """
+    next_bit = F.shiftrightunsigned(fp, 1)
+    return fp.bitwiseOR(next_bit).bitwiseAND(F.lit(_LOW)).bitwiseOR(F.shiftleft(fp.bitwiseAND(next_bit).bitwiseAND(F.lit(_LOW)), 1))
+
+
+def embedded(fps: np.ndarray) -> np.ndarray:
+    """:func:`popcounts` of an array of unsigned fingerprints."""
+    low, one = np.uint64(_LOW), np.uint64(1)
+    return ((fps | fps >> one) & low) | ((fps & fps >> one & low) << one)
+
+
+def within(fps: np.ndarray, points: np.ndarray, a, b, bound: int) -> np.ndarray:
+    """Whether the fingerprints at ``a`` and ``b`` lie within ``bound`` bits: exactly, where the Manhattan distance of their points allows it."""
+    near = np.asarray(np.bitwise_count(points[a] ^ points[b]) <= bound)
+    left, right = (np.broadcast_to(x, near.shape)[near] for x in (a, b))
+    near[near] = np.bitwise_count(fps[left] ^ fps[right]) <= bound
+    return near
+
+
+def axes_of(n: int) -> list[int]:
+    """Segments on each of ``n`` axes."""
+    return [SEGMENTS // n + (k < SEGMENTS % n) for k in range(n)]
+
+
+def random_pairs(axes: int, bound: int) -> float:
+    """Cells that two random fingerprints share on average."""
+    return fsum(EQUAL_COUNT ** sum(c) for c in combinations(axes_of(axes), axes - bound))
+
+
+def axes_for(count: int, bound: int) -> int:
+    """Number of axes with the fewest cells and expected candidates per fingerprint, of ``count`` random ones.
+
+    More axes of which more must agree make more but far smaller cells. No link is lost with any number. Cells and candidates per
+    fingerprint together grow from 20 (100,000) over 22 (a million), 38 (10 million) and 64 (100 million) to 129 (1,000 million).
+    """
+    def cost(m: int) -> float:
+        return len(grid_masks(bound, m)) + count / 2 * random_pairs(m, bound)
+
+    return min(range(max(AXES_LEAST, bound + 1), max(AXES_MOST, bound + 1) + 1), key=cost)
 
 
-def grid_masks(bound: int) -> list[int]:
+def grid_masks(bound: int, axes: int = AXES_LEAST) -> list[int]:
     """Bits of the counts that make a cell, for every choice of axes.
 
     Manhattan distance adds up over the axes, so counts within ``bound`` differ on at most ``bound`` of
     them and share the cell of at least one choice of the others.
     """
-    axes, at = [], 0
-    for n in AXES:
-        axes.append(((1 << (2 * n)) - 1) << at)
+    bits, at = [], 0
+    for n in axes_of(axes):
+        bits.append(((1 << (2 * n)) - 1) << at)
         at += 2 * n
-    masks = [sum(c) for c in combinations(axes, len(AXES) - bound)]
+    masks = [sum(c) for c in combinations(bits, axes - bound)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def near_links(fps: DataFrame, bound: int = 3) -> DataFrame:
+def near_links(fps: DataFrame, bound: int = 3, axes: int = AXES_LEAST) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints within ``bound`` bits of each other.
 
+    Candidates share a cell of the grid over their counts; of these, pairs within ``bound`` by Manhattan distance are verified.
     Within a block of a cell only a spanning star of each connected set is returned, so no group of
     n copies makes n² rows. Cells of any size are covered: large ones by all pairs of their blocks.
     """
-    cells = fps.select("fp", F.posexplode(F.array(*[popcounts(F.col("fp")).bitwiseAND(F.lit(m)) for m in grid_masks(bound)])).alias("axis", "cell"))
+    cells = fps.select("fp", F.posexplode(F.array(*[popcounts(F.col("fp")).bitwiseAND(F.lit(m)) for m in grid_masks(bound, axes)])).alias("axis", "cell"))
     sizes = cells.groupBy("axis", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     placed = cells.join(sizes, ["axis", "cell"]).withColumn("parts", parts).withColumn(
@@ -100,16 +147,17 @@ def near_links(fps: DataFrame, bound: int = 3) -> DataFrame:
             lists = batch.column(0)
             values = lists.values.to_numpy().view(np.uint64)
             edges = lists.offsets.to_numpy()
+            points = embedded(values)
             left, right = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
             sizes = np.diff(edges)
             two = edges[:-1][sizes == 2]
-            a, b = values[two], values[two + 1]
-            near = np.bitwise_count(a ^ b) <= bound
-            left.append(a[near])
-            right.append(b[near])
+            two = two[within(values, points, two, two + 1, bound)]
+            left.append(values[two])
+            right.append(values[two + 1])
             for k in np.flatnonzero(sizes > 2):
-                own = values[edges[k]:edges[k + 1]]
-                near = np.bitwise_count(own[:, None] ^ own[None, :]) <= bound
+                at = np.arange(edges[k], edges[k + 1])
+                own = values[at]
+                near = within(values, points, at[:, None], at[None, :], bound)
                 root = near.argmax(1)
                 while True:
                     low = np.where(near, root[None, :], len(own)).min(1)
@@ -130,7 +178,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     where rows of unlike texts share an id."""
     fps = stored(fingerprints(docs, id_col, text, width), "fingerprints")
     smallest = stored(fps.groupBy("fp").agg(F.min("id").alias("low")), "fingerprints")
-    roots = components(near_links(smallest.select("fp"), bound)).withColumnsRenamed({"node": "fp"})
+    roots = components(near_links(smallest.select("fp"), bound, axes_for(smallest.count(), bound))).withColumnsRenamed({"node": "fp"})
     joined = smallest.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     low = joined.groupBy("root").agg(F.min("low").alias("component"))
     label = joined.join(low, "root").select("fp", "component", "root")

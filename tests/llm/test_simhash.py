@@ -1,11 +1,14 @@
 import random
 import re
 
+import numpy as np
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from antecede.llm import simhash
 from antecede.llm.graph import components
-from antecede.llm.simhash import grid_masks, near_components, near_links
+from antecede.llm.simhash import axes_for, embedded, grid_masks, near_components, near_links, popcounts, random_pairs, within
 
 
 def fingerprint(text):
@@ -89,3 +92,47 @@ def test_one_of_each_decides_rows_by_their_own_text(spark):
     assert kept([(4, a, 1), (4, b, 1), (6, b.upper(), 1), (None, a, 7), (None, a, 8)]) == sorted([(4, a, 1), (4, b, 1), (None, a, 7), (None, a, 8)], key=str)
     assert kept([(3, a, 1)] * 5 + [(3, None, 2), (8, "", 2)]) == sorted([(3, a, 1), (3, None, 2)], key=str)
     assert kept([]) == []
+
+
+def test_manhattan_distance_of_the_embedding_is_a_lower_bound(spark):
+    rng = random.Random(8)
+    fps = [rng.getrandbits(64) for _ in range(200)]
+    fps += [f ^ sum(1 << k for k in rng.sample(range(64), rng.randint(1, 6))) for f in fps]
+    arr = np.array(fps, np.uint64)
+    points = embedded(arr)
+    jvm = spark.createDataFrame([(signed(f),) for f in fps], "fp bigint").select(popcounts(F.col("fp")).alias("p")).collect()
+    assert [r.p for r in jvm] == points.view(np.int64).tolist()
+
+    def counts(f):
+        return [(f >> 2 * k & 3).bit_count() for k in range(32)]
+
+    for i, j in [(i, i + 200) for i in range(200)] + [(rng.randrange(400), rng.randrange(400)) for _ in range(500)]:
+        manhattan = sum(abs(a - b) for a, b in zip(counts(fps[i]), counts(fps[j])))
+        exact = (fps[i] ^ fps[j]).bit_count()
+        assert int(points[i] ^ points[j]).bit_count() == manhattan <= exact
+        assert bool(within(arr, points, np.array([i]), np.array([j]), 3)[0]) == (exact <= 3)
+
+
+@pytest.mark.parametrize("axes", [6, 8, 11, 16])
+def test_any_number_of_axes_finds_all_links(spark, axes):
+    rng = random.Random(axes)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    fps = sorted({b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 4))) for b in base for _ in range(6)})
+    links = near_links(spark.createDataFrame([(signed(f),) for f in fps], "fp bigint"), 3, axes).collect()
+    want = roots(map(signed, fps), [(signed(a), signed(b)) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 3])
+    assert roots(map(signed, fps), [(r.a, r.b) for r in links]) == want
+
+
+def test_candidates_grow_slowly_with_the_number_of_fingerprints():
+    before = 0
+    for count in [10 ** k for k in range(4, 10)]:
+        m = axes_for(count, 3)
+        assert m >= before
+        before = m
+        assert count / 2 * random_pairs(m, 3) + len(grid_masks(3, m)) <= 5 * np.log2(count)
+    fps = np.random.default_rng(2).integers(0, 2 ** 63, 20_000, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    met = 0
+    for mask in grid_masks(3, 6):
+        cells = np.unique(embedded(fps) & np.uint64(mask % 2 ** 64), return_counts=True)[1]
+        met += int((cells * (cells - 1) // 2).sum())
+    assert 0.5 < met / (20_000 ** 2 / 2 * random_pairs(6, 3)) < 2
