@@ -49,6 +49,8 @@ def unescape(text: Column) -> Column:
 
     An unknown name, a number beyond the character set and a lone ampersand stay as they are.
     """
+    # a map is searched from its first entry, so the references of XML, which are nearly all there are, have one of their own
+    xml = F.create_map(*[F.lit(x) for n in ("quot;", "amp;", "lt;", "gt;", "apos;") for x in (n, html5[n])])
     named = F.from_json(F.lit(json.dumps({n: c for n, c in html5.items() if n.endswith(";")})), "map<string,string>")
     pieces = F.regexp_extract_all(text, F.lit(r"(?s)(&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|&[A-Za-z][A-Za-z0-9]*;|[^&]+|&)"), F.lit(1))
 
@@ -58,8 +60,9 @@ def unescape(text: Column) -> Column:
         code = F.conv(hexed, 16, 10).cast("long")
         valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
         number = F.when(valid, F.decode(F.unhex(F.lpad(hexed, 8, "0")), "UTF-32"))
-        return F.when(piece.startswith("&#"), F.coalesce(number, piece)).when(
-            piece.startswith("&"), F.coalesce(F.try_element_at(named, F.substring(piece, 2, 1 << 20)), piece)).otherwise(piece)
+        name = F.substring(piece, 2, 1 << 20)
+        return F.when(~piece.startswith("&") | (piece == "&"), piece).when(piece.startswith("&#"), F.coalesce(number, piece)).otherwise(
+            F.coalesce(F.try_element_at(xml, name), F.try_element_at(named, name), piece))
 
     return F.when(text.contains("&"), F.array_join(F.transform(pieces, decode), "")).otherwise(text)
 
@@ -120,17 +123,20 @@ def set_totals(score: Column) -> dict[str, Column]:
 
 
 def verify_results(candidates: DataFrame, pages: DataFrame, fmt: PageFormat) -> DataFrame:
-    """Join fixtures to their page and confirm pair, date, score, number and winner, or say what failed."""
-    rows = lookup(candidates.where("url IS NOT NULL").drop("reason"), pages, ["url"], ["html"])
-    html = F.coalesce("html", F.lit(""))
-    rows = rows.withColumn("__events", embedded_events(html, fmt)).withColumn("__e", F.get("__events", F.lit(0)))
-    states = F.regexp_extract_all(html, F.lit(fmt.team_row), F.lit(1))
-    players = F.regexp_extract_all(html, F.lit(fmt.team_row), F.lit(2))
+    """Join fixtures to their page and confirm pair, date, score, number and winner, or say what failed.
+
+    A page is read where it lies: only its events and flagged winners meet the fixtures, never its text.
+    """
+    states = F.regexp_extract_all("html", F.lit(fmt.team_row), F.lit(1))
+    players = F.regexp_extract_all("html", F.lit(fmt.team_row), F.lit(2))
     flagged = F.filter(F.arrays_zip(states.alias("s"), players.alias("p")), lambda x: x["s"].contains("is-winner"))
+    read = pages.select("url", embedded_events(F.col("html"), fmt).alias("__events"),
+                        F.array_distinct(F.transform(flagged, lambda x: x["p"])).alias("__winners"))
+    rows = lookup(candidates.where("url IS NOT NULL").drop("reason"), read, ["url"], ["__events", "__winners"])
+    rows = rows.withColumn("__e", F.get("__events", F.lit(0)))
     rows = rows.withColumns({
         "__ids": F.transform("__e.competitor", lambda c: F.regexp_extract(F.coalesce(c["@id"], F.lit("")), fmt.person_id, 1)),
         "__names": F.transform("__e.competitor", lambda c: name_key(c["name"])),
-        "__winners": F.array_distinct(F.transform(flagged, lambda x: x["p"])),
         "score": _property("Final Score"), "match_number": _property("Match Number"), "round": _property("Round")})
     rows = rows.withColumns(set_totals(F.col("score")))
     pair = F.array_sort(F.array(name_key("home"), name_key("away")))
