@@ -155,11 +155,17 @@ def injuries(spark, sf):
         "ts AS captured_at")
 
 
-def fact(spark, sf):
+def fact(spark, sf, columns=None):
     base = panel_named(spark, sf)
     return report.fact_report(
         predictions(spark, sf, base), players(spark, sf), props(spark), matches(spark, sf), odds(spark, sf),
-        features(spark, sf, base), injuries(spark, sf), outcomes=OUTCOMES, as_of=AS_OF)
+        features(spark, sf, base), injuries(spark, sf), outcomes=OUTCOMES, as_of=AS_OF, columns=columns)
+
+
+#: Columns of the report that a page needs; sides that bring none of them are not joined.
+OVERVIEW = ["prediction_id", "match_id", "player_id", "prop_type", "book", "normalized_edge", "rolling_average", "predictiontimestamp", "data_mode"]
+MATCH_DAY = ["matchup", "event_date", "tournament", "surface", "data_mode"]
+VERSIONS = ["modelversion", "sport", "prop_type", "prop_label", "prediction_id", "predictiontimestamp", "data_mode"]
 
 
 @query("fact_report", f"WITH {R_SQL} SELECT {SHOWN} FROM fact")
@@ -201,20 +207,20 @@ def predictions_page(spark, sf):
   count(DISTINCT (match_id, player_id, prop_type)) FILTER (rolling_average IS NOT NULL) AS feature_rows,
   max(predictiontimestamp) AS latest_prediction_timestamp FROM fact WHERE data_mode = 'real'""")
 def overview_kpis(spark, sf):
-    return report.overview(report.only(fact(spark, sf), "real"))
+    return report.overview(report.only(fact(spark, sf, OVERVIEW), "real"))
 
 
 @query("matches_on_day", f"""WITH {R_SQL} SELECT DISTINCT matchup, event_date, tournament, surface FROM fact
 WHERE event_date = DATE '{AS_OF}' AND data_mode = 'real'""")
 def matches_on_day(spark, sf):
-    return report.matches_on(report.only(fact(spark, sf), "real"), AS_OF)
+    return report.matches_on(report.only(fact(spark, sf, MATCH_DAY), "real"), AS_OF)
 
 
 @query("model_versions", f"""WITH {R_SQL} SELECT modelversion, sport, prop_type, prop_label,
   count(DISTINCT prediction_id) AS prediction_count, min(predictiontimestamp) AS first_seen,
   max(predictiontimestamp) AS last_seen FROM fact WHERE data_mode = 'real' GROUP BY ALL""")
 def model_versions(spark, sf):
-    return report.model_versions(report.only(fact(spark, sf), "real"))
+    return report.model_versions(report.only(fact(spark, sf, VERSIONS), "real"))
 
 
 @query("player_trend", f"""WITH {R_SQL},
@@ -311,7 +317,7 @@ def version_census(spark, sf):
 
 @query("picker_values", f"""WITH {R_SQL} SELECT DISTINCT modelversion, prop_type, data_mode FROM fact""")
 def picker_values(spark, sf):
-    return fact(spark, sf).select("modelversion", "prop_type", "data_mode").distinct()
+    return fact(spark, sf, ["modelversion", "prop_type", "data_mode"]).distinct()
 
 
 @query("key_relabel", """SELECT CASE lower(o_orderpriority) WHEN '1-urgent' THEN 'aces' WHEN '2-high' THEN 'games_won'

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from antecede.functions.text import model_family, title_label, version_stem
 from antecede.operators.latest import latest_by
 from antecede.operators.skew import checked_broadcast, lookup
+from antecede.session import ensure_checkpoint_dir
 
 REAL, DEMO = "real", "demo"
 
@@ -47,35 +48,54 @@ def latest_injuries(injuries: DataFrame) -> DataFrame:
     return latest_by(injuries, ["player_id", "event_date"], F.struct("captured_at", "injury_id"), ["status"])
 
 
+#: Columns that only one optional side of the report brings.
+OPPONENT_COLUMNS = ("opponent", "matchup")
+STATUS_COLUMNS = ("status",)
+FEATURE_COLUMNS = ("feature_version", "rolling_average")
+LINE_COLUMNS = ("provider", "provider_event_id", "book", "line", "over_price", "under_price", "captured_at")
+PRICED_COLUMNS = ("edge", "normalized_edge", "side")
+
+
 def fact_report(predictions: DataFrame, players: DataFrame, props: DataFrame, matches: DataFrame, odds: DataFrame,
-                features: DataFrame, injuries: DataFrame, *, outcomes: Mapping[str, str], as_of: dt.date) -> DataFrame:
+                features: DataFrame, injuries: DataFrame, *, outcomes: Mapping[str, str], as_of: dt.date,
+                columns: Sequence[str] | None = None) -> DataFrame:
     """One row per prediction and matching line; predictions without a line keep one row.
 
-    Inner: player, prop, match. Left: opponent, newest features, lines, newest status. The three big
-    sides share (match_id, player_id); dimension joins are left to the optimizer's size checks.
+    Inner: player, prop, match. Left: opponent, newest features, lines, newest status. Names and status meet the match rows,
+    of which there is one per player and match; then predictions, features and lines, which share (match_id, player_id), are
+    joined on it, the lines last, as they alone multiply rows. With ``columns`` only these are returned, and left sides that
+    bring none of them are not joined: without any column of a line there is one row per prediction.
     """
+    def wanted(names: Sequence[str]) -> bool:
+        return columns is None or any(c in columns for c in names)
+
     stats = sorted(set(outcomes.values()))
-    facts = lookup(predictions, matches, ["match_id", "player_id"],
-                   ["event_date", "tournament", "surface", "opponent_id", *stats], how="inner")
-    facts = lookup(facts, latest_features(features),
-                   {"match_id": "match_id", "player_id": "player_id", "prop_type": "stat_target"},
-                   ["feature_version", "rolling_average"])
-    facts = lookup(facts, odds, ["match_id", "player_id", "prop_type"],
-                   ["provider", "provider_event_id", "book", "line", "over_price", "under_price", "captured_at"])
-    facts = lookup(facts, latest_injuries(injuries), ["player_id", "event_date"], ["status"])
-    facts = lookup(facts, players, ["player_id"], {"player": "full_name", "tour": "tour"}, how="inner")
-    facts = lookup(facts, players, {"opponent_id": "player_id"}, {"opponent": "full_name"})
+    rows = matches.select("match_id", "player_id", "event_date", "tournament", "surface", "opponent_id", *stats)
+    rows = lookup(rows, players, ["player_id"], {"player": "full_name", "tour": "tour"}, how="inner")
+    brought = ["event_date", "tournament", "surface", "player", "tour", *stats]
+    if wanted(OPPONENT_COLUMNS):
+        rows = lookup(rows, players, {"opponent_id": "player_id"}, {"opponent": "full_name"})
+        brought.append("opponent")
+    if wanted(STATUS_COLUMNS):
+        rows = lookup(rows, latest_injuries(injuries), ["player_id", "event_date"], ["status"])
+        brought.append("status")
     # a handful of keys: without the checked broadcast all facts would shuffle onto them
-    facts = lookup(facts, checked_broadcast(props), {"prop_type": "prop_key"}, {"__label": "display_label"}, how="inner")
+    facts = lookup(predictions, checked_broadcast(props), {"prop_type": "prop_key"}, {"__label": "display_label"}, how="inner")
+    facts = lookup(facts, rows, ["match_id", "player_id"], brought, how="inner")
+    if wanted(FEATURE_COLUMNS):
+        facts = lookup(facts, latest_features(features),
+                       {"match_id": "match_id", "player_id": "player_id", "prop_type": "stat_target"}, FEATURE_COLUMNS)
+    if wanted(LINE_COLUMNS + PRICED_COLUMNS):
+        facts = lookup(facts, odds, ["match_id", "player_id", "prop_type"], LINE_COLUMNS).withColumns(edge_columns())
+    if "opponent" in facts.columns:
+        facts = facts.withColumn("matchup", F.concat(F.col("player"), F.lit(" vs "), F.coalesce("opponent", F.lit("TBD"))))
     facts = facts.withColumns({
-        **edge_columns(),
         "prop_label": F.coalesce("__label", title_label("prop_type")),
-        "matchup": F.concat(F.col("player"), F.lit(" vs "), F.coalesce("opponent", F.lit("TBD"))),
         "actual_value": known_outcome("prop_type", outcomes, "event_date", as_of),
         "is_demo": is_demo(), "data_mode": F.when(is_demo(), DEMO).otherwise(REAL)})
     facts = facts.withColumns({"prediction_error": F.col("actual_value") - F.col("prediction"),
                                "signed_error": F.col("prediction") - F.col("actual_value")})
-    return facts.drop("__label", "opponent_id", *stats)
+    return facts.drop("__label", *stats) if columns is None else facts.select(*columns)
 
 
 # --- filters ----------------------------------------------------------------------------------------
@@ -100,10 +120,16 @@ def search(df: DataFrame, term: str, columns: Sequence[str]) -> DataFrame:
 # --- queries ----------------------------------------------------------------------------------------
 
 def overview(fact: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Headline counts. Each distinct count is the row count of a coarser group, so rows are never multiplied."""
-    pred = fact.groupBy("prediction_id", "match_id", "player_id", "prop_type").agg(
+    """Headline counts. Each distinct count is the row count of a coarser group, so rows are never multiplied.
+
+    The report is read once, down to a row per prediction and book, which is stored; both kinds of groups start from there.
+    """
+    ensure_checkpoint_dir(fact.sparkSession)
+    market_keys = ["match_id", "player_id", "prop_type"]
+    stored = fact.groupBy(*market_keys, "prediction_id", "book").agg(
         F.max(F.abs("normalized_edge")).alias("edge"), F.max("rolling_average").alias("ra"),
-        F.max("predictiontimestamp").alias("ts"))
+        F.max("predictiontimestamp").alias("ts")).checkpoint()
+    pred = stored.groupBy("prediction_id", *market_keys).agg(F.max("edge").alias("edge"), F.max("ra").alias("ra"), F.max("ts").alias("ts"))
     market = pred.groupBy("match_id", "player_id", "prop_type").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("edge") >= threshold).alias("e"), F.max("ra").alias("ra"),
         F.max("ts").alias("ts"))
@@ -116,7 +142,7 @@ def overview(fact: DataFrame, threshold: float = 0.5) -> DataFrame:
         F.coalesce(F.sum("n"), zero).alias("predictions_generated"),
         F.coalesce(F.sum("e"), zero).alias("value_edges_found"), F.count(F.lit(1)).alias("match_rows"),
         F.coalesce(F.sum("f"), zero).alias("feature_rows"), F.max("ts").alias("latest_prediction_timestamp"))
-    lines = fact.select("match_id", "player_id", "book", "prop_type").distinct().agg(F.count(F.lit(1)).alias("market_rows"))
+    lines = stored.select(*market_keys, "book").distinct().agg(F.count(F.lit(1)).alias("market_rows"))
     return counts.crossJoin(F.broadcast(lines))  # one row each
 
 

@@ -105,3 +105,16 @@ def test_rules_and_references(spark):
 def test_latest_run(spark):
     df = spark.createDataFrame([(1, T0), (2, T1), (3, T1)], "id int, run_timestamp timestamp_ntz")
     assert sorted(r.id for r in latest_run(df).collect()) == [2, 3]
+
+
+def test_only_the_sides_asked_for_are_joined(spark, fact):
+    def part(*columns):
+        return report.fact_report(*tables(spark), outcomes=OUT, as_of=D(2026, 6, 1), columns=columns)
+
+    plain = part("prediction_id", "modelversion", "actual_value", "data_mode")
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, fact.select(plain.columns).distinct().collect()))
+    text = plain._jdf.queryExecution().optimizedPlan().toString()
+    assert "status" not in text and "rolling_average" not in text and "captured_at" not in text and "opponent" not in text
+    for columns in (("prediction_id", "matchup", "status"), ("prediction_id", "book", "edge"), ("prediction_id", "rolling_average", "is_demo")):
+        assert set(map(tuple, part(*columns).collect())) == set(map(tuple, fact.select(*columns).collect()))
+    assert part("prediction_id", "side").count() == fact.count() and plain.count() == 4
