@@ -1,15 +1,17 @@
 """Boosted quantile trees: many models (folds x quantiles) grow side by side, one pass over the rows per tree level.
 
-Rows stay where they are. A task sums its rows' gradients per model, node, feature and bin with numpy; only these
-histograms are shuffled, and a reducer adds them up as a stream and answers with the best split of one feature. The driver
-sees splits and leaf values, never rows or histograms.
+Rows stay where they are, in blocks of columns. A task sums its rows' gradients per model, node, feature and bin with numpy;
+only these histograms are shuffled, and a reducer adds them up as a stream and answers with the best split of one feature. The
+driver sees splits and leaf values, never rows or histograms. A row's score is brought up to date once per tree and kept by
+the executors, so a pass costs the same whatever the number of trees before it.
 """
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +25,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Cells of one leaf's residuals, even in asinh(residual / unit), unit being this share of the target's middle range.
 CELLS, UNIT = 2048, 1e-3
-#: Trees a pass applies before the rows' scores are written down again.
+#: Trees after which the rows' state is written to the checkpoint folder; between, each tree's state is kept by the executors.
 KEEP_SCORES = 25
+#: Rows of one model that stand side by side in a block, and rows of a partition where there are more partitions than the cores need.
+BLOCK, PARTITION = 32_768, 2_000_000
 #: Levels a category may have.
 MOST_LEVELS = 2000
 
@@ -45,6 +49,10 @@ class BoostSettings:
     column_share: float = 0.8
     seed: int = 20250917
 
+    def __post_init__(self) -> None:
+        if self.depth > 6:
+            raise ValueError("trees have at most six levels")  # a row's turns are the bits of one number
+
     @property
     def features(self) -> list[str]:
         return [*self.numeric, *self.categorical]
@@ -77,18 +85,37 @@ class Tree:
         return cls(np.full(n, -1), [None] * n, np.zeros(n), np.zeros((n, 2), np.int64))
 
     def leaves(self, bins: np.ndarray, depth: int) -> np.ndarray:
-        """Node of every row, counted within level ``depth``."""
-        at = np.zeros(len(bins), np.int64)
-        for level in range(depth):
-            first = (1 << level) - 1
-            right = np.zeros(len(bins), bool)
-            for node in range(1 << level):
-                k = first + node
-                if self.feature[k] >= 0:
-                    mine = np.flatnonzero(at == node)
-                    right[mine] = ~self.left[k][bins[mine, self.feature[k]]]
-            at = 2 * at + right
-        return at
+        """Node of every row, counted within level ``depth``; ``bins`` has a line per feature.
+
+        A feature's bin says at once which of its nodes send a row right, so a row costs one look-up per feature.
+        """
+        n = (1 << depth) - 1
+        splits = np.flatnonzero(self.feature[:n] >= 0)
+        if not len(splits):
+            return np.zeros(bins.shape[1], np.int64)
+        turns = 0
+        for f in np.unique(self.feature[splits]):
+            own = splits[self.feature[splits] == f]
+            table = np.zeros(len(self.left[own[0]]), np.uint64)
+            for k in own:
+                table |= (~self.left[k]).astype(np.uint64) << np.uint64(k)
+            turns = turns | table.astype(np.uint16 if n <= 15 else np.uint64)[bins[f]]
+        if n <= 15:
+            return _ends(depth)[turns]
+        return _walked(turns, depth)
+
+
+def _walked(turns: np.ndarray, depth: int) -> np.ndarray:
+    """Where a row ends up; bit k of ``turns`` says that node k sends it right."""
+    at = np.zeros(len(turns), np.int64)
+    for level in range(depth):
+        at = 2 * at + (turns.astype(np.uint64) >> (at + (1 << level) - 1).astype(np.uint64) & np.uint64(1)).astype(np.int64)
+    return at
+
+
+@lru_cache(maxsize=None)
+def _ends(depth: int) -> np.ndarray:
+    return _walked(np.arange(1 << (1 << depth) - 1), depth)
 
 
 @dataclass
@@ -108,7 +135,7 @@ class Booster:
             self.trees = self.trees[:1 + int(np.argmin(self.losses[1:]))]
 
     def predict(self, bins: np.ndarray, depth: int) -> np.ndarray:
-        return self.start + sum((t.value[t.leaves(bins, depth)] for t in self.trees), np.zeros(len(bins)))
+        return self.start + sum((t.value[t.leaves(bins, depth)] for t in self.trees), np.zeros(bins.shape[1]))
 
 
 @dataclass(frozen=True)
@@ -142,16 +169,17 @@ def learn_bins(core: DataFrame, settings: BoostSettings) -> Bins:
 
 
 def bin_matrix(batch: pa.RecordBatch, model: int, rows: np.ndarray, bins: Bins, settings: BoostSettings) -> np.ndarray:
-    out = np.zeros((len(rows), len(settings.features)), np.uint16)
+    """A line per feature, a column per row."""
+    out = np.zeros((len(settings.features), len(rows)), np.uint16)
     for i, name in enumerate(settings.numeric):
         values = batch.column(name).to_numpy(zero_copy_only=False).astype(float)[rows]
         known = ~np.isnan(values)
-        out[known, i] = 1 + np.searchsorted(bins.cuts[model][i], values[known], "left")
+        out[i, known] = 1 + np.searchsorted(bins.cuts[model][i], values[known], "left")
     for i, name in enumerate(settings.categorical):
         place = {v: k + 1 for k, v in enumerate(bins.levels[model][i])}
         column = batch.column(name).dictionary_encode(null_encoding="encode")
         codes = np.array([place.get(v, 0) for v in column.dictionary.to_pylist()], np.uint16)
-        out[:, len(settings.numeric) + i] = codes[column.indices.to_numpy(zero_copy_only=False)][rows]
+        out[len(settings.numeric) + i] = codes[column.indices.to_numpy(zero_copy_only=False)][rows]
     return out
 
 
@@ -159,24 +187,52 @@ def _typed(df: DataFrame, settings: BoostSettings) -> dict:
     return {**{c: F.col(c).cast("double") for c in settings.numeric}, **{c: F.col(c).cast("string") for c in settings.categorical}}
 
 
-def binned(rows: DataFrame, bins: Bins, settings: BoostSettings) -> DataFrame:
-    """(model, held, y, bins, score): what the passes read."""
-    starts = pa.array([], pa.list_(pa.float64())).type
-    columns = ["model", "held", "y", "bins", "score"]
+STATE = "model int, core int, bins binary, below binary, y binary, now binary"
+STATE_TYPES = pa.schema([("model", pa.int32()), ("core", pa.int32()), *[(c, pa.binary()) for c in ("bins", "below", "y", "now")]])
+
+
+def _block(model: int, core: int, bins: np.ndarray, y: np.ndarray, now: np.ndarray) -> pa.RecordBatch:
+    """One block as a row: core rows first, then the held ones; ``below`` says per quantile which targets lie under the score."""
+    parts = (bins, y < now, y, now)
+    return pa.RecordBatch.from_arrays([pa.array([model], pa.int32()), pa.array([core], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in parts]], schema=STATE_TYPES)
+
+
+def binned(rows: DataFrame, bins: Bins, settings: BoostSettings, starts: dict[int, Sequence[float]]) -> DataFrame:
+    """The state the passes read: blocks of one model's rows with bins, target and the score of every quantile."""
+    kind = _bin_type(bins)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, list[tuple]] = {}
+        waiting: dict[int, int] = {}
+
+        def block(m: int) -> pa.RecordBatch:
+            parts = kept.pop(m)
+            waiting[m] = 0
+            held = np.concatenate([p[1] for p in parts])
+            order = np.argsort(held, kind="stable")
+            y = np.concatenate([p[2] for p in parts])[order]
+            now = np.repeat(np.array(starts[m], float)[:, None], len(y), axis=1)
+            return _block(m, int((~held).sum()), np.concatenate([p[0] for p in parts], axis=1)[:, order], y, now)
+
         for batch in batches:
             model = batch.column("model").to_numpy()
-            for m in np.unique(model):
+            held = batch.column("held").to_numpy(zero_copy_only=False).astype(bool)
+            y = batch.column("y").to_numpy()
+            for m in np.unique(model).tolist():
                 own = np.flatnonzero(model == m)
-                matrix = bin_matrix(batch, int(m), own, bins, settings)
-                take = pa.array(own)
-                score = pa.array([[0.0] * len(settings.quantiles)] * len(own), starts)
-                yield pa.RecordBatch.from_arrays([batch.column("model").take(take), batch.column("held").take(take), batch.column("y").take(take),
-                                                  pa.array([r.tobytes() for r in matrix], pa.binary()), score], columns)
+                kept.setdefault(m, []).append((bin_matrix(batch, m, own, bins, settings).astype(kind), held[own], y[own]))
+                waiting[m] = waiting.get(m, 0) + len(own)
+                if waiting[m] >= BLOCK:
+                    yield block(m)
+        for m in sorted(kept):
+            yield block(m)
 
     narrow = rows.select("model", "held", F.col("target_value").cast("double").alias("y"), *[v.alias(c) for c, v in _typed(rows, settings).items()])
-    return narrow.mapInArrow(run, "model int, held boolean, y double, bins binary, score array<double>")
+    return narrow.mapInArrow(run, STATE)
+
+
+def _bin_type(bins: Bins) -> type:
+    return np.uint8 if max(max(bins.sizes(m)) for m in bins.cuts) <= 256 else np.uint16
 
 
 # --- passes -----------------------------------------------------------------------------------------
@@ -184,34 +240,26 @@ def binned(rows: DataFrame, bins: Bins, settings: BoostSettings) -> DataFrame:
 
 @dataclass(frozen=True)
 class Work:
-    """What one pass does for one booster: the trees that the rows' scores do not hold yet, and the tree that grows."""
+    """What one pass does for one booster: the tree that grows, on the features drawn for it."""
 
     quantile: float
-    start: float
-    trees: list[Tree]
     growing: Tree
     columns: Sequence[int]
 
 
-def _parts(batches: Iterator[pa.RecordBatch], work: dict[tuple[int, int], Work]):
-    """(key, work, bins, y, score, held) of every model and quantile in every batch."""
+def _blocks(batches: Iterator[pa.RecordBatch], work: dict[tuple[int, int], object], features: int, kind: type):
+    """(model, core rows, bins, every other column by name) of every block that has work; an array has a line per feature or quantile."""
     models = {m for m, _ in work}
     for batch in batches:
-        model = batch.column("model").to_numpy()
-        if not batch.num_rows:
-            continue
-        wide = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint16).reshape(batch.num_rows, -1)
-        score = batch.column("score").flatten().to_numpy().reshape(batch.num_rows, -1)
-        y, held = batch.column("y").to_numpy(), batch.column("held").to_numpy(zero_copy_only=False).astype(bool)
-        for m in models & set(model.tolist()):
-            own = np.flatnonzero(model == m)
-            for (model_of, q), w in work.items():
-                if model_of == m:
-                    bins = wide[own]
-                    now = w.start + score[own, q]
-                    for t in w.trees:
-                        now = now + t.value[t.leaves(bins, _depth(t))]
-                    yield (m, q), w, bins, y[own], now, held[own]
+        names = batch.schema.names
+        for row in range(batch.num_rows):
+            m = batch.column("model")[row].as_py()
+            if m not in models:
+                continue
+            data = {c: batch.column(c)[row].as_buffer() for c in names if c not in ("model", "core")}
+            bins = np.frombuffer(data["bins"], kind).reshape(features, -1)
+            more = {c: np.frombuffer(v, bool if c == "below" else float) for c, v in data.items() if c != "bins"}
+            yield m, batch.column("core")[row].as_py(), bins, {c: v if c == "y" else v.reshape(-1, bins.shape[1]) for c, v in more.items()}
 
 
 def _depth(tree: Tree) -> int:
@@ -227,25 +275,37 @@ def _sums(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
                                       ["model", "q", "place", "sums"])
 
 
-def _histograms(work: dict[tuple[int, int], Work], level: int, sizes: dict[int, list[int]]):
-    """Gradient sums and rows by (feature; node, bin); place -1 holds the held rows' loss at the root."""
+def _histograms(work: dict[tuple[int, int], Work], level: int, sizes: dict[int, list[int]], kind: type):
+    """Gradient sums and rows by (feature; node, bin); place -1 holds the held rows' loss at the root.
+
+    A row's gradient is one of two numbers, so rows are counted per side and multiplied once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[int, int, int], np.ndarray] = {}
-        for (m, q), w, bins, y, now, held in _parts(batches, work):
-            if level == 0:
-                gap = y[held] - now[held]
-                loss = np.array([np.maximum(w.quantile * gap, (w.quantile - 1) * gap).sum(), len(gap)])
-                total[m, q, -1] = total.get((m, q, -1), 0) + loss
-            core = ~held
-            node = w.growing.leaves(bins[core], level)
-            g = np.where(y[core] >= now[core], w.quantile, w.quantile - 1)
-            for f in w.columns:
-                n = sizes[m][f]
-                at = node * n + bins[core, f]
-                both = np.stack([np.bincount(at, g, n << level), np.bincount(at, minlength=n << level)])
-                total[m, q, f] = total.get((m, q, f), 0) + both
-        yield _sums([(*k, v.astype(float).tobytes()) for k, v in total.items()])
+        for m, core, bins, more in _blocks(batches, work, len(next(iter(sizes.values()))), kind):
+            wide: dict[int, np.ndarray] = {}
+            for (model_of, q), w in work.items():
+                if model_of != m:
+                    continue
+                if level == 0:
+                    gap = more["y"][core:] - more["now"][q, core:]
+                    loss = np.array([np.maximum(w.quantile * gap, (w.quantile - 1) * gap).sum(), len(gap)])
+                    total[m, q, -1] = total.get((m, q, -1), 0) + loss
+                side = w.growing.leaves(bins[:, :core], level) * 2 + more["below"][q, :core]
+                for f in w.columns:
+                    if f not in wide:
+                        wide[f] = bins[f, :core].astype(np.int64)
+                    n = sizes[m][f]
+                    counts = np.bincount(side * n + wide[f], minlength=n << level + 1).reshape(1 << level, 2, n)
+                    total[m, q, f] = total.get((m, q, f), 0) + counts
+        out = []
+        for (m, q, f), v in total.items():
+            if f >= 0:  # rows at or above their score, rows below it
+                a = work[m, q].quantile
+                v = np.stack([a * v[:, 0] + (a - 1) * v[:, 1], v.sum(axis=1)])
+            out.append((m, q, f, v.astype(float).tobytes()))
+        yield _sums(out)
 
     return run
 
@@ -310,31 +370,32 @@ def _splits(settings: BoostSettings, level: int, sizes: dict[int, list[int]]):
     return run
 
 
-def _residuals(work: dict[tuple[int, int], Work], units: dict[int, float]):
-    """Counts, least and greatest residual per leaf and cell."""
+def _residuals(work: dict[tuple[int, int], Work], units: dict[int, float], features: int, kind: type):
+    """Count, least and greatest residual of every leaf's cells that hold any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[int, int, int], np.ndarray] = {}
-        for (m, q), w, bins, y, now, held in _parts(batches, work):
-            core = ~held
-            depth = _depth(w.growing)
-            leaf, r = w.growing.leaves(bins[core], depth), y[core] - now[core]
-            if not len(r):
-                continue
-            cell = np.clip(np.floor(np.arcsinh(r / units[m]) * (CELLS / 40) + CELLS / 2), 0, CELLS - 1).astype(np.int64)
-            order = np.lexsort((r, cell, leaf))
-            key = leaf[order] * CELLS + cell[order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            last = np.concatenate([first[1:], [len(key)]]) - 1
-            for k in np.unique(leaf):
-                mine = key[first] // CELLS == k
-                new = _no_cells()
-                at = key[first[mine]] % CELLS
-                new[0, at] = last[mine] - first[mine] + 1
-                new[1, at], new[2, at] = r[order[first[mine]]], r[order[last[mine]]]
-                place = (m, q, int(k))
-                total[place] = _merged(total[place], new) if place in total else new
-        yield _sums([(*k, v.tobytes()) for k, v in total.items()])
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for m, core, bins, more in _blocks(batches, work, features, kind):
+            for (model_of, q), w in work.items():
+                if model_of != m or not core:
+                    continue
+                r = more["y"][:core] - more["now"][q, :core]
+                cell = np.clip(np.floor(np.arcsinh(r / units[m]) * (CELLS / 40) + CELLS / 2), 0, CELLS - 1).astype(np.int64)
+                depth = _depth(w.growing)
+                at = w.growing.leaves(bins[:, :core], depth) * CELLS + cell
+                if (m, q) not in total:
+                    total[m, q] = np.concatenate([_no_cells()] * (1 << depth), axis=1)
+                cells = total[m, q]
+                cells[0] += np.bincount(at, minlength=cells.shape[1])
+                np.minimum.at(cells[1], at, r)
+                np.maximum.at(cells[2], at, r)
+        out = []
+        for (m, q), cells in total.items():
+            for leaf, own in enumerate(np.split(cells, cells.shape[1] // CELLS, axis=1)):
+                used = np.flatnonzero(own[0])
+                if len(used):
+                    out.append((m, q, leaf, np.concatenate([used[None].astype(float), own[:, used]]).tobytes()))
+        yield _sums(out)
 
     return run
 
@@ -369,8 +430,10 @@ def _leaf_values(quantiles: Sequence[float]):
         total: dict[tuple[int, int, int], np.ndarray] = {}
         for batch in batches:
             for m, q, leaf, sums in zip(*(c.to_pylist() for c in batch.columns)):
-                new = np.frombuffer(sums, float).reshape(3, CELLS)
-                total[m, q, leaf] = _merged(total[m, q, leaf], new) if (m, q, leaf) in total else new
+                used, *new = np.frombuffer(sums, float).reshape(4, -1)
+                used = used.astype(np.int64)
+                cells = total.setdefault((m, q, leaf), _no_cells())
+                cells[:, used] = _merged(cells[:, used], np.stack(new))
         rows = [(*k, cell_quantile(v, quantiles[k[1]])) for k, v in total.items()]
         a, b, c, d = zip(*rows) if rows else ((), (), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(c, pa.int32()), pa.array(d, pa.float64())],
@@ -379,18 +442,22 @@ def _leaf_values(quantiles: Sequence[float]):
     return run
 
 
-def _rescored(data: DataFrame, work: dict[tuple[int, int], Work]) -> DataFrame:
-    """Rows whose scores hold the trees of ``work`` too."""
+def _advanced(state: DataFrame, trees: dict[tuple[int, int], Tree], features: int, kind: type) -> DataFrame:
+    """The state with the scores that ``trees`` leave."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = batch.column("score").flatten().to_numpy().reshape(batch.num_rows, -1).copy()
-            model = batch.column("model").to_numpy()
-            for (m, q), w, _, _, now, _ in _parts(iter([batch]), work):
-                score[model == m, q] = now - w.start
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(list(score), pa.list_(pa.float64()))], batch.schema.names)
+            for row in range(batch.num_rows):
+                one = batch.slice(row, 1)
+                for m, core, bins, more in _blocks(iter([one]), trees, features, kind):
+                    now = more["now"].copy()
+                    for (model_of, q), t in trees.items():
+                        if model_of == m:
+                            now[q] += t.value[t.leaves(bins, _depth(t))]
+                    one = _block(m, core, bins, more["y"], now)
+                yield one
 
-    return data.mapInArrow(run, data.schema).checkpoint()
+    return state.mapInArrow(run, STATE)
 
 
 # --- growing ----------------------------------------------------------------------------------------
@@ -409,22 +476,28 @@ def fit(rows: DataFrame, settings: BoostSettings) -> Ensemble:
     core = rows.where("NOT held")
     bins = learn_bins(core, settings)
     y = F.col("target_value").cast("double")
-    stats = core.groupBy("model").agg(F.percentile_approx(y, list(settings.quantiles), 10000).alias("starts"),
+    stats = core.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(y, list(settings.quantiles), 10000).alias("starts"),
                                       F.percentile_approx(y, [0.05, 0.95], 10000).alias("middle")).collect()
     starts = {r.model: r.starts for r in stats}
     units = {r.model: max(UNIT * (r.middle[1] - r.middle[0]), 1e-9) for r in stats}
-    data = binned(rows.join(F.broadcast(spark.createDataFrame([(m,) for m in starts], "model int")), "model"), bins, settings).checkpoint()  # one row per model
+    kind, features = _bin_type(bins), len(settings.features)
+    blocks = binned(rows.join(F.broadcast(spark.createDataFrame([(m,) for m in starts], "model int")), "model"), bins, settings, starts)  # one row per model
+    state = blocks.checkpoint()
+    # a pass is a job, so tasks of few rows would cost more than their rows
+    enough = max(2 * spark.sparkContext.defaultParallelism, sum(r.n for r in stats) // PARTITION)
+    if state.rdd.getNumPartitions() > enough:
+        state = state.coalesce(enough)
     sizes = {m: bins.sizes(m) for m in starts}
     boosters = {(m, q): Booster(m, alpha, float(starts[m][q])) for m in sorted(starts) for q, alpha in enumerate(settings.quantiles)}
-    written = dict.fromkeys(boosters, 0)
 
     def work(trees: dict[tuple[int, int], Tree], columns: dict[tuple[int, int], list[int]]) -> dict[tuple[int, int], Work]:
-        return {k: Work(boosters[k].quantile, boosters[k].start, boosters[k].trees[written[k]:], trees[k], columns[k]) for k in trees}
+        return {k: Work(boosters[k].quantile, trees[k], columns[k]) for k in trees}
 
-    def reduced(run, again, schema: str) -> list:
+    def reduced(data: DataFrame, run, again, schema: str) -> list:
         return data.mapInArrow(run, SUMS).repartition("model", "q", "place").mapInArrow(again, schema).collect()
 
     n_columns = max(1, round(settings.column_share * len(settings.features)))
+    kept, past = state.persist(), None
     for number in range(settings.rounds + 1):
         trees = {k: Tree.empty(settings.depth) for k, b in boosters.items() if b.growing}
         if not trees:
@@ -432,8 +505,12 @@ def fit(rows: DataFrame, settings: BoostSettings) -> Ensemble:
         columns = {k: sorted(np.random.default_rng([settings.seed, number, *k]).permutation(len(settings.features))[:n_columns].tolist()) for k in trees}
         for level in range(settings.depth if number < settings.rounds else 1):
             jobs = work(trees, columns)
-            found = reduced(_histograms(jobs, level, sizes), _splits(settings, level, sizes), SPLITS)
+            read = kept if level == 0 else kept.select("model", "core", "bins", "below")
+            found = reduced(read, _histograms(jobs, level, sizes, kind), _splits(settings, level, sizes), SPLITS)
             if level == 0:
+                if past is not None:  # the pass has read it for the last time
+                    past.unpersist()
+                    past = None
                 for r in found:
                     if r.feature < 0:
                         _stop_or_go(boosters[r.model, r.q], r.loss, settings.patience)
@@ -449,15 +526,18 @@ def fit(rows: DataFrame, settings: BoostSettings) -> Ensemble:
         if number == settings.rounds or not trees:
             continue
         values = {k: np.zeros(1 << settings.depth) for k in trees}
-        for r in reduced(_residuals(work(trees, columns), units), _leaf_values(settings.quantiles), VALUES):
+        for r in reduced(kept.select("model", "core", "bins", "y", "now"), _residuals(work(trees, columns), units, features, kind), _leaf_values(settings.quantiles), VALUES):
             values[r.model, r.q][r.leaf] = r.value
         for k, tree in trees.items():
             tree.value = settings.learning_rate * values[k]
             boosters[k].trees.append(tree)
+        state = _advanced(kept, trees, features, kind)
         if (number + 1) % KEEP_SCORES == 0:
-            jobs = {k: replace(w, columns=()) for k, w in work(trees, columns).items()}
-            data = _rescored(data, jobs)
-            written.update({k: len(boosters[k].trees) for k in jobs})
+            state = state.checkpoint()
+        kept, past = state.persist(), kept
+    kept.unpersist()
+    if past is not None:
+        past.unpersist()
     for b in boosters.values():
         b.settle()
     return Ensemble(settings, bins, list(boosters.values()))

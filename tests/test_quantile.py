@@ -152,3 +152,33 @@ def test_best_split_against_all_splits(categorical):
             assert found[0] <= best + 1e-9
         if found:
             assert found[2] == n[found[1]].sum() and found[2] + found[3] == n.sum()
+
+
+@pytest.mark.parametrize("depth", [3, 5])
+def test_leaves_and_histograms_against_walked_rows(depth):
+    """A pass reads a row's state, not the trees before it; a row's leaf comes from one look-up per feature."""
+    rng = np.random.default_rng(3)
+    tree = boost.Tree.empty(depth)
+    for k in range(len(tree.feature)):
+        if rng.random() < 0.8:
+            tree.feature[k], tree.left[k] = rng.integers(0, 3), rng.random(6) < 0.5
+    bins = rng.integers(0, 6, (3, 400)).astype(np.uint8)
+    want = []
+    for row in bins.T:
+        at = 0
+        for level in range(depth):
+            k = (1 << level) - 1 + at
+            at = 2 * at + int(tree.feature[k] >= 0 and not tree.left[k][row[tree.feature[k]]])
+        want.append(at)
+    assert tree.leaves(bins, depth).tolist() == want
+    y, now, core = rng.normal(0, 1, 400), rng.normal(0, 1, (1, 400)), 300
+    block = boost._block(0, core, bins, y, now)
+    work = {(0, 0): boost.Work(0.1, tree, [0, 2])}
+    got, = boost._histograms(work, 2, {0: [6, 6, 6]}, np.uint8)(iter([block]))
+    node = tree.leaves(bins, 2)
+    for place, sums in zip(got.column("place").to_pylist(), got.column("sums").to_pylist()):
+        g, n = np.frombuffer(sums).reshape(2, 4, 6)
+        for a in range(4):
+            for b in range(6):
+                mine = (node[:core] == a) & (bins[place, :core] == b)
+                assert n[a, b] == mine.sum() and g[a, b] == pytest.approx(np.where(y[:core] >= now[0, :core], 0.1, -0.9)[mine].sum())
