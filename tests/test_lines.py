@@ -152,3 +152,23 @@ def test_letters_of_all_planes_and_zones(spark):
         assert rows.select(F.unix_timestamp(text.utc_timestamp("x"))).distinct().count() == 1
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_a_captured_row_is_parsed_once(spark):
+    """Predicates on parsed values must not repeat the parse: each text is normalised by one expression of the plan."""
+    raw = spark.createDataFrame([("1", "1", *[""] * 16)], ["file_name", "row_seq", *ops.RAW_COLUMNS])
+    usable, late, bad = ops.parse_captures(ops.to_raw_layout(raw, keep=["file_name", "row_seq"]), keep=["file_name", "row_seq"])
+    for part in (usable, late, bad):
+        plan = part.select("file_name", "captured_at", "line")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("start_date#") and plan.count("try_cast") + plan.lower().count("cast(") < 12, plan
+
+
+def test_write_tasks_grow_with_the_lines(spark, sf, monkeypatch):
+    from antecede.catalog import streams
+    path, _, grown = streams._written(spark, sf)
+    few = spark.read.option("header", True).csv(path)
+    monkeypatch.setattr(streams, "TASK_ROWS", 500)
+    path, _, more = streams._written(spark, sf)
+    many = spark.read.option("header", True).csv(path)
+    assert grown == 1 and more == 4 and sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+    assert len(many.inputFiles()) > 3 * len(few.inputFiles())
