@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from antecede.operators.order_stats import prior_medians
-from antecede.operators.skew import lookup, split_hot
+from antecede.operators.skew import lookup, split_hot, spread
 
 DAY = "__day"
 EPOCH = "1970-01-01"
@@ -220,13 +220,15 @@ def strict_prior(
     hot_rows: int | None = None,
     hot_by: Sequence[str] | None = None,
     probe: DataFrame | None = None,
+    probe_share: int = 1,
 ) -> DataFrame:
     """Append every output of ``priors`` to ``df``.
 
     ``anchor`` is contained in every key set; the one exchange is on it.  ``order`` breaks ties within
     a date when the last N rows are chosen.  ``rest`` maps an output column to keys and yields the
     days since the previous distinct date.  A NULL date would see its own row, so it is an error.
-    Keys are counted on ``probe`` (default: the frame itself) by ``hot_by`` (default: the anchor).
+    Keys are counted on ``probe`` (default: the frame itself) by ``hot_by`` (default: the anchor); the frame has
+    ``probe_share`` rows per row of the probe.
     """
     rest = dict(rest or {})
     for keys in [p.keys for p in priors] + list(rest.values()):
@@ -244,8 +246,8 @@ def strict_prior(
     hot_by = list(hot_by or anchor)
     if not set(hot_by) <= set(anchor):
         raise ValueError("hot_by must be part of the anchor")
-    cold, hot = split_hot(work, hot_by, hot_rows, probe)
-    result = _windowed(cold.repartition(*anchor), priors, order, eligible, rest)
+    cold, hot, counted = split_hot(work, hot_by, hot_rows, probe)
+    result = _windowed(spread(cold, anchor, counted * probe_share), priors, order, eligible, rest)
     if hot is not None:
         by_day = hot
         for p in priors:
@@ -300,9 +302,12 @@ def career_to_date(df: DataFrame, key: str, date: str, value: str, agg: str = "m
 
 def opponent_value(df: DataFrame, match: str, key: str, opponent: str, columns: Mapping[str, str],
                    extra_keys: Sequence[str] = (), defaults: Mapping[str, object] | None = None) -> DataFrame:
-    """Left self-join: ``columns`` (output -> source) of the opponent's row of the same match."""
+    """Left self-join: ``columns`` (output -> source) of the opponent's row of the same match.
+
+    The other side has as many rows as this one, but few columns: by the size of the files alone it would be broadcast.
+    """
     keys = {match: match, opponent: key, **{c: c for c in extra_keys}}
-    found = lookup(df, df, keys, columns)
+    found = lookup(df, df.hint("merge"), keys, columns)
     return found.fillna(defaults) if defaults else found
 
 

@@ -12,6 +12,8 @@ from antecede.session import (
     BROADCAST_ROWS_DEFAULT,
     HOT_KEY_ROWS,
     HOT_KEY_ROWS_DEFAULT,
+    WINDOW_ROWS,
+    WINDOW_ROWS_DEFAULT,
     setting,
 )
 
@@ -44,30 +46,34 @@ def lookup(
     return joined.select(*left.columns, *columns)
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], rows: int | None = None) -> DataFrame:
-    """Keys owning more than ``rows`` rows. At most total/rows keys exist, so the result is small."""
-    limit = rows or setting(df.sparkSession, HOT_KEY_ROWS, HOT_KEY_ROWS_DEFAULT)
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__rows"))
-        .where(F.col("__rows") > limit)
-        .select(*keys)
-    )
-
-
 def split_hot(
     df: DataFrame, keys: Sequence[str], rows: int | None = None, probe: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of ordinary keys, rows of hot keys or None when no key is hot).
+) -> tuple[DataFrame, DataFrame | None, int]:
+    """(rows of ordinary keys, rows of hot keys or None when no key is hot, number of rows counted).
 
-    ``probe`` is a cheaper frame with the same keys to count on, such as the table before joins.
+    A key with more than ``rows`` rows is hot; at most total/rows keys are.  ``probe`` is a cheaper frame with the
+    same keys to count on, such as the table before joins.
     """
-    hot = hot_keys(df if probe is None else probe, keys, rows)
-    if hot.isEmpty():
-        return df, None
-    hot = F.broadcast(hot)
+    limit = rows or setting(df.sparkSession, HOT_KEY_ROWS, HOT_KEY_ROWS_DEFAULT)
+    counts = (df if probe is None else probe).groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    found = counts.agg(F.coalesce(F.sum("__rows"), F.lit(0)).alias("all"), F.max("__rows").alias("most")).first()
+    if found["most"] is None or found["most"] <= limit:
+        return df, None, found["all"]
+    hot = F.broadcast(counts.where(F.col("__rows") > limit).select(*keys))
     return (lookup(df, hot, keys, how="left_anti", null_safe=True),
-            lookup(df, hot, keys, how="left_semi", null_safe=True))
+            lookup(df, hot, keys, how="left_semi", null_safe=True), found["all"])
+
+
+def spread(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """One exchange on ``keys`` for a frame of about ``rows`` rows, so that no task sorts many more than the stated number.
+
+    Adaptive execution sizes partitions by shuffled bytes, and every sort of a chain of windows keeps its own wider copy
+    of them. A frame that one task could hold is left to it.
+    """
+    parts = -(-rows // setting(df.sparkSession, WINDOW_ROWS, WINDOW_ROWS_DEFAULT))
+    if parts <= 1:
+        return df.repartition(*keys)
+    return df.repartition(max(parts, df.sparkSession.sparkContext.defaultParallelism), *keys)
 
 
 def checked_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:

@@ -118,11 +118,13 @@ def build_features(matches: DataFrame, config: FeatureConfig, *, match: str = "m
               {"head_to_head_matches": None}),
     ]
     built = strict_prior(long, priors, anchor=own, date=date, order=order, eligible=completed,
-                         rest={"rest_days": own}, hot_rows=hot_rows, hot_by=[player], probe=matches.select(player))
+                         rest={"rest_days": own}, hot_rows=hot_rows, hot_by=[player], probe=matches.select(player),
+                         probe_share=len(config.targets))
     against = (opponent, "stat_target")
     built = strict_prior(
         built, [Prior(against, "target_value", {"__form": ("mean", n)})], anchor=against, date=date, order=order,
-        eligible="__opponent_counts", hot_rows=hot_rows, hot_by=[opponent], probe=matches.select(opponent))
+        eligible="__opponent_counts", hot_rows=hot_rows, hot_by=[opponent], probe=matches.select(opponent),
+        probe_share=len(config.targets))
     built = built.withColumn("__opponent_form", F.when(F.col("__opponent_counts").isNotNull(), F.col("__form")))
 
     def pick(source: str, attr: str) -> dict[str, Column]:

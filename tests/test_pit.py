@@ -109,3 +109,24 @@ def test_head_to_head_and_opponent(spark):
     o = {(r.match_id, r.player): r for r in pit.opponent_rolling(
         lone, "match_id", "player", "opp", "event_date", "value", 1, eligible="completed", out="form").collect()}
     assert o[(3, "a")].form is None and o[(3, "a")].n_observations == 0
+
+
+def test_window_tasks_hold_a_stated_number_of_rows(spark):
+    df = spark.range(2000).selectExpr("id", "id % 400 AS p", "date_add(DATE'2024-01-01', CAST(id DIV 400 AS INT)) AS d", "CAST(id AS DOUBLE) AS v")
+    prior = pit.Prior(("p",), "v", {"m": ("mean", 2)}, {"n": None})
+    spark.conf.set("antecede.windowRows", "200")
+    try:
+        out = pit.strict_prior(df, [prior], anchor=["p"], date="d", order=["id"])
+        tasks = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+        assert sum(tasks) == 2000 and max(tasks) <= 400
+        rows = {r.id: (r.m, r.n) for r in out.collect()}
+    finally:
+        spark.conf.unset("antecede.windowRows")
+    assert rows == {i: (None if i < 400 else sum(past := list(range(i % 400, i, 400))[-2:]) / len(past), i // 400) for i in range(2000)}
+
+
+def test_the_opponents_rows_are_not_broadcast(spark):
+    df = spark.createDataFrame([(1, "a", "b", 5), (1, "b", "a", 7), (2, "a", "c", 9)], "m int, p string, o string, v int")
+    out = pit.opponent_value(df, "m", "p", "o", {"theirs": "v"})
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.m, r.p): r.theirs for r in out.collect()} == {(1, "a"): 7, (1, "b"): 5, (2, "a"): None}
