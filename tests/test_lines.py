@@ -172,3 +172,15 @@ def test_write_tasks_grow_with_the_lines(spark, sf, monkeypatch):
     many = spark.read.option("header", True).csv(path)
     assert grown == 1 and more == 4 and sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
     assert len(many.inputFiles()) > 3 * len(few.inputFiles())
+
+
+def test_aliases_are_made_after_names_of_a_player_met(spark):
+    players = spark.createDataFrame(
+        [("ATP", "1", "Ann Bee Cee"), ("ATP", "1", "Ánn Bee Cee"), ("ATP", "1", "Ann Cee"), (None, "1", "Ann Cee"), ("WTA", "2", "!!"), ("WTA", "3", None)],
+        "tour string, player_id string, full_name string")
+    out = ops.alias_table(players)
+    assert sorted((r.tour or "", r.player_id, r.alias) for r in out.collect()) == sorted(
+        [("ATP", "1", a) for a in ("ann bee cee", "bee cee a", "a bee cee", "cee a", "a cee", "ann cee")]
+        + [("", "1", a) for a in ("ann cee", "cee a", "a cee")])
+    above, below = out._jdf.queryExecution().optimizedPlan().toString().split("Generate", 1)
+    assert "Aggregate" not in above and "Aggregate" in below
