@@ -258,14 +258,17 @@ def market_comparison(predictions: DataFrame, matches: DataFrame, odds: DataFram
 
 def odds_results(odds: DataFrame, matches: DataFrame, players: DataFrame, sources: DataFrame, *, tour: str,
                  outcomes: Mapping[str, str]) -> DataFrame:
-    """Lines anchored on verified results, whether or not anything predicted them."""
+    """Lines anchored on verified results, whether or not anything predicted them.
+
+    Names and sources meet the match rows; the lines, of which there are most, are joined last and moved once.
+    """
     stats = sorted(set(outcomes.values()))
-    rows = lookup(odds, matches, ["match_id", "player_id"],
-                  ["event_date", "opponent_id", "tournament", "is_winner", *stats], how="inner")
-    rows = lookup(rows, sources, ["match_id"], ["final_score", "source_url"], how="inner")
-    rows = lookup(rows, players.where(F.col("tour") == tour), ["player_id"], {"player": "full_name"}, how="inner")
+    rows = lookup(matches, players.where(F.col("tour") == tour), ["player_id"], {"player": "full_name"}, how="inner")
     rows = lookup(rows, players, {"opponent_id": "player_id"}, {"opponent": "full_name"}, how="inner")
-    return rows.withColumn("actual_value", outcome("prop_type", outcomes)).drop("opponent_id", *stats)
+    rows = lookup(rows, sources, ["match_id"], ["final_score", "source_url"], how="inner")
+    out = lookup(odds, rows, ["match_id", "player_id"],
+                 ["event_date", "tournament", "is_winner", *stats, "final_score", "source_url", "player", "opponent"], how="inner")
+    return out.withColumn("actual_value", outcome("prop_type", outcomes)).drop(*stats)
 
 
 def line_search(fact: DataFrame, term: str, descending: bool = True) -> DataFrame:

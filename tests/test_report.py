@@ -118,3 +118,32 @@ def test_only_the_sides_asked_for_are_joined(spark, fact):
     for columns in (("prediction_id", "matchup", "status"), ("prediction_id", "book", "edge"), ("prediction_id", "rolling_average", "is_demo")):
         assert set(map(tuple, part(*columns).collect())) == set(map(tuple, fact.select(*columns).collect()))
     assert part("prediction_id", "side").count() == fact.count() and plain.count() == 4
+
+
+def joins_above(node, column):
+    """Joins between the root and the deepest relation that brings the column."""
+    children = [node.children().apply(i) for i in range(node.children().size())]
+    if not children:
+        return 0 if column in node.output().toString() else None
+    found = [n for n in (joins_above(c, column) for c in children) if n is not None]
+    return max(found) + node.nodeName().startswith("Join") if found else None
+
+
+def test_lines_meet_results_once(spark):
+    _, players, _, matches, odds, _, _ = tables(spark)
+    won = matches.withColumn("is_winner", F.col("match_completed"))
+    sources = spark.createDataFrame([("m1", "6-4", "u")], "match_id string, final_score string, source_url string")
+    out = report.odds_results(odds, won, players, sources, tour="ATP", outcomes=OUT)
+    assert out.columns == [*odds.columns, "event_date", "tournament", "is_winner", "final_score", "source_url", "player", "opponent", "actual_value"]
+    assert sorted((r.player, r.opponent, r.book, r.actual_value) for r in out.collect()) == [
+        ("Ann", "Bob", "b1", 7.0), ("Ann", "Bob", "b2", 7.0), ("Ann", "Bob", "b3", 7.0), ("Bob", "Ann", "b1", 3.0)]
+    assert joins_above(out._jdf.queryExecution().optimizedPlan(), "provider_event_id") == 1
+
+
+def test_the_long_tables_of_the_report_are_read_and_joined_once(spark, sf):
+    from antecede.catalog import reports
+    assert joins_above(reports.odds(spark, sf)._jdf.queryExecution().optimizedPlan(), "l_linenumber") == 1
+    made = reports.predictions(spark, sf)
+    leaves = [line for line in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Relation" in line and "o_orderkey" in line]
+    assert len(leaves) == 1
+    assert {r.prop_type for r in made.select("prop_type").distinct().collect()} == {"spend", "half_spend"}
