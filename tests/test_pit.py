@@ -126,7 +126,7 @@ def test_window_tasks_hold_a_stated_number_of_rows(spark):
 
 
 def test_the_opponents_rows_are_not_broadcast(spark):
-    df = spark.createDataFrame([(1, "a", "b", 5), (1, "b", "a", 7), (2, "a", "c", 9)], "m int, p string, o string, v int")
+    df = spark.sql("SELECT * FROM VALUES (1, 'a', 'b', 5), (1, 'b', 'a', 7), (2, 'a', 'c', 9) AS t(m, p, o, v)")
     out = pit.opponent_value(df, "m", "p", "o", {"theirs": "v"})
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     assert {(r.m, r.p): r.theirs for r in out.collect()} == {(1, "a"): 7, (1, "b"): 5, (2, "a"): None}
