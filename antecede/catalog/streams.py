@@ -10,6 +10,7 @@ from antecede.catalog.lines import ORDER
 from antecede.catalog.registry import query, table
 from antecede.catalog.views import LINES_SQL, lines
 from antecede.operators import lines as ops, sinks
+from antecede.session import shuffles_dropped
 from antecede.streaming import lines as stream
 
 COLUMNS = ["fixture_id", "book", "provider_player_id", "line", "side", "price", "captured_at", "start_at", "l_linenumber",
@@ -23,13 +24,14 @@ TASK_ROWS = 2_000_000
 def _written(spark, sf, repeat=False):
     """CSV snapshots by capture year, several files each, so that a snapshot falls into several batches; and how many files stand for one of three."""
     rows = lines(spark, sf).select(*COLUMNS).withColumn("snapshot", F.year("captured_at"))
-    if repeat:
-        rows = rows.unionByName(rows.where("side = 'under'"))
+    if repeat:  # one join, not one for each copy
+        rows = rows.withColumn("copy", F.explode(F.when(F.col("side") == "under", F.sequence(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("copy")
     schema = T.StructType([f for f in rows.schema if f.name != "snapshot"])
     text = rows.withColumns({"captured_at": F.col("captured_at").cast("timestamp"), "start_at": F.col("start_at").cast("timestamp")})
     path = sinks.scratch_path(spark, "snapshots")
     grown = max(1, math.ceil(table(spark, sf, "lineitem").count() / (3 * TASK_ROWS)))
-    text.repartition(3 * grown, "odds_id").write.partitionBy("snapshot").option("header", True).csv(path)
+    with shuffles_dropped(spark):
+        text.repartition(3 * grown, "odds_id").write.partitionBy("snapshot").options(header=True, compression="gzip").csv(path)
     fields = [T.StructField(f.name, T.TimestampType()) if f.name in ("captured_at", "start_at") else f for f in schema]
     return path, T.StructType([*fields, T.StructField("snapshot", T.IntegerType())]), grown
 

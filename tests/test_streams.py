@@ -74,3 +74,34 @@ def test_daily_counts(spark, tmp_path):
     counted = stream.daily_counts(stream.line_stream(spark, str(src), SCHEMA), ["id"])
     stream.run_available(counted, str(tmp_path / "mark"), mode="update", batch=lambda df, _: seen.extend(map(tuple, df.collect())))
     assert sorted(seen) == [(dt.date(2026, 1, 1), "x", 2), (dt.date(2026, 1, 2), "x", 1)]
+
+
+def test_a_merge_leaves_the_table_and_nothing_else(spark, tmp_path):
+    import os
+
+    from antecede.operators.sinks import scratch_path
+    from antecede.session import ensure_checkpoint_dir
+
+    def stored_files(top):
+        return sorted(os.path.join(d, f) for d, _, files in os.walk(top) for f in files)
+
+    ensure_checkpoint_dir(spark)
+    kept, out = os.path.dirname(scratch_path(spark, "x")).removeprefix("file:"), str(tmp_path / "out")
+    before = stored_files(kept)
+    for n in range(3):
+        rows = spark.range(200).selectExpr(f"id % 50 + {10 * n} AS id", "id AS v", "id % 4 AS day")
+        stream.merge_partitions(rows, out, ["id"], "day", {"v": F.max("v")})
+    assert stored_files(kept) == before
+    want = spark.range(3).selectExpr("id AS n").crossJoin(spark.range(200)).selectExpr("id % 50 + 10 * n AS id", "id AS v", "id % 4 AS day").groupBy("id", "day").agg(F.max("v").alias("v"))
+    got = spark.read.parquet(out).selectExpr("id", "CAST(day AS BIGINT) AS day", "v")
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_repeated_snapshots_are_written_compressed_from_one_join(spark, sf):
+    from antecede.catalog import streams, views
+
+    path, schema, _ = streams._written(spark, sf, repeat=True)
+    rows = views.lines(spark, sf)
+    files = spark.read.schema(schema).option("header", True).csv(path)
+    assert files.count() == rows.count() + rows.where("side = 'under'").count()
+    assert all(f.endswith(".csv.gz") for f in files.inputFiles())
